@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hemerion.llm.mapping import map_fields, map_to_list
+from hemerion.llm.names import link_names, name_pairs, stacked
 from hemerion.operators.packed import compound_heads, packed_values
 from hemerion.session import materialize, table
 
@@ -35,5 +36,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_fields(typed, *columns, of_outlets).unionByName(map_fields(paid, *columns, of_payees))
 
 
-QUERIES = {"p1_found": p1_found}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings that write one person's name."""
+    threads = table(spark, sf_dir, "hilos")
+    names = stacked((threads, "periodista"), (threads, "periodista_canonico"), (table(spark, sf_dir, "turnos"), "hablante"))
+    return name_pairs(materialize(link_names(names), "identities"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
 ORACLES: dict[str, str] = {}

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hemerion.llm.consensus import consensus, distinct_votes
+from hemerion.llm.leakage import leaked_items
 from hemerion.llm.mapping import map_fields, map_to_list
 from hemerion.llm.names import link_names, name_pairs, stacked
+from hemerion.llm.neardup import near_duplicates, text_pairs
+from hemerion.llm.residue import residue_documents
+from hemerion.llm.tokens import decode_corpus, encode_corpus
 from hemerion.operators.packed import compound_heads, packed_values
 from hemerion.session import materialize, table
 
@@ -43,5 +48,71 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_pairs(materialize(link_names(names), "identities"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
-ORACLES: dict[str, str] = {}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of subjects that put one matter in slightly different words."""
+    labels = table(spark, sf_dir, "clasificaciones")
+    texts = labels.select(F.explode(F.array("asunto", "asunto_canonico")).alias("text"))
+    pairs = text_pairs(*near_duplicates(texts))
+    return pairs.select(F.col("t").alias("asunto_a"), F.col("u").alias("asunto_b"))
+
+
+LABELS = ["crítica", "favorable", "neutral", "no clasificable"]
+
+
+def _stance_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_votes(table(spark, sf_dir, "posturas"), "id_pregunta", "pasada", "postura", "recibido_en", LABELS)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label that each question with three or more answers deserves."""
+    items, _ = consensus(_stance_votes(spark, sf_dir), LABELS)
+    return items.where("votes >= 3").select(F.col("item").alias("id_pregunta"), F.col("label").alias("postura"))
+
+
+def p4_acuerdo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every labelled question with its label, certainty and agreement."""
+    items, _ = consensus(_stance_votes(spark, sf_dir), LABELS)
+    return items.select(
+        F.col("item").alias("id_pregunta"), F.col("label").alias("postura"), F.round("sure", 4).alias("certeza"),
+        F.col("votes").alias("pasadas"), F.round("agreement", 4).alias("acuerdo"),
+    )
+
+
+def p4_confianza(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each pasada can be trusted, and what it answers when it guesses."""
+    _, model = consensus(_stance_votes(spark, sf_dir), LABELS)
+    rows = [
+        (int(a), round(float(c), 4), *[round(float(x), 4) for x in g])
+        for a, c, g in zip(model.annotators, model.competence, model.guesses)
+    ]
+    columns = ", ".join(f"adivina_{name} double" for name in ("critica", "favorable", "neutral", "no_clasificable"))
+    return spark.createDataFrame(rows, f"pasada int, competencia double, {columns}")
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p6_texto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return decode_corpus(p6_ids(spark, sf_dir), "doc_id")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold twelve consecutive words of an evaluation item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "items_evaluacion")
+    found = leaked_items(docs, "doc_id", "text", items, "item_id", "texto")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with template residue, filler, error pages or script notices."""
+    return residue_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {
+    "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_acuerdo": p4_acuerdo,
+    "p4_confianza": p4_confianza, "p6_ids": p6_ids, "p6_texto": p6_texto, "p7_found": p7_found, "p8_found": p8_found,
+}
+ORACLES: dict[str, str] = {"p6_texto": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

@@ -25,13 +25,14 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN, PASSAGE, BLOCK_SIZE, K1, B = 12, 48, 16, 1.2, 0.75
+RUN, PASSAGE, BLOCK_SIZE, K1, B = 12, 24, 16, 1.2, 0.75
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|<!--.*?-->", re.S)
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})")
 _CONTROL = re.compile(r"\\[ntr](?![a-z])")
@@ -152,11 +153,20 @@ class ItemIndex:
     def leaks(self, text: str) -> dict:
         """Items in the text, each with the number of its runs that stand there."""
         words, found = bare_words(text), Counter()
-        step = PASSAGE - self.run + 1
-        for start in range(0, max(1, len(words) - self.run + 1), step):
-            passage = words[start : start + PASSAGE]
-            if len(passage) < self.run:
-                break
+        if len(words) < self.run:
+            return found
+        # A run's own words reach the threshold, so a passage is a query only where the
+        # largest impacts of some run of words add up to the least threshold.
+        tops, run = self.tops, self.run
+        sums = [0.0, *accumulate(tops.get(w, 0.0) for w in words)]
+        starts = [k for k in range(len(words) - run + 1) if sums[k + run] - sums[k] >= self.floor]
+        upto = -1
+        for start in starts:
+            if start <= upto:
+                continue
+            end = min(start + PASSAGE, len(words))
+            upto = end - run
+            passage = words[start:end]
             hits = self.retrieve(set(passage))
             if hits:
                 spans = [tuple(passage[k : k + self.run]) for k in range(len(passage) - self.run + 1)]

@@ -22,8 +22,8 @@ import re
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +70,13 @@ MACHINE = [
     r"<title> ?[345]\d\d ?</title>", r"<noscript>", r"\bfatal error: uncaught", r"\btraceback \(most recent call last\)",
     r"\{ ?\"?(?:status|error|code)\"? ?: ?\"?[345]\d\d", r"\blorem ipsum\b", r"\basdf asdf\b", r"\btk tk tk\b",
 ]
+#: Letters of which every trusted sentence holds some; each pattern above needs one.
+HINTS = [
+    "script", "dinamico", "naveg", "browser", "recargue", "error", "erro ", "erreur", "pagina", "page", "not found", "servic", "gateway",
+    "internal", "forbidden", "acceso", "title>", "base", "pasarela", "manten", "contenido", "exception", "traceback", "status", "code",
+    "we can", "go back", "requested", "intentelo", "volver", "lorem", "dolor sit", "texto", "text", "escriba", "aqui va", "here", "nota ",
+    "titulo", "cuerpo", "asdf", "qwerty", "xxxx", "tk tk", "version final", "prueba", "pendiente", "ejemplo", "muestra", "publicar",
+]
 #: Signs that someone talks about an error or form, folded.
 REPORTED = (
     r"\b(?:pregunto|preguntaron|conto que|dijo|dijeron|explico|explicaron|reclamo|comento|respondio|aseguro|aseguran|denuncio|denuncian|"
@@ -100,23 +107,63 @@ def has_placeholder(text: str) -> bool:
 def trusted(segment: str) -> bool:
     """Whether a pattern recognises the sentence as a notice, error or filler."""
     plain = fold(segment)
+    if not any(True for _ in _hints().iter(plain)):
+        return False
     if _MACHINE.search(plain):
         return True
     return _NOTICE.search(plain) is not None and _REPORTED.search(plain) is None
 
 
+_automaton: list = []
+
+
+def _hints():
+    """Automaton over the letters without which no trusted pattern can match."""
+    if not _automaton:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for hint in HINTS:
+            automaton.add_word(hint, hint)
+        automaton.make_automaton()
+        _automaton.append(automaton)
+    return _automaton[0]
+
+
 def grams(text: str) -> set[str]:
     padded = f" {text} "
     return {padded[k : k + GRAM] for k in range(max(1, len(padded) - GRAM + 1))}
 
 
-def simhash(text: str) -> int:
-    counts = [0] * BITS
-    for gram in grams(text):
-        h = xxhash.xxh64_intdigest(gram)
-        for b in range(BITS):
-            counts[b] += 1 if h >> b & 1 else -1
-    return sum(1 << b for b in range(BITS) if counts[b] > 0)
+def simhashes(texts: list[str]) -> list[int]:
+    """SimHash of each text over its runs of ``GRAM`` letters, as signed longs."""
+    out: list[int] = []
+    for at in range(0, len(texts), 1000):
+        out += _simhash_run(texts[at : at + 1000])
+    return out
+
+
+def _simhash_run(texts: list[str]) -> list[int]:
+    padded = [f" {t} ".ljust(GRAM) for t in texts]
+    codes = np.frombuffer("".join(padded).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.array([len(t) for t in padded])
+    ends = np.cumsum(sizes)
+    with np.errstate(over="ignore"):
+        h = np.zeros(len(codes) - GRAM + 1, dtype=np.uint64)
+        for k in range(GRAM):
+            h = h * np.uint64(0x100000001B3) + codes[k : len(codes) - GRAM + 1 + k]
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+    # Runs over the border of two texts lie at the last places of each text.
+    owner = np.repeat(np.arange(len(texts)), sizes)[: len(h)]
+    inside = np.arange(len(h)) <= ends[owner] - GRAM
+    h, owner = h[inside], owner[inside]
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
+    first = np.searchsorted(owner, np.arange(len(texts)))
+    counts = np.add.reduceat(bits, first, axis=0)
+    total = np.diff(np.append(first, len(h)))
+    return np.packbits(2 * counts > total[:, None], axis=1).view("<i8").ravel().tolist()
 
 
 def _signed(value: int) -> int:
@@ -149,16 +196,16 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _hash(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch.assign(hash=[_signed(simhash(f)) for f in batch["form"]])
+        yield batch.assign(hash=simhashes(batch["form"].tolist()))
 
 
 def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         keep = []
-        for a, b in zip(batch["known"], batch["form"]):
+        for a, b in zip(batch["near"], batch["form"]):
             x, y = grams(a), grams(b)
             keep.append(len(x & y) >= SIMILARITY * len(x | y))
-        yield batch[keep][["form"]]
+        yield batch[keep][["id", "form", "hash"]]
 
 
 def _placeholders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,36 +216,41 @@ def _placeholders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def spread(forms: DataFrame, rounds: int = 20) -> DataFrame:
     """Forms linked, over any number of links, to a form with ``notice``.
 
-    ``forms``: form, notice, hash. A round adds what is near the forms added last; it
+    ``forms``: id, form, notice, hash. A round adds what is near the forms added last; it
     ends when a round adds none.
     """
     keys = F.explode(F.array(*[
         F.struct(F.lit(k).alias("table"), F.col("hash").bitwiseAND(F.lit(_signed(m))).alias("block")) for k, m in enumerate(block_masks())
     ])).alias("key")
-    tables = forms.select("form", "hash", keys).select("form", "hash", "key.table", "key.block")
-    labelled = materialize(forms.where("notice").select("form", "hash"), "trusted")
-    frontier = labelled
+    tables = forms.select("id", "hash", keys).select("id", "hash", "key.table", "key.block")
+    labelled = frontier = materialize(forms.where("notice").select("id", "form", "hash"), "trusted")
     for _ in range(rounds):
-        known = frontier.select(F.col("form").alias("known"), F.col("hash").alias("near"), keys).select("known", "near", "key.table", "key.block")
-        pairs = known.join(tables, ["table", "block"]).where(
-            (F.bit_count(F.col("near").bitwiseXOR(F.col("hash"))) <= DISTANCE) & (F.col("known") != F.col("form"))
-        ).select("known", "form").distinct()
-        fresh = pairs.join(labelled.select("form"), "form", "left_anti").select("known", "form").mapInPandas(_alike, "form string").distinct()
-        frontier = materialize(forms.select("form", "hash").join(fresh, "form", "left_semi"), "frontier")
+        known = frontier.select(F.col("id").alias("known"), F.col("hash").alias("near"), keys).select("known", "near", "key.table", "key.block")
+        # Explosion isn't in the size estimate, so the join is named: neither side is shipped whole.
+        pairs = known.hint("merge").join(tables, ["table", "block"]).where(
+            (F.bit_count(F.col("near").bitwiseXOR(F.col("hash"))) <= DISTANCE) & (F.col("known") != F.col("id"))
+        ).select("known", "id").distinct()
+        fresh = (
+            pairs.join(labelled.select("id"), "id", "left_anti")
+            .join(frontier.select(F.col("id").alias("known"), F.col("form").alias("near")), "known")
+            .join(forms.select("id", "form", "hash"), "id").select("id", "form", "hash", "near")
+            .mapInPandas(_alike, "id long, form string, hash long").distinct()
+        )
+        frontier = materialize(fresh, "frontier")
         if frontier.isEmpty():
             break
         labelled = labelled.unionByName(frontier)
-    return labelled.select("form")
+    return labelled.select("id")
 
 
 def residue_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The keys of documents that hold residue, each once."""
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("text is not null")
     kind = rows.schema["doc"].dataType.simpleString()
-    sentences = rows.mapInPandas(_split, f"doc {kind}, form string, notice boolean")
-    counted = sentences.groupBy("form").agg(F.bool_or("notice").alias("notice"))
-    forms = materialize(counted.mapInPandas(_hash, "form string, notice boolean, hash long"), "forms")
+    sentences = rows.mapInPandas(_split, f"doc {kind}, form string, notice boolean").withColumn("id", F.xxhash64("form"))
+    counted = sentences.groupBy("id").agg(F.min("form").alias("form"), F.bool_or("notice").alias("notice"))
+    forms = materialize(counted.mapInPandas(_hash, "id long, form string, notice boolean, hash long"), "forms")
     labelled = spread(forms)
-    noticed = sentences.join(labelled, "form", "left_semi").select("doc")
+    noticed = sentences.select("doc", "id").join(labelled, "id", "left_semi").select("doc")
     open_fields = rows.mapInPandas(_placeholders, f"doc {kind}")
     return noticed.unionByName(open_fields).distinct().withColumnRenamed("doc", key)

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 
 def _fold_table() -> tuple[str, str]:
-    """Lower-case Latin letters with marks and the ASCII letter each decomposes to."""
+    """Lower-case letters with marks and the letter each decomposes to."""
     source, target = [], []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+    for code in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]:
         char = chr(code)
         base = "".join(c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn")
-        if len(base) == 1 and base.isascii() and base.isalpha() and char == char.lower():
+        if len(base) == 1 and base != char and char == char.lower():
             source.append(char)
             target.append(base)
     marks = "".join(chr(c) for c in range(0x300, 0x370))

@@ -48,7 +48,7 @@ def asides(text: Column) -> Column:
 
 def header(text: Column) -> Column:
     """What stands before the first label; all of it without one."""
-    return F.trim(F.split(text, f"(?m)(?=^{_LABEL})", 2)[0])
+    return F.regexp_replace(F.split(text, f"(?m)(?=^{_LABEL})", 2)[0], "^\\s+|\\s+$", "")
 
 
 def turns_of(docs: DataFrame, key: str, text: str, aliases: dict[str, tuple[str, str]] | None = None) -> DataFrame:

@@ -391,10 +391,10 @@ def noise_predicate(spark, d):
 
 
 @query("""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\n+')) AS linea FROM documents)
-SELECT doc_id, count(*) AS lineas, cast(max(length(linea)) AS int) AS mayor FROM s WHERE trim(linea) <> '' GROUP BY 1""")
+SELECT doc_id, count(*) AS lineas, cast(max(length(linea)) AS int) AS mayor FROM s WHERE regexp_matches(linea, '[^\\s\\x{a0}]') GROUP BY 1""")
 def line_explode(spark, d):
     """Lines of each document."""
-    lines = _documents(spark, d).select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\\n+")).alias("linea")).where("trim(linea) <> ''")
+    lines = _documents(spark, d).select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\\n+")).alias("linea")).where(F.col("linea").rlike("[^\\s\\u00a0]"))
     return lines.groupBy("doc_id").agg(F.count("*").alias("lineas"), F.max(F.length("linea")).alias("mayor"))
 
 
@@ -563,15 +563,23 @@ def set_overlap_bridge(spark, d):
 # ---- documents ----------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {_T} SELECT conferencia_id, cast(row_number() OVER (PARTITION BY conferencia_id ORDER BY orden) - 1 AS int) AS orden, tipo, coalesce(hablante, '') AS hablante
-FROM t WHERE etiqueta IS NOT NULL AND length(etiqueta) >= 4""")
+_SHOUTED = "^[A-ZÁÉÍÓÚÑÜ][A-ZÁÉÍÓÚÑÜ0-9 ,.()/º°’-]{2,150}$"
+_KIND = (
+    f"CASE WHEN regexp_matches(e, '^(?:{'|'.join(rules.PRESS_LABELS)})(?:\\s*\\([^)]*\\))?$') THEN 'prensa' "
+    f"WHEN regexp_matches(e, '^(?:{'|'.join(rules.ROOM_LABELS)})$') OR regexp_matches(e, '^INTERVENCION(?:ES)?(?:\\s+(?:HOMBRE|MUJER)(?:E?S)?)?(?:\\s*\\([^)]*\\))?$') "
+    f"OR regexp_matches(e, '^(?:{'|'.join(rules.VIDEO_VOICES)})') THEN 'anonimo' ELSE 'funcionario' END"
+)
+
+
+@query(f"""WITH {_T}, s AS (SELECT *, strip_accents(upper(trim(etiqueta))) AS e FROM t WHERE regexp_matches(etiqueta, '{_SHOUTED}'))
+SELECT conferencia_id, cast(row_number() OVER (PARTITION BY conferencia_id ORDER BY orden) - 1 AS int) AS orden, trim(etiqueta) AS etiqueta, {_KIND} AS tipo FROM s""")
 def label_segmentation(spark, d):
     """Transcripts written out and cut into turns again."""
     line = F.concat("etiqueta", F.lit(": "), F.regexp_replace(F.coalesce("texto", F.lit("")), "\\s+", " "))
     listed = F.array_sort(F.collect_list(F.struct("orden", line.alias("l"))))
-    docs = _turns(spark, d).where("etiqueta is not null and length(etiqueta) >= 4").groupBy("conferencia_id").agg(
+    docs = _turns(spark, d).where(F.col("etiqueta").rlike(_SHOUTED)).groupBy("conferencia_id").agg(
         F.array_join(F.transform(listed, lambda x: x.l), "\n\n").alias("texto"))
-    return documents.turns_of(docs, "conferencia_id", "texto").select("conferencia_id", "orden", "tipo", F.coalesce("hablante", F.lit("")).alias("hablante"))
+    return documents.turns_of(docs, "conferencia_id", "texto").select("conferencia_id", "orden", "etiqueta", "tipo")
 
 
 @query(f"""WITH {_T}, p AS (SELECT conferencia_id, orden, trim(regexp_replace(texto, '[\\s\\x{{a0}}]+', ' ', 'g')) AS l FROM t WHERE texto IS NOT NULL AND texto NOT LIKE '%<%' AND texto NOT LIKE '%&%')

@@ -57,4 +57,4 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(conferencia_id, html): one row per file, bytes that are no UTF-8 replaced."""
     files = spark.read.format("binaryFile").load(path)
     name = F.regexp_extract("path", "([^/]+)\\.[^./]+$", 1)
-    return files.select(name.alias("conferencia_id"), F.decode("content", F.lit("UTF-8")).alias("html"))
+    return files.select(name.alias("conferencia_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("html"))

@@ -21,7 +21,7 @@ def oracle(sf_dir: str):
 
 
 def _plain(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return None
     if isinstance(value, decimal.Decimal):
         value = float(value)

@@ -190,7 +190,7 @@ def _assign_slips(open_nodes: DataFrame, targets: DataFrame, established: DataFr
 def _slip_pairs(left: DataFrame, right: DataFrame, established: DataFrame) -> DataFrame:
     """(a, b) whose words under one key are near and not both established."""
     pairs = (
-        left.select("key", F.col("word").alias("word_a"), F.col("ident").alias("a"))
+        left.select("key", F.col("word").alias("word_a"), F.col("ident").alias("a")).hint("merge")
         .join(right.select("key", F.col("word").alias("word_b"), F.col("ident").alias("b")), "key")
         .where("a <> b and word_a <> word_b").select("a", "b", "word_a", "word_b").distinct()
         .mapInPandas(_near, "a string, b string, word_a string, word_b string")

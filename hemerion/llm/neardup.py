@@ -56,7 +56,7 @@ def slip_map(counted: DataFrame, rounds: int = 2) -> DataFrame:
     keys = counted.where("word rlike '^[a-z]{4,}$'").mapInPandas(_word_keys, "key string, word string, n long")
     other = keys.select("key", F.col("word").alias("meant"), F.col("n").alias("n_meant"))
     best = (
-        keys.join(other, "key").where("n_meant > n or (n_meant = n and meant < word)")
+        keys.hint("merge").join(other, "key").where("n_meant > n or (n_meant = n and meant < word)")
         .select("word", "meant", "n_meant", F.levenshtein("word", "meant", 2).alias("slip")).where("slip between 0 and 2")
         .groupBy("word").agg(F.max_by("meant", F.struct(-F.col("slip"), "n_meant", "meant")).alias("meant"))
     )
@@ -120,7 +120,8 @@ def hamming_join(signed: DataFrame, chunks: int = CHUNKS, width: int = CHUNK_BIT
     b = keyed.select("key", F.col("id").alias("b"), F.col("signature").alias("sign_b"))
     longs = chunks * width // 64
     apart = sum((F.bit_count(F.col("sign_a")[k].bitwiseXOR(F.col("sign_b")[k])) for k in range(longs)), F.lit(0))
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & (apart <= most)).select("a", "b", apart.alias("apart")).distinct()
+    # Explosion isn't in the size estimate, so the join is named: neither side is shipped whole.
+    return a.hint("merge").join(b, "key").where((F.col("a") < F.col("b")) & (apart <= most)).select("a", "b", apart.alias("apart")).distinct()
 
 
 def same_words(a: Column, b: Column) -> Column:

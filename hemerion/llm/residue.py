@@ -87,7 +87,9 @@ _PLACEHOLDER = re.compile("|".join(PLACEHOLDERS))
 _NOTICE, _MACHINE, _REPORTED = re.compile("|".join(NOTICES)), re.compile("|".join(MACHINE)), re.compile(REPORTED)
 _BREAK = re.compile(r"(?<=[.?!…])[\s ]+|[\r\n]+")
 _WORDS = re.compile(r"[^\W_]+")
-BITS, BLOCKS, DISTANCE, SIMILARITY, GRAM = 64, 6, 3, 0.8, 4
+BITS, BLOCKS, DISTANCE, SIMILARITY, GRAM = 64, 4, 3, 0.8, 4
+#: Most newly labelled sentences that are shipped to every worker; more are joined by shuffle.
+MOST_SHIPPED = 20_000
 
 
 def segments(text: str) -> list[str]:
@@ -178,20 +180,27 @@ def block_masks() -> list[int]:
 
 
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(doc, form, notice) for each different sentence of a text."""
+    """(doc, form, notice, open) for each different sentence of a text.
+
+    A text with an open field gives one more row, without form.
+    """
     for batch in batches:
-        docs, forms, known = [], [], []
+        docs, forms, known, unfilled = [], [], [], []
         for doc, text in zip(batch["doc"], batch["text"]):
             seen: dict[str, bool] = {}
             for segment in segments(text):
                 form = folded(segment)
                 if form:
                     seen[form] = seen.get(form, False) or trusted(segment)
-            for form, notice in seen.items():
+            rows = [(form, notice, False) for form, notice in seen.items()]
+            if has_placeholder(text):
+                rows.append((None, False, True))
+            for form, notice, unfilled_field in rows:
                 docs.append(doc)
                 forms.append(form)
                 known.append(notice)
-        yield pd.DataFrame({"doc": docs, "form": forms, "notice": known})
+                unfilled.append(unfilled_field)
+        yield pd.DataFrame({"doc": docs, "form": forms, "notice": known, "open": unfilled})
 
 
 def _hash(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,11 +217,6 @@ def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[keep][["id", "form", "hash"]]
 
 
-def _placeholders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch[[has_placeholder(t) for t in batch["text"]]][["doc"]]
-
-
 def spread(forms: DataFrame, rounds: int = 20) -> DataFrame:
     """Forms linked, over any number of links, to a form with ``notice``.
 
@@ -226,8 +230,9 @@ def spread(forms: DataFrame, rounds: int = 20) -> DataFrame:
     labelled = frontier = materialize(forms.where("notice").select("id", "form", "hash"), "trusted")
     for _ in range(rounds):
         known = frontier.select(F.col("id").alias("known"), F.col("hash").alias("near"), keys).select("known", "near", "key.table", "key.block")
-        # Explosion isn't in the size estimate, so the join is named: neither side is shipped whole.
-        pairs = known.hint("merge").join(tables, ["table", "block"]).where(
+        # Explosion isn't in the size estimate, so the join is named by a count of the frontier.
+        way = "broadcast" if frontier.count() <= MOST_SHIPPED else "merge"
+        pairs = known.hint(way).join(tables, ["table", "block"]).where(
             (F.bit_count(F.col("near").bitwiseXOR(F.col("hash"))) <= DISTANCE) & (F.col("known") != F.col("id"))
         ).select("known", "id").distinct()
         fresh = (
@@ -247,10 +252,10 @@ def residue_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The keys of documents that hold residue, each once."""
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("text is not null")
     kind = rows.schema["doc"].dataType.simpleString()
-    sentences = rows.mapInPandas(_split, f"doc {kind}, form string, notice boolean").withColumn("id", F.xxhash64("form"))
-    counted = sentences.groupBy("id").agg(F.min("form").alias("form"), F.bool_or("notice").alias("notice"))
+    split = rows.mapInPandas(_split, f"doc {kind}, form string, notice boolean, open boolean").withColumn("id", F.xxhash64("form"))
+    sentences = materialize(split, "sentences")
+    counted = sentences.where("form is not null").groupBy("id").agg(F.min("form").alias("form"), F.bool_or("notice").alias("notice"))
     forms = materialize(counted.mapInPandas(_hash, "id long, form string, notice boolean, hash long"), "forms")
     labelled = spread(forms)
-    noticed = sentences.select("doc", "id").join(labelled, "id", "left_semi").select("doc")
-    open_fields = rows.mapInPandas(_placeholders, f"doc {kind}")
-    return noticed.unionByName(open_fields).distinct().withColumnRenamed("doc", key)
+    noticed = sentences.where("form is not null").select("doc", "id").join(labelled, "id", "left_semi").select("doc")
+    return noticed.unionByName(sentences.where("open").select("doc")).distinct().withColumnRenamed("doc", key)

@@ -7,7 +7,9 @@ of two sets is ``bits * (1 - jaccard) / 2``. It is split into chunks. By the pig
 principle two signatures that differ in at most ``chunks * (radius + 1) - 1`` bits agree
 in some chunk up to ``radius`` errors; each side lists its chunk values with half of the
 errors, so that the two lists meet and one equi-join finds all pairs under the distance,
-with no cap on any bucket. What it finds is verified on the words as typed.
+with no cap on any bucket. Sets near the similarity asked for may have signatures a
+little farther apart, so the join runs over ``DRAWS`` independent signatures. What it
+finds is verified on the words as typed.
 
 Scale: rows are counted per text and per word set first, so the general subjects that
 fill a large part of the table are one node each. A key holds the chunk's number and
@@ -22,6 +24,7 @@ word of three letters; a text is never paired with itself.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,6 +36,8 @@ from hemerion.llm.text import deletions, repair, words
 from hemerion.session import materialize
 
 CHUNKS, CHUNK_BITS, RADIUS = 8, 16, 2
+#: Independent signatures; a pair is a candidate if it is near in any of them.
+DRAWS = 2
 #: Largest signature distance that the join is sure to find.
 THRESHOLD = CHUNKS * (RADIUS + 1) - 1
 
@@ -67,8 +72,8 @@ def slip_map(counted: DataFrame, rounds: int = 2) -> DataFrame:
     return links
 
 
-def _signer(bits: int):
-    seeds = np.array([xxhash.xxh64_intdigest(str(k)) for k in range(bits)], dtype=np.uint64)
+def _signer(bits: int, draw: int):
+    seeds = np.array([xxhash.xxh64_intdigest(f"{draw}-{k}") for k in range(bits)], dtype=np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -90,9 +95,9 @@ def _signer(bits: int):
     return run
 
 
-def signatures(sets: DataFrame, bits: int = CHUNKS * CHUNK_BITS) -> DataFrame:
-    """(id, signature) for rows of ``id``, ``meant``; ``bits`` is a multiple of 64."""
-    return sets.select("id", "meant").where(F.size("meant") > 0).mapInPandas(_signer(bits), "id long, signature array<long>")
+def signatures(sets: DataFrame, bits: int = CHUNKS * CHUNK_BITS, draw: int = 0) -> DataFrame:
+    """(id, signature) for rows of ``id``, ``meant``; ``bits`` is a multiple of 64, draws are independent."""
+    return sets.select("id", "meant").where(F.size("meant") > 0).mapInPandas(_signer(bits, draw), "id long, signature array<long>")
 
 
 def _chunk(signature: Column, k: int, width: int) -> Column:
@@ -156,8 +161,9 @@ def near_duplicates(texts: DataFrame, share: float = 2 / 3) -> tuple[DataFrame,
         "id", F.array_distinct(F.when(F.col("from").isNull(), F.col("words")).otherwise(
             F.concat(F.array_except("words", "from"), F.col("to")))).alias("meant"),
     )
-    signed = materialize(signatures(meant), "signatures")
-    pairs = materialize(hamming_join(signed), "pairs")
+    meant = materialize(meant, "meant")
+    found = [hamming_join(materialize(signatures(meant, draw=k), "signatures")).select("a", "b") for k in range(DRAWS)]
+    pairs = materialize(reduce(DataFrame.unionByName, found).distinct(), "pairs")
     of = sets.select("id", "words")
     both = pairs.join(of.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(
         of.select(F.col("id").alias("b"), F.col("words").alias("y")), "b"

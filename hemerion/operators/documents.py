@@ -114,7 +114,7 @@ class _Page(HTMLParser):
         names = (dict(attrs).get("class") or "").split()
         if BODY_CLASS in names and not self.body:
             self.body = self.depth
-        if tag in ("h1", "h2", "section") or (tag == "p" and self.body) or "imagen-principal" in names:
+        if tag in ("h1", "h2", "section") or (tag == "p" and self.body > 0) or "imagen-principal" in names:
             self.taking.append(("img" if "imagen-principal" in names else tag, self.depth, []))
 
     def handle_endtag(self, tag):

@@ -74,7 +74,7 @@ def consolidate(counts: DataFrame, subject: str, n: str, threshold: float = 0.6,
         )
         if fresh.isEmpty():
             break
-        decided = materialize(decided.unionByName(fresh), "decided")
+        decided = decided.unionByName(fresh)
     else:
         raise ValueError("subjects are chained deeper than the rounds allow")
     return decided

@@ -55,7 +55,10 @@ def test_name_merges(spark):
     mapped, doubtful = entities.name_merges(spark.createDataFrame(rows, "name string, n int"), "name", "n")
     got = {r.name: r.canonico for r in mapped.collect()}
     assert got["Periodista Unno"] == got["La Periodista Uno"] == "Periodista Uno" and got["Ane"] == "Ane"
-    assert {(r.a, r.b) for r in doubtful.collect()} == {("Periodista Uno", "Periodista Once")} or not doubtful.count()
+    # Names of at most eight letters never merge by slips; two established names stay doubtful.
+    assert not doubtful.count()
+    near = spark.createDataFrame([("Periodista Uno", 9), ("Periodista Ino", 5)], "name string, n int")
+    assert [(r.a, r.b) for r in entities.name_merges(near, "name", "n")[1].collect()] == [("Periodista Uno", "Periodista Ino")]
     manual = spark.createDataFrame([("Periodista Unno", "Otra")], "name string, canonico string")
     fixed = {r.name: r.canonico for r in entities.name_merges(spark.createDataFrame(rows, "name string, n int"), "name", "n", manual)[0].collect()}
     assert fixed["Periodista Unno"] == "Otra"
@@ -66,7 +69,7 @@ def test_outlets(spark):
         df = spark.createDataFrame([(value,)], "m string")
         return df.select(entities.split_outlets(F.col("m"), entities.PLACES, entities.CLAUSES).alias("r")).collect()[0].r
 
-    assert split("Diario Basta, Campeche Hoy y Quintana Hoy, de Grupo Sol") == ["Diario Basta", "Campeche Hoy", "Quintana Hoy", "Grupo Sol"]
+    assert split("Diario Alba, Costa Hoy y Sierra Hoy, de Grupo Sol") == ["Diario Alba", "Costa Hoy", "Sierra Hoy", "Grupo Sol"]
     assert split("Media Uno, Veracruz") == ["Media Uno"]
     assert split("AFP y también Radio Sol") == ["AFP", "Radio Sol"]
     assert split("El Faro / el faro") == ["El Faro"] and split("ab") == ["ab"] and split(None) == [] and split(" ") == []
@@ -126,23 +129,24 @@ def test_documents(spark):
 
 def test_introductions():
     cases = {
-        "Buenos días, Presidenta. Carlos Navarro, de Heraldo Media Group. ¿Qué tal?": ("Carlos Navarro", "Heraldo Media Group"),
-        "Soy Jonás, de Radio Sol. Pregunto.": ("Jonás", "Radio Sol"),
-        "Su servidor, Carlos Pozos, de LM Noticias. Gracias.": ("Carlos Pozos", "LM Noticias"),
-        "mi nombre es Viridiana Venta y soy del periódico Diario Cambio. Hola": ("Viridiana Venta", "periódico Diario Cambio"),
-        "Aurora Castillejos, reportera de Canal 14. Buenas.": ("Aurora Castillejos", "Canal 14"),
-        "Eduardo Esquivel Ancona, Domo de Cristal. Pregunta.": ("Eduardo Esquivel Ancona", "Domo de Cristal"),
-        "Buenos días, Vicente Serrano, de Sin Censura TV. Dos temas.": ("Vicente Serrano", "Sin Censura TV"),
+        "Buenos días, Presidenta. Julio Tamarel, de Prensa Norte Group. ¿Qué tal?": ("Julio Tamarel", "Prensa Norte Group"),
+        "Soy Elías, de Radio Sol. Pregunto.": ("Elías", "Radio Sol"),
+        "Su servidor, Mario Belsara, de ZT Noticias. Gracias.": ("Mario Belsara", "ZT Noticias"),
+        "mi nombre es Lorena Pastil y soy del periódico Diario Giro. Hola": ("Lorena Pastil", "periódico Diario Giro"),
+        "Emilia Rondera, reportera de Canal 90. Buenas.": ("Emilia Rondera", "Canal 90"),
+        "Bruno Salcedera Monte, Torre de Sal. Pregunta.": ("Bruno Salcedera Monte", "Torre de Sal"),
+        "Buenos días, Tomás Ladero, de Hora Libre TV. Dos temas.": ("Tomás Ladero", "Hora Libre TV"),
     }
     for said, want in cases.items():
         found = identity.find_introduction(said)
         assert found and found[:2] == want, (said, found)
-    for said in ("Se acusa a López Beltrán, de encabezar una red.", "En Culiacán, Sinaloa. Hay casos.", "Claudia Ruiz, Presidenta de la sala. Bien.", ""):
+    for said in ("Se acusa a Paredes Monzón, de encabezar una red.", "En Culiacán, Sinaloa. Hay casos.", "Elena Ruiz, Presidenta de la sala. Bien.", ""):
         assert identity.find_introduction(said) is None, said
-    tail = "x" * 400 + ". Muchas gracias. Soy Gino Ascencio, de Informate y más."
-    assert identity.find_introduction(tail)[:2] == ("Gino Ascencio", "Informate y más")
-    known = frozenset({"Nancy Flores"})
-    assert identity.find_introduction("Buenos días. Nancy Flores de la revista Sol. Hola", known) is None or True
+    tail = "x" * 400 + ". Muchas gracias. Soy Raúl Mestino, de Escucha y más."
+    assert identity.find_introduction(tail)[:2] == ("Raúl Mestino", "Escucha y más")
+    said = "Buenos días. Nora Felosa de la Hora Sol. Hola"
+    assert identity.find_introduction(said) is None
+    assert identity.find_introduction(said, frozenset({"Nora Felosa"}))[:2] == ("Nora Felosa", "Hora Sol")
     assert identity.redact("Hola. Ana Ruiz, de Radio Sol. ¿Cuándo?") == ("Hola. [identificación removida]. ¿Cuándo?", True)
     assert identity.mask_names("Soy Ana Ruiz, de Radio Sol. Oye, Ana", "Ana Ruiz", "Radio Sol") == "Soy [nombre], de [medio]. Oye, [nombre]"
 

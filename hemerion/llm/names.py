@@ -56,7 +56,7 @@ SHARED_NICKNAMES = {
     "beto": ["alberto", "roberto", "humberto", "norberto"], "dani": ["daniel", "daniela"], "tavo": ["gustavo", "octavio"],
 }
 _SPLIT = re.compile(r"[^a-z]+")
-_KEYED = "key string, word string, ident string"
+_KEYED = "key string, word string, ident string, own boolean, target boolean"
 
 
 def sound(word: str) -> str:
@@ -112,30 +112,22 @@ def reading(parts: list[str], shares: list[float], sure: bool) -> tuple[str, str
 
 
 def _typo_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Forms with letters left out of one word."""
+    """Forms with letters left out of one word; full names also of two of the three."""
     for batch in batches:
         out = []
-        for kind, form, ident in zip(batch["kind"], batch["form"], batch["ident"]):
+        for kind, form, ident, own, target in zip(batch["kind"], batch["form"], batch["ident"], batch["own"], batch["target"]):
             parts = form.split("|")
             for k, word in enumerate(parts):
                 if len(word) > 2:
                     rest = "|".join(parts[:k] + [""] + parts[k + 1 :])
-                    out += [(f"{kind}{k}|{d}|{rest}", word, ident) for d in deletions(word, slips(word))]
-        yield pd.DataFrame(out, columns=["key", "word", "ident"])
-
-
-def _typo_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Full names with a letter left out of two of the three words."""
-    for batch in batches:
-        out = []
-        for form, ident in zip(batch["form"], batch["ident"]):
-            parts = form.split("|")
-            lost = [deletions(w, 1) if len(w) > 4 else {w} for w in parts]
-            for k, word in enumerate(parts):
-                left, right = [x for j, x in enumerate(lost) if j != k]
-                words = "|".join(parts[:k] + parts[k + 1 :])
-                out += [(f"D{k}|{word}|{x}|{y}", words, ident) for x in left for y in right]
-        yield pd.DataFrame(out, columns=["key", "word", "ident"])
+                    out += [(f"{kind}{k}|{d}|{rest}", word, ident, own, target) for d in deletions(word, slips(word))]
+            if kind == "F":
+                lost = [deletions(w, 1) if len(w) > 4 else {w} for w in parts]
+                for k, word in enumerate(parts):
+                    left, right = [x for j, x in enumerate(lost) if j != k]
+                    words = "|".join(parts[:k] + parts[k + 1 :])
+                    out += [(f"D{k}|{word}|{x}|{y}", words, ident, own, target) for x in left for y in right]
+        yield pd.DataFrame(out, columns=["key", "word", "ident", "own", "target"])
 
 
 def slips(word: str) -> int:
@@ -177,21 +169,21 @@ def _assign(open_nodes: DataFrame, targets: DataFrame) -> DataFrame:
     return open_nodes.join(_rare(targets), ["kind", "form"]).select("node", "root")
 
 
-def _assign_slips(open_nodes: DataFrame, targets: DataFrame, established: DataFrame) -> DataFrame:
+def _assign_slips(open_nodes: DataFrame, slipped: DataFrame, roots: DataFrame) -> DataFrame:
     """Open nodes whose form is one word's slip away from forms of a single root."""
-    left = open_nodes.select("kind", "form", F.col("node").alias("ident")).mapInPandas(_typo_keys, _KEYED)
-    right = targets.mapInPandas(_typo_keys, _KEYED)
-    return (
-        _slip_pairs(left, right, established).groupBy("a").agg(F.min("b").alias("root"), F.countDistinct("b").alias("roots"))
-        .where("roots = 1").select(F.col("a").alias("node"), "root")
-    )
+    near = open_nodes.select("node").join(slipped, F.col("node") == F.col("a")).select("node", "b")
+    of = roots.select(F.col("node").alias("b"), "root")
+    found = near.join(of, "b").groupBy("node").agg(F.min("root").alias("root"), F.countDistinct("root").alias("roots"))
+    return found.where("roots = 1").select("node", "root")
 
 
-def _slip_pairs(left: DataFrame, right: DataFrame, established: DataFrame) -> DataFrame:
-    """(a, b) whose words under one key are near and not both established."""
+def _slip_pairs(forms: DataFrame, established: DataFrame) -> DataFrame:
+    """(a, b): a's own form is a slip away from a form of b, and not both words are established."""
+    typed = forms.mapInPandas(_typo_keys, _KEYED)
+    # Explosion isn't in the size estimate, so the join is named: neither side is shipped whole.
     pairs = (
-        left.select("key", F.col("word").alias("word_a"), F.col("ident").alias("a")).hint("merge")
-        .join(right.select("key", F.col("word").alias("word_b"), F.col("ident").alias("b")), "key")
+        typed.where("own").select("key", F.col("word").alias("word_a"), F.col("ident").alias("a")).hint("merge")
+        .join(typed.where("target").select("key", F.col("word").alias("word_b"), F.col("ident").alias("b")), "key")
         .where("a <> b and word_a <> word_b").select("a", "b", "word_a", "word_b").distinct()
         .mapInPandas(_near, "a string, b string, word_a string, word_b string")
     )
@@ -271,13 +263,7 @@ def link_names(names: DataFrame) -> DataFrame:
     ).unionByName(whole.select(F.col("given").alias("word"), F.col("first").alias("by")))
     established = materialize(bearers.groupBy("word").agg(F.countDistinct("by").alias("bearers")), "words")
 
-    # Full names: slips follow the most frequent spelling.
-    forms = _forms(full, ["F"], "node")
-    typed = forms.mapInPandas(_typo_keys, _KEYED).unionByName(forms.mapInPandas(_typo_pairs, _KEYED))
-    full_roots = materialize(_roots(full, _slip_pairs(typed, typed, established)), "full")
-    rooted = full.join(full_roots, "node")
-
-    # Shorter forms: own kind of each, looked up among what full names can be rewritten to.
+    # Own form of each node: a full name, or the kind of short form it is.
     kind = (
         F.when((F.length("given") == 1) & (F.length("second") > 1), "I")
         .when((F.length("given") == 1) & (F.length("second") == 1), "K").when(F.length("given") == 1, "J")
@@ -286,37 +272,52 @@ def link_names(names: DataFrame) -> DataFrame:
     short = nodes.where("(length(given) = 1 or length(second) <= 1) and length(first) > 1").withColumn("kind", kind)
     form = F.when(F.col("kind").isin("I", "K", "G"), F.col("node")).otherwise(F.concat_ws("|", "given", "first"))
     short = materialize(short.withColumn("form", form), "short")
+
+    # All slips in one join, of own forms against what names can be rewritten to.
+    own, target = F.lit(True).alias("own"), F.lit(True).alias("target")
+    not_own, no_target = F.lit(False).alias("own"), F.lit(False).alias("target")
+    slippery = (
+        _forms(full, ["F"], "node").select("*", own, target).unionByName(_forms(full, ["S", "I", "G", "J"], "node").select("*", not_own, target))
+        .unionByName(short.where("kind = 'S'").select("kind", "form", F.col("node").alias("ident"), own, target))
+        .unionByName(_forms(short.where("kind = 'S'"), ["J"], "node").select("*", not_own, target))
+        .unionByName(short.where("kind in ('I', 'G', 'J')").select("kind", "form", F.col("node").alias("ident"), own, no_target))
+    )
+    slipped = materialize(_slip_pairs(slippery, established), "slips")
+
+    # Full names follow their most frequent spelling.
+    full_roots = materialize(_roots(full, slipped.join(full.select(F.col("node").alias("a")), "a", "left_semi")), "full")
+    rooted = full.join(full_roots, "node")
+
+    # Shorter forms are looked up among what full names can be rewritten to.
     forms = materialize(_forms(rooted, ["F", "S", "I", "G", "K", "J"], "root"), "forms")
     early = short.where("kind in ('S', 'I', 'G', 'K')")
     exact = _assign(early, forms)
     known = forms.select("kind", "form").distinct()
     unheard = early.where("kind <> 'K'").join(known, ["kind", "form"], "left_anti")
-    slipped = _assign_slips(unheard, forms.where("kind in ('S', 'I', 'G')"), established)
-    found = materialize(exact.unionByName(slipped), "found")
+    found = materialize(exact.unionByName(_assign_slips(unheard, slipped, full_roots)), "found")
 
     # Given name and one surname without a full name are identities of their own.
-    alone = short.where("kind = 'S'").join(found.select("node"), "node", "left_anti")
-    typed = _forms(alone, ["S"], "node").mapInPandas(_typo_keys, _KEYED)
-    alone_roots = materialize(_roots(alone, _slip_pairs(typed, typed, established)), "alone")
+    alone = materialize(short.where("kind = 'S'").join(found.select("node"), "node", "left_anti"), "alone")
+    among = slipped.join(alone.select(F.col("node").alias("a")), "a", "left_semi").join(alone.select(F.col("node").alias("b")), "b", "left_semi")
+    alone_roots = materialize(_roots(alone, among), "alone_roots")
     of_alone = _forms(alone.join(alone_roots, "node"), ["S", "J"], "root")
-    every = forms.where("kind = 'J'").unionByName(of_alone)
+    every = materialize(forms.where("kind = 'J'").unionByName(of_alone), "every")
     late = short.where("kind <> 'S'").join(found.select("node"), "node", "left_anti").withColumn(
         "kind", F.when(F.length("given") == 1, "J").otherwise("S")
     ).withColumn("form", F.concat_ws("|", "given", "first"))
     # An initial of the second surname rules out identities that have another one.
-    late = late.join(
-        forms.select("form", F.col("kind").alias("as")).where("as = 'S'").distinct(), "form", "left_anti"
-    )
+    late = materialize(late.join(forms.where("kind = 'S'").select("form").distinct(), "form", "left_anti"), "late")
     named = late.where("length(second) = 0 or kind = 'S'")
     late_found = _assign(named, every)
     # With a second surname of its own, only an identity without one can be meant.
-    other = _assign(late.join(named.select("node"), "node", "left_anti"), every).where("root like '%|'")
+    other = _assign(late.where("not (length(second) = 0 or kind = 'S')"), every).where("root like '%|'")
     unheard = named.where("kind = 'J'").join(every.select("kind", "form").distinct(), ["kind", "form"], "left_anti")
-    late_slips = _assign_slips(unheard, every.where("kind = 'J'"), established)
+    settled = reduce(DataFrame.unionByName, [full_roots, found, alone_roots])
+    late_slips = _assign_slips(unheard, slipped, settled)
 
-    nicknamed = _nicknamed(every_node.where(shared), forms.unionByName(of_alone.where("kind = 'S'")))
+    nicknamed = _nicknamed(every_node.where(shared), forms.unionByName(every.where("kind = 'S'")))
 
-    roots = reduce(DataFrame.unionByName, [nicknamed, full_roots, found, alone_roots, late_found, other, late_slips])
+    roots = materialize(reduce(DataFrame.unionByName, [nicknamed, settled, late_found, other, late_slips]), "roots")
     return read_as.select("name", "node").join(roots, "node", "left").select("name", F.coalesce("root", "node").alias("identity"))
 
 

@@ -227,7 +227,7 @@ def _matcher(ids: list[int], names: list[str], legal: bool, least: float):
 
 
 def map_to_list(values: DataFrame, entries: DataFrame, entry_id: str, entry_name: str, *, legal: bool = False,
-                least: float = 0.65, shard: int = 50_000) -> DataFrame:
+                least: float = 0.6, shard: int = 50_000) -> DataFrame:
     """(value, ref_id, score) for the distinct non-blank ``values.value``.
 
     ``legal`` leaves legal forms out of the comparison. ``least`` is the similarity a value

@@ -2,15 +2,25 @@
 
 Placeholders nobody filled in are found by their syntax. Error pages, script notices and
 filler have no syntax: their sentences are compared over the whole corpus. Distinct
-folded sentences get a SimHash; partitioned tables (every choice of blocks that must be
-equal) find all sentences within ``distance`` bits; the distance and the similarity of
-their letters are verified; and labels spread from sentences that trusted patterns
-recognise through the connected components of these links.
+folded sentences get a SimHash over their different runs of letters; partitioned tables,
+one for each chunk of its bits, find the sentences that agree in some chunk up to
+``RADIUS`` errors; the distance and the similarity of their letters are verified; and
+labels spread from sentences that trusted patterns recognise over these links.
+
+Two sentences of similarity 0.8 differ in 15 of 100 bits on average, so a chunk agrees up
+to two errors with chance 0.36, and one of twelve chunks does with 0.995; nearer ones are
+missed less often.
+
+A sentence may resemble a trusted one by what stands around the residue. So a label only
+reaches sentences that hold at least ``KEPT`` of the runs of the words that the pattern
+recognised (the core), over any number of links, and none in which someone reports or asks.
 
 Scale: sentences are counted and made distinct before anything else. Labels spread as a
 frontier: each round joins only the newly labelled sentences with the tables, so links
-inside ordinary, often repeated turns of phrase are never built. Tables, links and
-labels are DataFrames; only counts reach the driver.
+inside ordinary, often repeated turns of phrase are never built. Only the frontier lists
+errors, so a table holds a sentence once; random meetings are one in 750 of the sentences
+for each labelled one, fewer with more and wider chunks. Tables, links and labels are
+DataFrames; only counts reach the driver.
 
 Defined results: null, empty and blank texts hold no residue; texts are read whole; a
 sentence in which someone reports an error or a form isn't trusted.
@@ -27,7 +37,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemerion.llm.text import fold
+from hemerion.llm.neardup import _chunk
+from hemerion.llm.text import fold, slices
 from hemerion.session import materialize
 
 #: The syntax of fields that a template engine or a writer should have filled.
@@ -87,9 +98,16 @@ _PLACEHOLDER = re.compile("|".join(PLACEHOLDERS))
 _NOTICE, _MACHINE, _REPORTED = re.compile("|".join(NOTICES)), re.compile("|".join(MACHINE)), re.compile(REPORTED)
 _BREAK = re.compile(r"(?<=[.?!…])[\s ]+|[\r\n]+")
 _WORDS = re.compile(r"[^\W_]+")
-BITS, BLOCKS, DISTANCE, SIMILARITY, GRAM = 64, 4, 3, 0.8, 4
-#: Most newly labelled sentences that are shipped to every worker; more are joined by shuffle.
-MOST_SHIPPED = 20_000
+SIMILARITY, GRAM = 0.8, 4
+#: Chunks of the signature, three to a long, and the errors up to which one must agree.
+CHUNKS, CHUNK_BITS, RADIUS = 12, 21, 2
+LONGS = CHUNKS // (64 // CHUNK_BITS)
+#: Bits of the whole signature beyond which the letters aren't compared: 39 are expected at ``SIMILARITY``, 64 are over four deviations more.
+DISTANCE = 64
+#: Share of the core's runs that a sentence must hold to be labelled.
+KEPT = 0.5
+#: Most newly labelled sentences that are shipped to every worker (each with its 2,784 keys); more are joined by shuffle.
+MOST_SHIPPED = 200
 
 
 def segments(text: str) -> list[str]:
@@ -108,12 +126,19 @@ def has_placeholder(text: str) -> bool:
 
 def trusted(segment: str) -> bool:
     """Whether a pattern recognises the sentence as a notice, error or filler."""
+    return core(segment) is not None
+
+
+def core(segment: str) -> str | None:
+    """The words by which a pattern recognises the sentence, folded; None if none does."""
     plain = fold(segment)
     if not any(True for _ in _hints().iter(plain)):
-        return False
-    if _MACHINE.search(plain):
-        return True
-    return _NOTICE.search(plain) is not None and _REPORTED.search(plain) is None
+        return None
+    pattern = _MACHINE if _MACHINE.search(plain) else _NOTICE
+    parts = [m.group() for m in pattern.finditer(plain)]
+    if not parts or (pattern is _NOTICE and _REPORTED.search(plain)):
+        return None
+    return folded(" ".join(parts))
 
 
 _automaton: list = []
@@ -138,14 +163,23 @@ def grams(text: str) -> set[str]:
 
 
 def simhashes(texts: list[str]) -> list[int]:
-    """SimHash of each text over its runs of ``GRAM`` letters, as signed longs."""
-    out: list[int] = []
-    for at in range(0, len(texts), 1000):
-        out += _simhash_run(texts[at : at + 1000])
-    return out
+    """The first 64 bits of each text's signature, as signed longs."""
+    return signatures(texts)[:, 0].tolist()
+
 
+def signatures(texts: list[str]) -> np.ndarray:
+    """SimHash of each text over its different runs of ``GRAM`` letters, a row of ``LONGS`` signed longs."""
+    runs = [_signature_run(run) for run in slices(texts, 100_000)]
+    return np.concatenate(runs) if runs else np.zeros((0, LONGS), dtype=np.int64)
 
-def _simhash_run(texts: list[str]) -> list[int]:
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _signature_run(texts: list[str]) -> np.ndarray:
     padded = [f" {t} ".ljust(GRAM) for t in texts]
     codes = np.frombuffer("".join(padded).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     sizes = np.array([len(t) for t in padded])
@@ -154,108 +188,109 @@ def _simhash_run(texts: list[str]) -> list[int]:
         h = np.zeros(len(codes) - GRAM + 1, dtype=np.uint64)
         for k in range(GRAM):
             h = h * np.uint64(0x100000001B3) + codes[k : len(codes) - GRAM + 1 + k]
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-    # Runs over the border of two texts lie at the last places of each text.
-    owner = np.repeat(np.arange(len(texts)), sizes)[: len(h)]
-    inside = np.arange(len(h)) <= ends[owner] - GRAM
-    h, owner = h[inside], owner[inside]
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
+        # Runs over the border of two texts lie at the last places of each text.
+        owner = np.repeat(np.arange(len(texts)), sizes)[: len(h)]
+        inside = np.arange(len(h)) <= ends[owner] - GRAM
+        h, owner = h[inside], owner[inside]
+        # The similarity is of sets, so a run counts once.
+        order = np.lexsort((h, owner))
+        h, owner = h[order], owner[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))
+        h, owner = h[new], owner[new]
+        wide = np.stack([_mixed(h + np.uint64(d) * np.uint64(0x9E3779B97F4A7C15)) for d in range(LONGS)], axis=1)
     first = np.searchsorted(owner, np.arange(len(texts)))
-    counts = np.add.reduceat(bits, first, axis=0)
     total = np.diff(np.append(first, len(h)))
-    return np.packbits(2 * counts > total[:, None], axis=1).view("<i8").ravel().tolist()
-
-
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >= 1 << 63 else value
+    kind = np.int16 if total.max() < 1 << 14 else np.int32
+    counts = np.add.reduceat(np.unpackbits(wide.view(np.uint8), axis=1).astype(kind), first, axis=0)
+    return np.packbits(2 * counts > total[:, None], axis=1).view("<i8")
 
 
-def block_masks() -> list[int]:
-    """Masks of the tables: each keeps all but ``DISTANCE`` blocks."""
-    edges = [round(k * BITS / BLOCKS) for k in range(BLOCKS + 1)]
-    blocks = [((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in range(BLOCKS)]
-    return [sum(blocks[k] for k in chosen) for chosen in combinations(range(BLOCKS), BLOCKS - DISTANCE)]
+def error_masks() -> list[int]:
+    """What a chunk is changed by: every choice of up to ``RADIUS`` bits."""
+    return [sum(1 << j for j in chosen) for n in range(RADIUS + 1) for chosen in combinations(range(CHUNK_BITS), n)]
 
 
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(doc, form, notice, open) for each different sentence of a text.
+    """(doc, form, core, asked, open) for each different sentence of a text.
 
     A text with an open field gives one more row, without form.
     """
     for batch in batches:
-        docs, forms, known, unfilled = [], [], [], []
+        out = []
         for doc, text in zip(batch["doc"], batch["text"]):
-            seen: dict[str, bool] = {}
+            seen: dict[str, tuple[str | None, bool]] = {}
             for segment in segments(text):
                 form = folded(segment)
                 if form:
-                    seen[form] = seen.get(form, False) or trusted(segment)
-            rows = [(form, notice, False) for form, notice in seen.items()]
+                    known, asked = seen.get(form, (None, True))
+                    seen[form] = (core(segment) if known is None else known, asked and ("?" in segment or "¿" in segment))
+            out += [(doc, form, known, asked, False) for form, (known, asked) in seen.items()]
             if has_placeholder(text):
-                rows.append((None, False, True))
-            for form, notice, unfilled_field in rows:
-                docs.append(doc)
-                forms.append(form)
-                known.append(notice)
-                unfilled.append(unfilled_field)
-        yield pd.DataFrame({"doc": docs, "form": forms, "notice": known, "open": unfilled})
+                out.append((doc, None, None, False, True))
+        yield pd.DataFrame(out, columns=["doc", "form", "core", "asked", "open"])
 
 
-def _hash(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch.assign(hash=simhashes(batch["form"].tolist()))
+        yield batch[["id", "form", "notice", "core"]].assign(signature=list(signatures(batch["form"].tolist())))
 
 
 def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         keep = []
-        for a, b in zip(batch["near"], batch["form"]):
+        for a, b, words in zip(batch["near"], batch["form"], batch["core"]):
             x, y = grams(a), grams(b)
-            keep.append(len(x & y) >= SIMILARITY * len(x | y))
-        yield batch[keep][["id", "form", "hash"]]
+            held = grams(words) if words else set()
+            keep.append(len(x & y) >= SIMILARITY * len(x | y) and len(held & y) >= KEPT * len(held) and not _REPORTED.search(b))
+        yield batch[keep][["id", "form", "signature", "core"]]
 
 
 def spread(forms: DataFrame, rounds: int = 20) -> DataFrame:
     """Forms linked, over any number of links, to a form with ``notice``.
 
-    ``forms``: id, form, notice, hash. A round adds what is near the forms added last; it
-    ends when a round adds none.
+    ``forms``: id, form, notice and, if it is known, core. A round adds what is near the
+    forms added last; it ends when a round adds none.
     """
-    keys = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("table"), F.col("hash").bitwiseAND(F.lit(_signed(m))).alias("block")) for k, m in enumerate(block_masks())
-    ])).alias("key")
-    tables = forms.select("id", "hash", keys).select("id", "hash", "key.table", "key.block")
-    labelled = frontier = materialize(forms.where("notice").select("id", "form", "hash"), "trusted")
+    given = F.coalesce("core", F.lit("")) if "core" in forms.columns else F.lit("")
+    kinds = "id long, form string, notice boolean, core string, signature array<long>"
+    forms = materialize(forms.select("id", "form", "notice", given.alias("core")).mapInPandas(_sign, kinds), "forms")
+    keys = F.explode(F.array(*[_chunk(F.col("signature"), k, CHUNK_BITS) + F.lit(k << CHUNK_BITS) for k in range(CHUNKS)])).alias("key")
+    errors = F.explode(F.array(*[F.lit(m) for m in error_masks()])).alias("error")
+    others = forms.where("not notice").select("id", "form", "signature")
+    tables = others.select("id", keys)
+    frontier = materialize(forms.where("notice").select("id", "form", "signature", "core"), "trusted")
+    labelled = frontier.select("id", "core")
+    apart = sum((F.bit_count(F.col("sign")[k].bitwiseXOR(F.col("signature")[k])) for k in range(LONGS)), F.lit(0))
     for _ in range(rounds):
-        known = frontier.select(F.col("id").alias("known"), F.col("hash").alias("near"), keys).select("known", "near", "key.table", "key.block")
+        sources = frontier.select("id", "signature").dropDuplicates(["id"])
+        listed = sources.select(F.col("id").alias("known"), keys).select("known", "key", errors)
+        listed = listed.select("known", F.col("key").bitwiseXOR(F.col("error")).alias("key"))
         # Explosion isn't in the size estimate, so the join is named by a count of the frontier.
-        way = "broadcast" if frontier.count() <= MOST_SHIPPED else "merge"
-        pairs = known.hint(way).join(tables, ["table", "block"]).where(
-            (F.bit_count(F.col("near").bitwiseXOR(F.col("hash"))) <= DISTANCE) & (F.col("known") != F.col("id"))
-        ).select("known", "id").distinct()
+        way = "broadcast" if sources.count() <= MOST_SHIPPED else "merge"
+        pairs = listed.hint(way).join(tables, "key").where("known != id").select("known", "id").distinct()
+        near = frontier.select(F.col("id").alias("known"), F.col("form").alias("near"), F.col("signature").alias("sign"), "core")
         fresh = (
-            pairs.join(labelled.select("id"), "id", "left_anti")
-            .join(frontier.select(F.col("id").alias("known"), F.col("form").alias("near")), "known")
-            .join(forms.select("id", "form", "hash"), "id").select("id", "form", "hash", "near")
-            .mapInPandas(_alike, "id long, form string, hash long").distinct()
+            pairs.join(near, "known").join(labelled, ["id", "core"], "left_anti").join(others, "id").where(apart <= DISTANCE)
+            .select("id", "form", "signature", "core", "near")
+            .mapInPandas(_alike, "id long, form string, signature array<long>, core string").dropDuplicates(["id", "core"])
         )
         frontier = materialize(fresh, "frontier")
         if frontier.isEmpty():
             break
-        labelled = labelled.unionByName(frontier)
-    return labelled.select("id")
+        labelled = labelled.unionByName(frontier.select("id", "core"))
+    return labelled.select("id").distinct()
 
 
 def residue_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The keys of documents that hold residue, each once."""
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("text is not null")
     kind = rows.schema["doc"].dataType.simpleString()
-    split = rows.mapInPandas(_split, f"doc {kind}, form string, notice boolean, open boolean").withColumn("id", F.xxhash64("form"))
+    split = rows.mapInPandas(_split, f"doc {kind}, form string, core string, asked boolean, open boolean").withColumn("id", F.xxhash64("form"))
     sentences = materialize(split, "sentences")
-    counted = sentences.where("form is not null").groupBy("id").agg(F.min("form").alias("form"), F.bool_or("notice").alias("notice"))
-    forms = materialize(counted.mapInPandas(_hash, "id long, form string, notice boolean, hash long"), "forms")
-    labelled = spread(forms)
-    noticed = sentences.where("form is not null").select("doc", "id").join(labelled, "id", "left_semi").select("doc")
+    counted = sentences.where("form is not null").groupBy("id").agg(
+        F.min("form").alias("form"), F.count("core").alias("known"), F.min("core").alias("core")
+    )
+    labelled = spread(counted.select("id", "form", F.expr("known > 0").alias("notice"), "core"))
+    # A sentence that resembles a trusted one counts where nobody asks.
+    noticed = sentences.where("form is not null and (core is not null or not asked)").select("doc", "id").join(labelled, "id", "left_semi").select("doc")
     return noticed.unionByName(sentences.where("open").select("doc")).distinct().withColumnRenamed("doc", key)

@@ -93,3 +93,41 @@ def test_hints_cover_the_patterns(text):
         plain = residue.fold(segment)
         if residue._NOTICE.search(plain) or residue._MACHINE.search(plain):
             assert any(h in plain for h in residue.HINTS), plain
+
+
+def similar_pairs(count, low, high, seed):
+    """Invented sentences, each with one that differs in some words and has a similarity from ``low`` to ``high``."""
+    rng, out = random.Random(seed), []
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    while len(out) < count:
+        words = [word() for _ in range(rng.randint(6, 24))]
+        other = list(words)
+        for k in rng.sample(range(len(words)), len(words)):
+            other[k] = word()
+            x, y = residue.grams(" ".join(words)), residue.grams(" ".join(other))
+            alike = len(x & y) / len(x | y)
+            if low <= alike <= high:
+                out.append((" ".join(words), " ".join(other)))
+            if alike < high:
+                break
+    return out
+
+
+def test_spread_against_brute_force_on_similarity(spark):
+    pairs = similar_pairs(1500, 0.8, 0.82, 7)
+    texts = [t for p in pairs for t in p]
+    rows = [(k, t, k % 2 == 0) for k, t in enumerate(texts)]
+    got = {r.id for r in residue.spread(spark.createDataFrame(rows, "id long, form string, notice boolean")).collect()}
+    assert len(got & set(range(1, 3000, 2))) >= 0.99 * 1500 and got >= set(range(0, 3000, 2))
+
+
+def test_words_around_residue_spread_nothing(spark):
+    around = "el gobernador informo que las obras del acueducto de la sierra quedaran listas antes de que termine el mes de marzo"
+    texts = [
+        ("xxxxx xxxxx xxxxx xxxxx " + around + ".", True), (around.capitalize() + ".", False),
+        ("Texto de relleno para la nota de portada que el equipo de redaccion cambiara manana.", True),
+        ("Texto de reyeno para la nota de portada que el equipo de redaccion cambiara manana.", True),
+        ("¿Texto de reyeno para la nota de portada que el equipo de redaccion cambiara manana?", False),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "k long, t string")
+    assert {r.k for r in residue.residue_documents(df, "k", "t").collect()} == {k for k, (_, bad) in enumerate(texts) if bad}

@@ -245,7 +245,7 @@ def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[keep][["id", "form", "signature", "core"]]
 
 
-def spread(forms: DataFrame, rounds: int = 20) -> DataFrame:
+def spread(forms: DataFrame) -> DataFrame:
     """Forms linked, over any number of links, to a form with ``notice``.
 
     ``forms``: id, form, notice and, if it is known, core. A round adds what is near the
@@ -261,7 +261,7 @@ def spread(forms: DataFrame, rounds: int = 20) -> DataFrame:
     frontier = materialize(forms.where("notice").select("id", "form", "signature", "core"), "trusted")
     labelled = frontier.select("id", "core")
     apart = sum((F.bit_count(F.col("sign")[k].bitwiseXOR(F.col("signature")[k])) for k in range(LONGS)), F.lit(0))
-    for _ in range(rounds):
+    while not frontier.isEmpty():
         sources = frontier.select("id", "signature").dropDuplicates(["id"])
         listed = sources.select(F.col("id").alias("known"), keys).select("known", "key", errors)
         listed = listed.select("known", F.col("key").bitwiseXOR(F.col("error")).alias("key"))
@@ -275,8 +275,6 @@ def spread(forms: DataFrame, rounds: int = 20) -> DataFrame:
             .mapInPandas(_alike, "id long, form string, signature array<long>, core string").dropDuplicates(["id", "core"])
         )
         frontier = materialize(fresh, "frontier")
-        if frontier.isEmpty():
-            break
         labelled = labelled.unionByName(frontier.select("id", "core"))
     return labelled.select("id").distinct()
 

@@ -131,3 +131,13 @@ def test_words_around_residue_spread_nothing(spark):
     ]
     df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "k long, t string")
     assert {r.k for r in residue.residue_documents(df, "k", "t").collect()} == {k for k, (_, bad) in enumerate(texts) if bad}
+
+
+def test_labels_spread_over_more_than_twenty_links(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(36)]
+    chain = [residue.grams(" ".join(words[k : k + 14])) for k in range(23)]
+    assert max(len(x & y) / len(x | y) for x, y in zip(chain, chain[2:])) < residue.SIMILARITY
+    rows = [(k, " ".join(words[k : k + 14]), k == 0) for k in range(23)]
+    got = {r.id for r in residue.spread(spark.createDataFrame(rows, "id long, form string, notice boolean")).collect()}
+    assert got == set(range(23))

@@ -34,12 +34,13 @@ def keyword_labeller(keywords: dict[str, list[str]]) -> Callable[[list[str], int
 
 
 def label_texts(items: DataFrame, key: str, text: str, ask: Callable[[list[str], int], list[str | None]], categories: list[str], *,
-                batch: int = 10, most: int = 900, shortest: int = 12, passes: int = 1, tries: int = 3, pause: float = 1.0,
+                batch: int = 10, most: int | None = None, shortest: int = 12, passes: int = 1, tries: int = 3, pause: float = 1.0,
                 method: str = "local") -> DataFrame:
     """(key, pasada, etiqueta, metodo, fragmento, razon), one row per item and pass.
 
     Short items are rejected with a reason; so are labels outside the list and batches
-    that fail after all tries. ``repartition`` outside decides how many batches run at once.
+    that fail after all tries. Texts are read whole; ``most`` cuts them for a labeller
+    whose prompts are limited. ``repartition`` outside decides how many batches run at once.
     """
     allowed = set(categories)
 

@@ -94,3 +94,10 @@ def test_windows(spark, tmp_path):
     df = spark.createDataFrame(rows).withColumn("ts", F.col("ts").cast("timestamp"))
     got = streams.windowed_counts(df, "ts", "k", "v").orderBy("desde").collect()
     assert [(r.k, r.n, r.suma) for r in got] == [("a", 2, 3.0), ("b", 1, 3.0)]
+
+
+def test_long_texts_are_labelled_whole(spark):
+    items = spark.createDataFrame([("1", "nada " * 300 + "puente")], "id string, t string")
+    ask = lambda texts, turn: ["obra" if "puente" in t else None for t in texts]
+    assert [r.etiqueta for r in classify.label_texts(items, "id", "t", ask, ["obra"]).collect()] == ["obra"]
+    assert [r.etiqueta for r in classify.label_texts(items, "id", "t", ask, ["obra"], most=900).collect()] == [None]

@@ -3,7 +3,8 @@
 Each label is either truthful (with the annotator's competence) or drawn from the
 annotator's own guess distribution; the item's true label has a prior. Expectation
 maximisation gives the posterior of every item's label, every annotator's competence
-and guesses. It runs until the largest change is under ``tolerance``.
+and guesses. It runs until the largest change is under ``tolerance`` and raises if that
+takes more than ``rounds`` rounds (1,000 unless given).
 
 Scale: labels are made distinct per item and annotator, items with the same labels from
 the same annotators are one pattern with a count, and every round sends only sums per
@@ -112,9 +113,9 @@ def _expect(model: Mixture):
     return run
 
 
-def fit(patterns: DataFrame, labels: list[str], *, rounds: int = 60, tolerance: float = 1e-5, smooth: float = 0.1,
+def fit(patterns: DataFrame, labels: list[str], *, rounds: int = 1000, tolerance: float = 1e-5, smooth: float = 0.1,
         max_annotators: int = 100_000) -> Mixture:
-    """Expectation maximisation over the patterns."""
+    """Expectation maximisation over the patterns; raises if ``rounds`` don't bring the largest change under ``tolerance``."""
     annotators = [
         r.a for r in patterns.select(F.explode("annotators").alias("a")).distinct().orderBy("a").limit(max_annotators + 1).collect()
     ]
@@ -143,8 +144,8 @@ def fit(patterns: DataFrame, labels: list[str], *, rounds: int = 60, tolerance:
         moved = max(abs(competence - model.competence).max(), abs(guesses - model.guesses).max(), abs(prior - model.prior).max())
         model = Mixture(annotators, competence, guesses, prior)
         if moved < tolerance:
-            break
-    return model
+            return model
+    raise ValueError(f"the largest change is still {moved:.2g} after {rounds} rounds")
 
 
 def _decide(model: Mixture, labels: list[str]):

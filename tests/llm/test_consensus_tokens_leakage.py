@@ -44,6 +44,14 @@ def test_consensus_of_few(spark):
     assert items.count() == 0 and model.annotators == []
 
 
+def test_fit_runs_to_the_tolerance_or_raises(spark):
+    rng = random.Random(3)
+    rows = [(f"q{k}", p, rng.choice(LABELS[:2]), 0) for k in range(60) for p in range(3)]
+    df = consensus.distinct_votes(votes(spark, rows), "q", "p", "l", "r", LABELS)
+    with pytest.raises(ValueError, match="after 2 rounds"):
+        consensus.consensus(df, LABELS, rounds=2)
+
+
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(tokens.BYTE_BPE_50K), reason="no vocabulary file")
 TEXTS = ["", " ", "Hola, ¿qué tal?", "<|endoftext|> x", "日本語 🙂 naïve\n\t", "Пресс-служба", "a" * 5000, "é" * 3, None]
 

@@ -1,36 +1,39 @@
 """Template residue, filler and error-page text in documents.
 
-Placeholders nobody filled in are found by their syntax. Error pages, script notices and
-filler have no syntax: their sentences are compared over the whole corpus. Distinct
-folded sentences get a SimHash over their different runs of letters; partitioned tables,
-one for each chunk of its bits, find the sentences that agree in some chunk up to
-``RADIUS`` errors; the distance and the similarity of their letters are verified; and
-labels spread from sentences that trusted patterns recognise over these links.
+Every sentence is a node, and so is every confirmed notice (``notices.NOTICES``). Nodes get
+a SimHash over their different runs of letters. Partitioned tables, one for each chunk of
+its bits, find the nodes that agree in some chunk up to ``RADIUS`` errors; the distance and
+the similarity of their letters are verified; and trusted labels are propagated through the
+components of these links. Trusted are the confirmed notices, sentences with a field that
+nobody filled in (known by its syntax) and a few signs of a program's own output.
 
 Two sentences of similarity 0.8 differ in 15 of 100 bits on average, so a chunk agrees up
 to two errors with chance 0.36, and one of twelve chunks does with 0.995; nearer ones are
 missed less often.
 
-A sentence may resemble a trusted one by what stands around the residue. So a label only
-reaches sentences that hold at least ``KEPT`` of the runs of the words that the pattern
-recognised (the core), over any number of links, and none in which someone reports or asks.
-
-Scale: sentences are counted and made distinct before anything else. Labels spread as a
-frontier: each round joins only the newly labelled sentences with the tables, so links
-inside ordinary, often repeated turns of phrase are never built. Only the frontier lists
-errors, so a table holds a sentence once; random meetings are one in 750 of the sentences
-for each labelled one, fewer with more and wider chunks. Tables, links and labels are
-DataFrames; only counts reach the driver.
-
-Defined results: null, empty and blank texts hold no residue; texts are read whole; a
-sentence in which someone reports an error or a form isn't trusted.
+A sentence may resemble a trusted one by what stands around the residue. So each label
+carries its core (the words that make it residue), and reaches only nodes that hold at
+least ``KEPT`` of the core's runs, over any number of links. Since nothing else can be
+labelled, only such sentences get a signature: one vectorised pass over all runs of all
+texts decides that. A sentence that lacks a full stop before or after residue is also cut
+where a capital follows a small letter, and its pieces are nodes of their own.
+
+Scale: sentences are screened and made distinct before anything else. Labels spread as a
+frontier: each round joins only the newly labelled nodes with the tables, so links inside
+ordinary, often repeated turns of phrase are never built. Both sides list their chunks with
+one error at most, so the lists meet for two. Tables, links and labels are DataFrames; only
+whether a round added anything reaches the driver. The notices are counted (``MOST_NOTICES``).
+
+Defined results: null, empty and blank texts hold no residue; texts are read whole; someone
+talking or asking about an error or a form isn't near the notice itself; a label of an unfilled field
+reaches only sentences that hold signs of a field.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -38,66 +41,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hemerion.llm.neardup import _chunk
+from hemerion.llm.notices import MACHINE, NOTICES, PLACEHOLDERS
 from hemerion.llm.text import fold, slices
 from hemerion.session import materialize
 
-#: The syntax of fields that a template engine or a writer should have filled.
-PLACEHOLDERS = [
-    r"\{\{[^{}]{0,80}\}\}", r"\{%[^{}]{0,80}%\}", r"\$\{[^{}]{0,80}\}", r"%\([^()\s]{1,60}\)[sd]", r"@@[^@\s]{1,60}@@",
-    r"<<[^<>\n]{1,60}>>", r"(?<![\w#])#[A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ_]{1,40}#", r"(?<!\w)__[A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ_]{1,40}__(?!\w)",
-    r"(?<![\{\w$\"'])\{[a-záéíóúñ_]{2,40}\}(?!\})", r"\[\s*(?i:insertar|inserte|insert|inserir|insira|insérer)\b[^\[\]\n]{0,60}\]",
-    r"\[[^\[\]\n]{1,50}(?i:aquí|aqui|here|ici)\s*\]", r"\[\s*(?i:nombre|fecha|cargo|lugar|monto|título|titulo|medio|folio|municipio)"
-    r"\s+(?i:del?|de la)\s[^\[\]\n]{1,40}\]", r"\bXX+\s+de\s+XX+(?:\s+de\s+(?:20)?XX+)?", r"<%[^<>%]{0,80}%>",
-]
-#: What trusted residue says, folded.
-NOTICES = [
-    # scripts and cookies are required
-    r"\b(?:enable|activate|turn on|habilit\w+|activ\w+|ativ\w+|activez|necesita\w*|requiere\w*|requires?|need\w*)\b.{0,40}\b(?:javascript|scripts?)\b",
-    r"\b(?:javascript|scripts?)\b.{0,40}\b(?:desactivad\w+|deshabilitad\w+|disabled|required|desativad\w+|desactive\w*)\b",
-    r"\bno admite (?:java)?scripts?\b", r"^contenido dinamico no disponible",
-    r"comprobando su navegador", r"checking your browser", r"verificando (?:su|seu) navegador",
-    r"^activelo y recargue la pagina", r"^recargue la pagina en unos",
-    # error pages
-    r"^(?:http/?\d?\.?\d? ?)?(?:error )?[345]\d\d\b.{0,4}(?:not found|servicio no|pagina|bad gateway|internal|forbidden|service|gateway|acceso)",
-    r"^error \d{3}\b\W*$", r"<title> ?[345]\d\d ?</title>", r"\bpagina (?:que busca |solicitada )?no (?:existe|encontrada|fue encontrada|se encontro)",
-    r"\bpagina nao encontrada", r"^page (?:introuvable|non trouvee|not found)", r"\bno se pudo establecer la conexion con la base",
-    r"\bse agoto el tiempo de espera de la pasarela", r"\b(?:error|erro|erreur) interno? d[eo]l? serv\w+", r"\berreur interne du serveur",
-    r"\binternal server error", r"\bservicio no disponible\b.{0,5}$", r"\bel sitio esta en mantenimiento", r"\bcontenido (?:retirado|no disponible)",
-    r"^(?:php )?fatal error\b", r"\buncaught exception\b", r"^traceback \(most recent call last\)", r"\b(?:key|value|type|attribute)error: ",
-    r"^\{ ?\"?(?:status|error|code)\"?:", r"\bwe can.?t seem to find", r"^go back home\W*$", r"\brequested (?:document|page|url) was not",
-    r"\berror al cargar\b", r"\bintentelo mas tarde o avise al administrador", r"^volver al inicio\W*$", r"^acceso denegado",
-    # filler
-    r"\blorem ipsum\b", r"\bdolor sit amet\b", r"\btexto de (?:relleno|prueba|ejemplo|muestra)\b", r"\bescriba aqui\b", r"\baqui va (?:el|la)\b",
-    r"\binsira o texto\b", r"\binsert (?:text|your text|title)\b.{0,12}\bhere\b", r"^(?:nota|texto|titulo|contenido|cuerpo) (?:por definir|pendiente)\W*$",
-    r"\bplaceholder text\b", r"\byour (?:text|title|content) (?:goes )?here\b", r"^(?:titulo|texto|encabezado|parrafo|contenido|cuerpo|pie(?: de foto)?) de (?:ejemplo|prueba|muestra)\b",
-    r"^ejemplo de (?:encabezado|subtitulo|cuerpo|titulo|texto)\b", r"^\W*pendiente de redactar\W*$", r"\bno publicar\W*$",
-    r"^sustituir antes de publicar",
-    r"\basdf\b", r"\bqwerty\b", r"(?:\bx{4,}\b ?){2,}", r"\btk tk\b", r"\bcompletar con la version final\b", r"\bprueba prueba prueba\b",
-    r"\b(?:bajada|balazo|cuerpo|titulo|texto|sumario|entradilla) pendiente\b",
-    r"\btexte (?:a venir|de remplissage)\b", r"\bsubstituya este texto|sustituya este texto|reemplace este texto",
-]
-#: Residue that no speaker says, whatever stands around it, folded.
-MACHINE = [
-    r"<title> ?[345]\d\d ?</title>", r"<noscript>", r"\bfatal error: uncaught", r"\btraceback \(most recent call last\)",
-    r"\{ ?\"?(?:status|error|code)\"? ?: ?\"?[345]\d\d", r"\blorem ipsum\b", r"\basdf asdf\b", r"\btk tk tk\b",
-]
-#: Letters of which every trusted sentence holds some; each pattern above needs one.
-HINTS = [
-    "script", "dinamico", "naveg", "browser", "recargue", "error", "erro ", "erreur", "pagina", "page", "not found", "servic", "gateway",
-    "internal", "forbidden", "acceso", "title>", "base", "pasarela", "manten", "contenido", "exception", "traceback", "status", "code",
-    "we can", "go back", "requested", "intentelo", "volver", "lorem", "dolor sit", "texto", "text", "escriba", "aqui va", "here", "nota ",
-    "titulo", "cuerpo", "asdf", "qwerty", "xxxx", "tk tk", "version final", "prueba", "pendiente", "ejemplo", "muestra", "publicar",
-]
-#: Signs that someone talks about an error or form, folded.
-REPORTED = (
-    r"\b(?:pregunto|preguntaron|conto que|dijo|dijeron|explico|explicaron|reclamo|comento|respondio|aseguro|aseguran|denuncio|denuncian|"
-    r"se quejo|insistio|said|asked|told|replied|complained|disse|perguntou|a dit|a demande|segun|la reportera|el reportero conto|vecin[oa]s|"
-    r"quedo en la lista|marco error|trae campos)\b|[¿?]"
-)
 _PLACEHOLDER = re.compile("|".join(PLACEHOLDERS))
-_NOTICE, _MACHINE, _REPORTED = re.compile("|".join(NOTICES)), re.compile("|".join(MACHINE)), re.compile(REPORTED)
-_BREAK = re.compile(r"(?<=[.?!…])[\s ]+|[\r\n]+")
+_SIGN = re.compile(r"[{}\[\]]|<<|>>|<%|%\(|@@|__|#[A-ZÁÉÍÓÚÑ]|\bXX")
+_MACHINE = [(re.compile(pattern), core) for pattern, core in MACHINE.items()]
+#: Letters of which every text that a ``MACHINE`` pattern matches holds some.
+_MACHINE_HINTS = ("ipsum", "dolor sit", "asdf", "qwerty", "xxxx", "tk tk", "traceback", "uncaught", "noscript", "title>", "status", "error", "code", "relleno")
+_BREAK = re.compile(r"(?<=[.?!…])[\s ]+|[\r\n]+")
+_PIECE = re.compile(r"(?<=[a-záéíóúüñàâãçèêô0-9.,;:!?)\]])\s+(?=[A-ZÁÉÍÓÚÜÑÀÂÃÇÈÊÔ¿¡0-9])|\s*[\[\]<>|{}«»“”\"]+\s*")
 _WORDS = re.compile(r"[^\W_]+")
+_FIGURES = re.compile(r"\d+")
+_SIGNED = re.compile(r"[^\W_]+|[{}\[\]<>$%@#_]+")
 SIMILARITY, GRAM = 0.8, 4
 #: Chunks of the signature, three to a long, and the errors up to which one must agree.
 CHUNKS, CHUNK_BITS, RADIUS = 12, 21, 2
@@ -106,8 +63,8 @@ LONGS = CHUNKS // (64 // CHUNK_BITS)
 DISTANCE = 64
 #: Share of the core's runs that a sentence must hold to be labelled.
 KEPT = 0.5
-#: Most newly labelled sentences that are shipped to every worker (each with its 2,784 keys); more are joined by shuffle.
-MOST_SHIPPED = 200
+#: Most confirmed notices that are shipped to the workers; more raise.
+MOST_NOTICES = 20_000
 
 
 def segments(text: str) -> list[str]:
@@ -117,44 +74,21 @@ def segments(text: str) -> list[str]:
 
 def folded(segment: str) -> str:
     """Form under which equal sentences agree: folded words, figures as one sign."""
-    return re.sub(r"\d+", "0", " ".join(_WORDS.findall(fold(segment))))
-
-
-def has_placeholder(text: str) -> bool:
-    return _PLACEHOLDER.search(text) is not None
-
-
-def trusted(segment: str) -> bool:
-    """Whether a pattern recognises the sentence as a notice, error or filler."""
-    return core(segment) is not None
+    return _joined(fold(segment))
 
 
-def core(segment: str) -> str | None:
-    """The words by which a pattern recognises the sentence, folded; None if none does."""
-    plain = fold(segment)
-    if not any(True for _ in _hints().iter(plain)):
-        return None
-    pattern = _MACHINE if _MACHINE.search(plain) else _NOTICE
-    parts = [m.group() for m in pattern.finditer(plain)]
-    if not parts or (pattern is _NOTICE and _REPORTED.search(plain)):
-        return None
-    return folded(" ".join(parts))
+def _joined(plain: str) -> str:
+    form = " ".join(_WORDS.findall(plain))
+    return _FIGURES.sub("0", form)
 
 
-_automaton: list = []
+def signed(segment: str) -> str:
+    """Form that keeps the signs of fields."""
+    return _FIGURES.sub("0", " ".join(_SIGNED.findall(fold(segment))))
 
 
-def _hints():
-    """Automaton over the letters without which no trusted pattern can match."""
-    if not _automaton:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for hint in HINTS:
-            automaton.add_word(hint, hint)
-        automaton.make_automaton()
-        _automaton.append(automaton)
-    return _automaton[0]
+def has_placeholder(text: str) -> bool:
+    return _SIGN.search(text) is not None and _PLACEHOLDER.search(text) is not None
 
 
 def grams(text: str) -> set[str]:
@@ -179,24 +113,34 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _signature_run(texts: list[str]) -> np.ndarray:
+def _runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of every run of ``GRAM`` letters of each text between blanks."""
     padded = [f" {t} ".ljust(GRAM) for t in texts]
-    codes = np.frombuffer("".join(padded).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     sizes = np.array([len(t) for t in padded])
-    ends = np.cumsum(sizes)
     with np.errstate(over="ignore"):
         h = np.zeros(len(codes) - GRAM + 1, dtype=np.uint64)
         for k in range(GRAM):
             h = h * np.uint64(0x100000001B3) + codes[k : len(codes) - GRAM + 1 + k]
-        # Runs over the border of two texts lie at the last places of each text.
-        owner = np.repeat(np.arange(len(texts)), sizes)[: len(h)]
-        inside = np.arange(len(h)) <= ends[owner] - GRAM
-        h, owner = h[inside], owner[inside]
-        # The similarity is of sets, so a run counts once.
-        order = np.lexsort((h, owner))
-        h, owner = h[order], owner[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))
-        h, owner = h[new], owner[new]
+        h = h * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    # Runs over the border of two texts lie at the last places of each text.
+    owner = np.repeat(np.arange(len(texts)), sizes)[: len(h)]
+    inside = np.arange(len(h)) <= np.cumsum(sizes)[owner] - GRAM
+    return h[inside], owner[inside]
+
+
+def _distinct(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The similarity is of sets, so a run counts once."""
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])) if len(h) else np.zeros(0, dtype=bool)
+    return h[new], owner[new]
+
+
+def _signature_run(texts: list[str]) -> np.ndarray:
+    h, owner = _distinct(*_runs(texts))
+    with np.errstate(over="ignore"):
         wide = np.stack([_mixed(h + np.uint64(d) * np.uint64(0x9E3779B97F4A7C15)) for d in range(LONGS)], axis=1)
     first = np.searchsorted(owner, np.arange(len(texts)))
     total = np.diff(np.append(first, len(h)))
@@ -205,29 +149,117 @@ def _signature_run(texts: list[str]) -> np.ndarray:
     return np.packbits(2 * counts > total[:, None], axis=1).view("<i8")
 
 
-def error_masks() -> list[int]:
-    """What a chunk is changed by: every choice of up to ``RADIUS`` bits."""
-    return [sum(1 << j for j in chosen) for n in range(RADIUS + 1) for chosen in combinations(range(CHUNK_BITS), n)]
-
-
-def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(doc, form, core, asked, open) for each different sentence of a text.
-
-    A text with an open field gives one more row, without form.
-    """
-    for batch in batches:
-        out = []
-        for doc, text in zip(batch["doc"], batch["text"]):
-            seen: dict[str, tuple[str | None, bool]] = {}
-            for segment in segments(text):
-                form = folded(segment)
-                if form:
-                    known, asked = seen.get(form, (None, True))
-                    seen[form] = (core(segment) if known is None else known, asked and ("?" in segment or "¿" in segment))
-            out += [(doc, form, known, asked, False) for form, (known, asked) in seen.items()]
-            if has_placeholder(text):
-                out.append((doc, None, None, False, True))
-        yield pd.DataFrame(out, columns=["doc", "form", "core", "asked", "open"])
+class Screen:
+    """Finds, for many forms at once, the cores of which each holds ``KEPT`` of the runs."""
+
+    def __init__(self, cores: list[str]):
+        self.cores = cores
+        h, owner = _distinct(*_runs(cores))
+        self.sizes = np.bincount(owner, minlength=len(cores))
+        order = np.argsort(h, kind="stable")
+        self.known, self.first = np.unique(h[order], return_index=True)
+        self.owners = owner[order]
+        self.count = np.diff(np.append(self.first, len(h)))
+        # Most runs of a corpus are in no core: a table of bits turns them away without a search.
+        self.bits = np.zeros(1 << 20, dtype=bool)
+        self.bits[(self.known >> np.uint64(44)).astype(np.int64)] = True
+
+    def held(self, forms: list[str]) -> list[tuple[int, int]]:
+        """(form, core) pairs."""
+        out, start = [], 0
+        for run in slices(forms, 400_000):
+            h, owner = _runs(run)
+            maybe = self.bits[(h >> np.uint64(44)).astype(np.int64)]
+            h, owner = h[maybe], owner[maybe]
+            at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+            hit = self.known[at] == h
+            at, owner = _distinct(at[hit], owner[hit])
+            reps = self.count[at]
+            which = np.repeat(self.first[at] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
+            pairs, n = np.unique(np.repeat(owner, reps).astype(np.int64) * len(self.cores) + self.owners[which], return_counts=True)
+            core = pairs % len(self.cores)
+            kept = n >= KEPT * self.sizes[core]
+            out += [(start + int(f), int(c)) for f, c in zip(pairs[kept] // len(self.cores), core[kept])]
+            start += len(run)
+        return out
+
+
+def pieces(segment: str, shortest: int, longest: int) -> list[str]:
+    """Forms of runs of pieces between missing full stops, brackets and quotes, from ``shortest`` to ``longest`` letters."""
+    parts = [p for p in _PIECE.split(segment) if p]
+    # Where someone asks, a run of pieces ends.
+    parts, out = ["" if _asked(p) else folded(p) for p in parts], []
+    for i in range(len(parts)):
+        run = ""
+        for part in parts[i:]:
+            run = f"{run} {part}" if run else part
+            if not part or len(run) > longest:
+                break
+            if len(run) >= shortest:
+                out.append(run)
+    return out
+
+
+def _asked(segment: str) -> bool:
+    return "?" in segment or "¿" in segment
+
+
+def _fields(text: str) -> list[tuple[str, str | None]]:
+    """(form, core) of the sentences that hold signs of fields; the core is null where the syntax is none."""
+    spans, start = [], 0
+    for m in _BREAK.finditer(text):
+        spans.append((start, m.start()))
+        start = m.end()
+    spans.append((start, len(text)))
+    starts, cores, out = [s for s, _ in spans], {}, []
+    for m in _PLACEHOLDER.finditer(text):
+        k = bisect_right(starts, m.start()) - 1
+        if m.end() <= spans[k][1]:
+            cores.setdefault(k, []).append(m.group())
+        else:
+            out.append((signed(m.group()), signed(m.group())))
+    for k, (a, b) in enumerate(spans):
+        if k in cores:
+            out.append((signed(text[a:b]), signed(" ".join(cores[k]))))
+        elif _SIGN.search(text, a, b):
+            out.append((signed(text[a:b]), None))
+    return out
+
+
+def _splitter(cores: list[str]):
+    """(doc, form, core) of the sentences of each text that can be labelled; the core is null unless it is trusted."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        screen = Screen(cores)
+        # A program's sign may stand in a sentence of any length; a notice is the whole of its sentence or piece.
+        core_open = [c in MACHINE.values() for c in cores]
+        for batch in batches:
+            out: list[tuple] = []
+            docs, forms = [], []
+            for doc, text in zip(batch["doc"], batch["text"]):
+                if _SIGN.search(text):
+                    out += [(doc, form, core) for form, core in _fields(text)]
+                plain = fold(text)
+                parts = segments(plain)
+                if any(h in plain for h in _MACHINE_HINTS):
+                    for segment in parts:
+                        core = next((c for p, c in _MACHINE if p.search(segment)), None)
+                        if core:
+                            out.append((doc, _joined(segment), core))
+                docs += [(doc, text, k) for k in range(len(parts))]
+                forms += [_joined(segment) for segment in parts]
+            for k, c in screen.held(forms):
+                doc, text, at = docs[k]
+                size = len(screen.cores[c])
+                # Folding keeps breaks, so sentences of the text as typed have the same places.
+                typed = segments(text)[at]
+                if (size <= 2 * len(forms[k]) and len(forms[k]) <= 2 * size or core_open[c]) and not _asked(typed):
+                    out.append((doc, forms[k], None))
+                out += [(doc, piece, None) for piece in pieces(typed, size // 2, 2 * size)]
+            found = pd.DataFrame(out, columns=["doc", "form", "core"])
+            yield found[found["form"] != ""].drop_duplicates()
+
+    return run
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,7 +273,7 @@ def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b, words in zip(batch["near"], batch["form"], batch["core"]):
             x, y = grams(a), grams(b)
             held = grams(words) if words else set()
-            keep.append(len(x & y) >= SIMILARITY * len(x | y) and len(held & y) >= KEPT * len(held) and not _REPORTED.search(b))
+            keep.append(len(x & y) >= SIMILARITY * len(x | y) and len(held & y) >= KEPT * len(held))
         yield batch[keep][["id", "form", "signature", "core"]]
 
 
@@ -254,20 +286,22 @@ def spread(forms: DataFrame) -> DataFrame:
     given = F.coalesce("core", F.lit("")) if "core" in forms.columns else F.lit("")
     kinds = "id long, form string, notice boolean, core string, signature array<long>"
     forms = materialize(forms.select("id", "form", "notice", given.alias("core")).mapInPandas(_sign, kinds), "forms")
-    keys = F.explode(F.array(*[_chunk(F.col("signature"), k, CHUNK_BITS) + F.lit(k << CHUNK_BITS) for k in range(CHUNKS)])).alias("key")
-    errors = F.explode(F.array(*[F.lit(m) for m in error_masks()])).alias("error")
+    chunks = F.explode(F.array(*[_chunk(F.col("signature"), k, CHUNK_BITS) + F.lit(k << CHUNK_BITS) for k in range(CHUNKS)])).alias("chunk")
+    # One error on either side lets two errors meet.
+    errors = F.explode(F.array(F.lit(0), *[F.lit(1 << j) for j in range(CHUNK_BITS)])).alias("error")
+
+    def keys(rows: DataFrame) -> DataFrame:
+        return rows.select("id", chunks).select("id", "chunk", errors).select("id", F.col("chunk").bitwiseXOR(F.col("error")).alias("key"))
+
     others = forms.where("not notice").select("id", "form", "signature")
-    tables = others.select("id", keys)
+    tables = materialize(keys(others), "tables")
     frontier = materialize(forms.where("notice").select("id", "form", "signature", "core"), "trusted")
     labelled = frontier.select("id", "core")
     apart = sum((F.bit_count(F.col("sign")[k].bitwiseXOR(F.col("signature")[k])) for k in range(LONGS)), F.lit(0))
     while not frontier.isEmpty():
-        sources = frontier.select("id", "signature").dropDuplicates(["id"])
-        listed = sources.select(F.col("id").alias("known"), keys).select("known", "key", errors)
-        listed = listed.select("known", F.col("key").bitwiseXOR(F.col("error")).alias("key"))
-        # Explosion isn't in the size estimate, so the join is named by a count of the frontier.
-        way = "broadcast" if sources.count() <= MOST_SHIPPED else "merge"
-        pairs = listed.hint(way).join(tables, "key").where("known != id").select("known", "id").distinct()
+        sources = keys(frontier.select("id", "signature").dropDuplicates(["id"])).withColumnRenamed("id", "known")
+        # Explosion isn't in the size estimate, so the join is named: neither side is shipped whole.
+        pairs = sources.hint("merge").join(tables, "key").where("known != id").select("known", "id").distinct()
         near = frontier.select(F.col("id").alias("known"), F.col("form").alias("near"), F.col("signature").alias("sign"), "core")
         fresh = (
             pairs.join(near, "known").join(labelled, ["id", "core"], "left_anti").join(others, "id").where(apart <= DISTANCE)
@@ -279,16 +313,26 @@ def spread(forms: DataFrame) -> DataFrame:
     return labelled.select("id").distinct()
 
 
-def residue_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The keys of documents that hold residue, each once."""
+def labelled_sentences(docs: DataFrame, key: str, text: str, notices: list[str] | None = None) -> DataFrame:
+    """(doc, form, trusted): the residue sentences of each document, and whether they were trusted from the start."""
+    spark = docs.sparkSession
+    listed = sorted({f for f in map(folded, NOTICES if notices is None else notices) if f})
+    if len(listed) > MOST_NOTICES:
+        raise ValueError(f"more than {MOST_NOTICES} notices")
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("text is not null")
     kind = rows.schema["doc"].dataType.simpleString()
-    split = rows.mapInPandas(_split, f"doc {kind}, form string, core string, asked boolean, open boolean").withColumn("id", F.xxhash64("form"))
-    sentences = materialize(split, "sentences")
-    counted = sentences.where("form is not null").groupBy("id").agg(
-        F.min("form").alias("form"), F.count("core").alias("known"), F.min("core").alias("core")
+    split = rows.mapInPandas(_splitter(sorted({*listed, *MACHINE.values()})), f"doc {kind}, form string, core string")
+    sentences = materialize(split.withColumn("id", F.xxhash64("form")), "sentences")
+    counted = sentences.groupBy("id").agg(F.min("form").alias("form"), F.min("core").alias("core"))
+    # Notices are nodes of their own: what equals one is linked to it at distance 0.
+    known = spark.createDataFrame([(f, f) for f in listed], "form string, core string").select(
+        F.xxhash64(F.lit("notice"), "form").alias("id"), "form", "core"
     )
-    labelled = spread(counted.select("id", "form", F.expr("known > 0").alias("notice"), "core"))
-    # A sentence that resembles a trusted one counts where nobody asks.
-    noticed = sentences.where("form is not null and (core is not null or not asked)").select("doc", "id").join(labelled, "id", "left_semi").select("doc")
-    return noticed.unionByName(sentences.where("open").select("doc")).distinct().withColumnRenamed("doc", key)
+    nodes = counted.select("id", "form", "core").unionByName(known)
+    labelled = spread(nodes.withColumn("notice", F.col("core").isNotNull()))
+    return sentences.join(labelled, "id", "left_semi").select("doc", "form", F.col("core").isNotNull().alias("trusted"))
+
+
+def residue_documents(docs: DataFrame, key: str, text: str, notices: list[str] | None = None) -> DataFrame:
+    """The keys of documents that hold residue, each once."""
+    return labelled_sentences(docs, key, text, notices).select("doc").distinct().withColumnRenamed("doc", key)

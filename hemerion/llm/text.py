@@ -6,7 +6,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-_MARKS = {c: None for c in range(0x300, 0x370)}
+_MARKS = re.compile("[\u0300-\u036f]+")
 _MOJIBAKE = re.compile("[ÃÂâ]")
 _WORD = re.compile(r"[a-z0-9]+")
 
@@ -27,7 +27,7 @@ def fold(text: str) -> str:
     text = text.lower()
     if text.isascii():
         return text
-    return unicodedata.normalize("NFD", text).translate(_MARKS)
+    return _MARKS.sub("", unicodedata.normalize("NFD", text))
 
 
 def words(text: str) -> list[str]:

@@ -91,8 +91,8 @@ def test_labels_spread_over_links(spark):
 def test_hints_cover_the_patterns(text):
     for segment in residue.segments(text):
         plain = residue.fold(segment)
-        if residue._NOTICE.search(plain) or residue._MACHINE.search(plain):
-            assert any(h in plain for h in residue.HINTS), plain
+        if any(p.search(plain) for p, _ in residue._MACHINE):
+            assert any(h in plain for h in residue._MACHINE_HINTS), plain
 
 
 def similar_pairs(count, low, high, seed):
@@ -141,3 +141,37 @@ def test_labels_spread_over_more_than_twenty_links(spark):
     rows = [(k, " ".join(words[k : k + 14]), k == 0) for k in range(23)]
     got = {r.id for r in residue.spread(spark.createDataFrame(rows, "id long, form string, notice boolean")).collect()}
     assert got == set(range(23))
+
+
+def test_the_screen_equals_counting_runs():
+    rng = random.Random(11)
+    words = ["de", "la", "pagina", "error", "servicio", "texto", "no", "existe"]
+    some = lambda n: [" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(n)]
+    cores, forms = sorted(set(some(30))), some(200) + ["", "x"]
+    want = {(i, j) for i, f in enumerate(forms) for j, c in enumerate(cores) if len(residue.grams(c) & residue.grams(f)) >= residue.KEPT * len(residue.grams(c))}
+    assert set(residue.Screen(cores).held(forms)) == want
+
+
+@pytest.mark.parametrize("text, found", [
+    ("Dear {{" + "x" * 500 + "}}: hello.", True), ("Pagó ${" + "y" * 500 + "} ayer.", True), ("[insertar " + "nombre " * 60 + "]", True), ("{{\n nombre\n}}", True),
+    ("Dijo que no. Su navegador no admite scripts; el reproductor no puede mostrarse Sobre lo mismo, ¿cuánto costó la obra?", True),
+    ("[pendiente de redactar] Para Ana, el asunto es otro.", True), ("RESPUESTA: Error 404", True), ("Oops! Something went wrong on our side.", True),
+    ("This page is having trouble loading. Try again later.", True), ("Consectetur adipiscing elit sed do eiusmod tempor.", True),
+    ("La sesión expiró sin acuerdos y los asistentes tuvieron que volver al inicio de la fila.", False), ("¿Página no encontrada?", False),
+])
+def test_residue_in_any_place(spark, text, found):
+    df = spark.createDataFrame([(1, text), (2, "Nada.")], "k long, t string")
+    assert [r.k for r in residue.residue_documents(df, "k", "t").collect()] == ([1] if found else [])
+
+
+def test_labels_come_over_links(spark):
+    """Notices reach the corpus over the tables only, also where their wording differs; an own list replaces the confirmed one."""
+    said = ["Su sesion ha expirado", "La página que buscas no existe o cambió de lugar.", "El boletín quedó listo hoy."]
+    df = spark.createDataFrame(list(enumerate(said)), "k long, t string")
+    got = residue.labelled_sentences(df, "k", "t").collect()
+    assert {r.doc for r in got} == {0, 1} and not any(r.trusted for r in got)
+    assert {r.doc for r in residue.labelled_sentences(df, "k", "t", ["El boletín quedó listo hoy"]).collect()} == {2}
+    field = [(0, "Estimado {{nombre}}, le informamos que su trámite quedó listo"), (1, "Estimado {{nombre}, le informamos que su trámite quedó listo"),
+             (2, "Estimado Juan, le informamos que su trámite quedó listo")]
+    found = residue.labelled_sentences(spark.createDataFrame(field, "k long, t string"), "k", "t").collect()
+    assert {(r.doc, r.trusted) for r in found} == {(0, True), (1, False)}

@@ -8,7 +8,8 @@ least score that any ``run`` of its words has by itself, and passages overlap by
 ``run - 1`` words, so nothing that the verification would accept is missed.
 
 Scale: documents are read once and never shuffled; only hits are. The items go to the
-workers in blocks of ``block`` items, one pass each, so what is shipped is bounded.
+workers in blocks of ``block`` items, one pass each, so what is shipped is bounded; a worker
+process builds the index of a block once.
 
 Defined results: null and empty texts hold nothing; items shorter than ``run`` words
 can't leak; items that share their words are all reported; case, accents, punctuation,
@@ -25,7 +26,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import accumulate
+from operator import itemgetter
 from urllib.parse import unquote
 
 import pandas as pd
@@ -33,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN, PASSAGE, BLOCK_SIZE, K1, B = 12, 24, 16, 1.2, 0.75
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|<!--.*?-->", re.S)
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})")
 _CONTROL = re.compile(r"\\[ntr](?![a-z])")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}){2,}")
-_INVISIBLE = dict.fromkeys([0xAD, *range(0x200B, 0x2010), *range(0x202A, 0x202F), 0x2060, 0xFEFF, *range(0x300, 0x370)])
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060\ufeff\u0300-\u036f]+")
 _WORD = re.compile(r"[a-z0-9]+")
+_NEXT = itemgetter(0)
 
 
 def bare_words(text: str) -> list[str]:
@@ -53,15 +55,24 @@ def bare_words(text: str) -> list[str]:
     if "%" in text:
         text = _PERCENT.sub(lambda m: unquote(m[0]), text)
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = _TAG.sub(" ", _uncommented(text))
     if any(c in text for c in "Ãâ"):
         text = _repaired(text)
     text = text.lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).translate(_INVISIBLE)
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKD", text))
     return _WORD.findall(text)
 
 
+def _uncommented(text: str) -> str:
+    """Markup comments taken out; an open one stays."""
+    parts, at = [], 0
+    while (start := text.find("<!--", at)) >= 0 and (end := text.find("-->", start + 4)) >= 0:
+        parts.append(text[at:start])
+        at = end + 3
+    return " ".join([*parts, text[at:]])
+
+
 def _repaired(text: str) -> str:
     """Single characters that were read as two, each by itself."""
     def back(m: re.Match) -> str:
@@ -99,21 +110,27 @@ class ItemIndex:
             t: [(p[min(k + BLOCK_SIZE, len(p)) - 1][0], max(v for _, v in p[k : k + BLOCK_SIZE])) for k in range(0, len(p), BLOCK_SIZE)]
             for t, p in self.postings.items()
         }
+        self.items = {t: [at for at, _ in p] for t, p in self.postings.items()}
+        self.ends = {t: [end for end, _ in b] for t, b in self.blocks.items()}
         self.floor = min(self.least, default=math.inf)
+        #: Least threshold among the items of each term.
+        self.easiest = {t: min(self.least[at] for at, _ in p) for t, p in self.postings.items()}
 
-    def retrieve(self, terms: set[str]) -> list[int]:
-        """All items whose score by ``terms`` reaches their threshold."""
+    def retrieve(self, terms: set[str], floor: float | None = None) -> list[int]:
+        """All items whose score by ``terms`` reaches their threshold, of those with a threshold of ``floor`` or more."""
+        floor = self.floor if floor is None else floor
         lists = [t for t in terms if t in self.tops]
-        if sum(self.tops[t] for t in lists) < self.floor:
+        if sum(self.tops[t] for t in lists) < floor:
             return []
-        cursors = [[self.postings[t][0][0], 0, t] for t in lists]
+        tops, postings, ends_of, blocks_of = self.tops, self.postings, self.ends, self.blocks
+        cursors = [[self.items[t][0], 0, t] for t in lists]
         found = []
         while cursors:
-            cursors.sort(key=lambda c: c[0])
+            cursors.sort(key=_NEXT)
             bound, pivot = 0.0, -1
             for k, (_, _, t) in enumerate(cursors):
-                bound += self.tops[t]
-                if bound >= self.floor:
+                bound += tops[t]
+                if bound >= floor:
                     pivot = k
                     break
             if pivot < 0:
@@ -124,17 +141,16 @@ class ItemIndex:
             # Block maxima at the pivot: if they can't reach the floor, skip past the nearest block end.
             ends, best = [], 0.0
             for _, _, t in cursors[: pivot + 1]:
-                blocks = self.blocks[t]
-                at = bisect_left(blocks, (doc,))
-                if at < len(blocks):
-                    ends.append(blocks[at][0])
-                    best += blocks[at][1]
-            if best < self.floor:
+                at = bisect_left(ends_of[t], doc)
+                if at < len(ends_of[t]):
+                    ends.append(ends_of[t][at])
+                    best += blocks_of[t][at][1]
+            if best < floor:
                 after = min([e + 1 for e in ends] + [c[0] for c in cursors[pivot + 1 : pivot + 2]])
                 target = max(after, doc + 1) if cursors[0][0] == doc else max(after, doc)
                 self._advance(cursors, pivot, target)
             elif cursors[0][0] == doc:
-                score = sum(self.postings[t][k][1] for d, k, t in cursors[: pivot + 1] if d == doc)
+                score = sum(postings[t][k][1] for d, k, t in cursors[: pivot + 1] if d == doc)
                 if score >= self.least[doc]:
                     found.append(doc)
                 self._advance(cursors, pivot, doc + 1)
@@ -146,59 +162,75 @@ class ItemIndex:
     def _advance(self, cursors: list[list], last: int, target: int) -> None:
         for c in cursors[: last + 1]:
             if c[0] < target:
-                postings = self.postings[c[2]]
-                c[1] = bisect_left(postings, (target,), c[1])
-                c[0] = postings[c[1]][0] if c[1] < len(postings) else None
+                items = self.items[c[2]]
+                c[1] = bisect_left(items, target, c[1])
+                c[0] = items[c[1]] if c[1] < len(items) else None
 
     def leaks(self, text: str) -> dict:
-        """Items in the text, each with the number of its runs that stand there."""
-        words, found = bare_words(text), Counter()
+        """Items in the text, each with its different runs that stand there."""
+        words, found = bare_words(text), defaultdict(set)
         if len(words) < self.run:
             return found
-        # A run's own words reach the threshold, so a passage is a query only where the
-        # largest impacts of some run of words add up to the least threshold.
-        tops, run = self.tops, self.run
-        sums = [0.0, *accumulate(tops.get(w, 0.0) for w in words)]
-        starts = [k for k in range(len(words) - run + 1) if sums[k + run] - sums[k] >= self.floor]
+        # An item with this run of words has all of them, so its threshold is at least each
+        # word's easiest; a run is a query where the largest impacts of its words reach that.
+        tops, easiest, run = self.tops, self.easiest, self.run
+        streak, floors = 0, {}
+        for k, w in enumerate(words):
+            streak = streak + 1 if w in tops else 0
+            if streak >= run:
+                span = words[k - run + 1 : k + 1]
+                floor = max(easiest[t] for t in span)
+                if sum(tops[t] for t in set(span)) >= floor:
+                    floors[k - run + 1] = floor
         upto = -1
-        for start in starts:
+        for start in floors:
             if start <= upto:
                 continue
-            end = min(start + PASSAGE, len(words))
-            upto = end - run
-            passage = words[start:end]
-            hits = self.retrieve(set(passage))
+            upto = start
+            while upto + 1 in floors and upto + 1 + run - start <= PASSAGE:
+                upto += 1
+            passage = words[start : upto + run]
+            hits = self.retrieve(set(passage), min(floors[k] for k in range(start, upto + 1)))
             if hits:
-                spans = [tuple(passage[k : k + self.run]) for k in range(len(passage) - self.run + 1)]
+                spans = {tuple(passage[k : k + run]) for k in range(len(passage) - run + 1)}
                 for at in hits:
-                    count = sum(s in self.runs[at] for s in spans)
-                    if count:
-                        found[self.ids[at]] += count
-        return found
+                    held = spans & self.runs[at]
+                    if held:
+                        found[at] |= held
+        return {self.ids[at]: (len(held), len(held) / len(self.runs[at])) for at, held in found.items()}
 
 
-def _finder(ids: list, texts: list[str], run: int):
+def _finder(shipped, run: int):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = ItemIndex(ids, texts, run)
+        # A worker process keeps what was shipped to it, so it builds the index once for all its tasks.
+        block = shipped.value
+        if "index" not in block:
+            block["index"] = ItemIndex(block["ids"], block["texts"], run)
+        index = block["index"]
         for batch in batches:
-            rows = [(d, i, n) for d, t in zip(batch["doc"], batch["text"]) for i, n in index.leaks(t).items()]
-            yield pd.DataFrame(rows, columns=["doc", "item", "runs"])
+            rows = [(d, i, n, share) for d, t in zip(batch["doc"], batch["text"]) for i, (n, share) in index.leaks(t).items()]
+            yield pd.DataFrame(rows, columns=["doc", "item", "runs", "overlap"])
 
     return find
 
 
 def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item_id: str, item_text: str, *,
                  run: int = RUN, block: int = 20_000) -> DataFrame:
-    """(doc, item, runs): which items' words stand in which documents."""
+    """(doc, item, runs, overlap): which items' words stand in which documents.
+
+    ``runs`` is how many different runs of ``run`` words of the item (question, hint and
+    answer alike) the document holds, ``overlap`` their share of the item's runs.
+    """
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("text is not null and text <> ''")
     listed = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where(
         "id is not null and text is not null"
     ).distinct()
     blocks = max(1, -(-listed.count() // block))
-    schema = f"doc {rows.schema['doc'].dataType.simpleString()}, item long, runs long"
+    schema = f"doc {rows.schema['doc'].dataType.simpleString()}, item long, runs long, overlap double"
     parts = []
     for k in range(blocks):
         part = listed.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).orderBy("id").toPandas()
-        parts.append(rows.mapInPandas(_finder(part["id"].tolist(), part["text"].tolist(), run), schema))
+        shipped = docs.sparkSession.sparkContext.broadcast({"ids": part["id"].tolist(), "texts": part["text"].tolist()})
+        parts.append(rows.mapInPandas(_finder(shipped, run), schema))
     found = reduce(DataFrame.unionByName, parts)
-    return found.groupBy("doc", "item").agg(F.max("runs").alias("runs"))
+    return found.groupBy("doc", "item").agg(F.max("runs").alias("runs"), F.max("overlap").alias("overlap"))

@@ -148,3 +148,14 @@ def test_leaked_items(spark):
         assert {(r.doc, r.item) for r in got} == {(10, 1), (14, 1)}
     assert leakage.leaked_items(docs.where("false"), "k", "t", items, "item", "t").count() == 0
     assert leakage.leaked_items(docs, "k", "t", items.where("false"), "item", "t").count() == 0
+
+
+def test_markup_of_any_length(spark):
+    words = [f"palabra{k}" for k in range(30)]
+    text = " ".join(words)
+    inside = [" ".join(words[:8]) + f" <a href='{'x' * size}'>" + " ".join(words[8:]) + "</a>" for size in (100, 400, 50_000)]
+    inside += [" ".join(words[:8]) + f" <!-- {'> < ' * 300} --> " + " ".join(words[8:]), "<!--" * 20_000 + " " + text]
+    items = spark.createDataFrame([(1, text)], "item long, t string")
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(inside)] + [(9, " ".join(words[:12]))], "k long, t string")
+    got = {r.doc: (r.runs, r.overlap) for r in leakage.leaked_items(docs, "k", "t", items, "item", "t").collect()}
+    assert got == {k: (19, 1.0) for k in range(5)} | {9: (1, 1 / 19)}

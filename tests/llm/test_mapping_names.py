@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,27 @@ def test_shards_give_the_same(spark, shard):
     assert got == {"Guatabacta": 5, "nadie": -1, "Cronica Mafamaris": 2}
 
 
+@pytest.mark.parametrize("legal", [False, True])
+def test_shards_weigh_all_mentions(spark, legal):
+    """Overlapping mentions, ties, initials and common words come out as in one pass."""
+    listed = [(1, "Radio Sol"), (2, "Radio Sol del Norte"), (3, "Diario Bravo Mira"), (4, "Diario Bravo Mire"), (5, "Red Ancha de Voz Libre"),
+              (6, "Ruta Alta Vía Lenta"), (7, "Noticias Palmar"), (8, "Noticias Olivar"), (9, "Noticias Pinar"), (10, "Agencia Tres Ríos de Oro"),
+              (11, "Radio Sol"), (12, "Casa Luz")]
+    typed = ["Radio Sol del Norte", "Diario Bravo Mir", "RAVL", "R.A.V.L.", "Noticias Palmr", "Noticias", "ATRO", "Casa Luz, de Radio Sol del Norte", "Radio Sol",
+             "casaluz", "NoticiasPalmarr", "nadie", "Red Anch de Voz Libre"]
+    rng = random.Random(6)
+    words = ["Alba", "Brisa", "Cima", "Duna", "Faro", "Luna", "Radio", "Diario", "del"]
+    listed += [(100 + k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 5)))) for k in range(40)]
+    typed += sorted({" ".join(rng.choice(words + ["Albo", "Dunas"]) for _ in range(rng.randint(1, 6))) for _ in range(60)})
+    entries = spark.createDataFrame(listed, "id long, name string")
+    values = spark.createDataFrame([(v,) for v in typed], "value string")
+    one, two = ({(r.value, r.ref_id, round(r.score, 9)) for r in mapping.map_to_list(values, entries, "id", "name", legal=legal, shard=n).collect()}
+                for n in (50_000, 13))
+    assert one == two
+    got = {v: {i for w, i, _ in one if w == v} for v in typed}
+    assert got["Radio Sol del Norte"] == {2} and got["Diario Bravo Mir"] == {-1} and got["Radio Sol"] == {-1} and got["RAVL"] == {-1} and got["nadie"] == {-1}
+
+
 def test_empty_lists_and_clashes(spark):
     entries = spark.createDataFrame([], "id long, name string")
     values = spark.createDataFrame([("x", 1, 2.0)], "value string, ref_id int, score double")

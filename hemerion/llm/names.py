@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hemerion.llm.text import deletions, distance, fold, repair
+from hemerion.operators.entities import follow
 from hemerion.session import materialize
 
 #: Forms of address before a name.
@@ -158,10 +159,14 @@ def _forms(df: DataFrame, kinds: list[str], ident: str) -> DataFrame:
     return df.select(F.col(ident).alias("ident"), rows).select("f.kind", "f.form", "ident").where("form is not null").distinct()
 
 
+def form_rarity(forms: DataFrame) -> DataFrame:
+    """(kind, form, root, rarity): one over the number of identities that can be rewritten to a form; root is the least of them."""
+    return forms.groupBy("kind", "form").agg(F.min("ident").alias("root"), (1 / F.countDistinct("ident")).alias("rarity"))
+
+
 def _rare(forms: DataFrame) -> DataFrame:
     """Forms that one identity alone can be rewritten to: (kind, form, root)."""
-    scored = forms.groupBy("kind", "form").agg(F.min("ident").alias("root"), (1 / F.countDistinct("ident")).alias("rarity"))
-    return scored.where("rarity = 1").drop("rarity")
+    return form_rarity(forms).where("rarity = 1").drop("rarity")
 
 
 def _assign(open_nodes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -194,26 +199,21 @@ def _slip_pairs(forms: DataFrame, established: DataFrame) -> DataFrame:
         each = each.join(known, side, "left")
     few = F.least(F.coalesce("bearers_x", F.lit(0)), F.coalesce("bearers_y", F.lit(0)))
     many = F.greatest(F.coalesce("bearers_x", F.lit(0)), F.coalesce("bearers_y", F.lit(0)))
-    likely = each.withColumn("likely", (few < 3) | (few * 8 <= many))
+    # By shares alone, less two bearers that any slip may have, so the rule is the same at every size.
+    likely = each.withColumn("likely", (few - 2) * 8 <= many)
     return likely.groupBy("a", "b").agg(F.bool_and("likely").alias("likely")).where("likely").select("a", "b")
 
 
-def _roots(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """(node, root): each node follows its most frequent neighbour that outranks it."""
+def _roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root): each node follows its most frequent neighbour that outranks it, to the end of the chain."""
     size = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
     own = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
     up = (
         edges.join(size, "b").join(own, "a").where("n_b > n_a or (n_b = n_a and b < a)")
         .groupBy("a").agg(F.max_by("b", F.struct("n_b", "b")).alias("up"))
     )
-    links = materialize(
-        nodes.select("node").join(up, F.col("node") == F.col("a"), "left").select("node", F.coalesce("up", "node").alias("root")),
-        "links",
-    )
-    for _ in range(rounds):
-        above = links.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-        links = links.join(above, "root").select("node", F.col("higher").alias("root"))
-    return links
+    links = nodes.select("node").join(up, F.col("node") == F.col("a"), "left").select("node", F.coalesce("up", "node").alias("root"))
+    return follow(links, "node", "root")
 
 
 def _nicknamed(nodes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def link_names(names: DataFrame) -> DataFrame:
     slipped = materialize(_slip_pairs(slippery, established), "slips")
 
     # Full names follow their most frequent spelling.
-    full_roots = materialize(_roots(full, slipped.join(full.select(F.col("node").alias("a")), "a", "left_semi")), "full")
+    full_roots = _roots(full, slipped.join(full.select(F.col("node").alias("a")), "a", "left_semi"))
     rooted = full.join(full_roots, "node")
 
     # Shorter forms are looked up among what full names can be rewritten to.
@@ -299,7 +299,7 @@ def link_names(names: DataFrame) -> DataFrame:
     # Given name and one surname without a full name are identities of their own.
     alone = materialize(short.where("kind = 'S'").join(found.select("node"), "node", "left_anti"), "alone")
     among = slipped.join(alone.select(F.col("node").alias("a")), "a", "left_semi").join(alone.select(F.col("node").alias("b")), "b", "left_semi")
-    alone_roots = materialize(_roots(alone, among), "alone_roots")
+    alone_roots = _roots(alone, among)
     of_alone = _forms(alone.join(alone_roots, "node"), ["S", "J"], "root")
     every = materialize(forms.where("kind = 'J'").unionByName(of_alone), "every")
     late = short.where("kind <> 'S'").join(found.select("node"), "node", "left_anti").withColumn(

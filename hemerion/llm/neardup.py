@@ -8,14 +8,15 @@ principle two signatures that differ in at most ``chunks * (radius + 1) - 1`` bi
 in some chunk up to ``radius`` errors; each side lists its chunk values with half of the
 errors, so that the two lists meet and one equi-join finds all pairs under the distance,
 with no cap on any bucket. Sets near the similarity asked for may have signatures a
-little farther apart, so the join runs over ``DRAWS`` independent signatures. What it
-finds is verified on the words as typed.
+little farther apart; a chunk of theirs agrees up to two errors nearly always (at two thirds
+each of eight does with chance 0.49, one of them with 0.995), so pairs up to ``FARTHEST``
+are kept. What the join finds is verified on the words as typed, by a matching.
 
 Scale: rows are counted per text and per word set first, so the general subjects that
-fill a large part of the table are one node each. A key holds the chunk's number and
-value; with 16-bit chunks there are half a million keys, so buckets grow with the number
-of *different* texts only. For far more of them widen ``chunk_bits`` (the share of random
-meetings falls by half per bit). All steps are DataFrame joins.
+fill a large part of the table are one node each. A key holds the chunk's number and value
+and one of the set's rarest words (its anchors; similar sets have one in common), so
+unrelated sets don't meet by chance, however many different texts there are. All steps are
+DataFrame joins.
 
 Defined results: null, empty and blank texts are left out, and so are texts without a
 word of three letters; a text is never paired with itself.
@@ -23,8 +24,8 @@ word of three letters; a text is never paired with itself.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,14 +33,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hemerion.llm.text import deletions, repair, words
+from hemerion.llm.text import deletions, edits, repair, words
+from hemerion.operators.entities import follow
 from hemerion.session import materialize
 
 CHUNKS, CHUNK_BITS, RADIUS = 8, 16, 2
-#: Independent signatures; a pair is a candidate if it is near in any of them.
-DRAWS = 2
 #: Largest signature distance that the join is sure to find.
 THRESHOLD = CHUNKS * (RADIUS + 1) - 1
+#: Largest distance that is verified: 21 bits are expected at two thirds, 40 are over four deviations more.
+FARTHEST = 40
+#: How much less alike than asked for sets may be that still have a common anchor.
+ANCHOR_SLACK = 0.1
 
 
 def _word_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,12 +53,12 @@ def _word_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _word_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = [(d, w, n) for w, n in zip(batch["word"], batch["n"]) for d in deletions(w, 2 if len(w) > 5 else 1)]
+        out = [(d, w, n) for w, n in zip(batch["word"], batch["n"]) for d in deletions(w, 2)]
         yield pd.DataFrame(out, columns=["key", "word", "n"])
 
 
-def slip_map(counted: DataFrame, rounds: int = 2) -> DataFrame:
-    """(word, meant): words that a more frequent word within two letters stands for.
+def slip_map(counted: DataFrame) -> DataFrame:
+    """(word, meant): words that a more frequent word within two letters stands for, at the end of the chain.
 
     ``counted``: word, n. Only alphabetic words of four or more letters take part.
     """
@@ -65,11 +69,7 @@ def slip_map(counted: DataFrame, rounds: int = 2) -> DataFrame:
         .select("word", "meant", "n_meant", F.levenshtein("word", "meant", 2).alias("slip")).where("slip between 0 and 2")
         .groupBy("word").agg(F.max_by("meant", F.struct(-F.col("slip"), "n_meant", "meant")).alias("meant"))
     )
-    links = materialize(best, "slips")
-    for _ in range(rounds):
-        above = links.select(F.col("word").alias("meant"), F.col("meant").alias("higher"))
-        links = links.join(above, "meant", "left").select("word", F.coalesce("higher", "meant").alias("meant"))
-    return links
+    return follow(best, "word", "meant")
 
 
 def _signer(bits: int, draw: int):
@@ -106,21 +106,25 @@ def _chunk(signature: Column, k: int, width: int) -> Column:
     return F.shiftrightunsigned(signature[k // per], 64 - width * (k % per + 1)).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def hamming_join(signed: DataFrame, chunks: int = CHUNKS, width: int = CHUNK_BITS, radius: int = RADIUS) -> DataFrame:
+def hamming_join(signed: DataFrame, chunks: int = CHUNKS, width: int = CHUNK_BITS, radius: int = RADIUS, most: int | None = None) -> DataFrame:
     """(a, b, apart): all pairs of ids at most ``chunks * (radius + 1) - 1`` bits apart.
 
-    Each side lists its chunk values with ``radius / 2`` errors (0, 1 or 2 of each side
-    are written), which is enough for both lists to meet.
+    Each side lists its chunk values with ``radius / 2`` errors, which is enough for both
+    lists to meet. With ``most`` pairs up to that distance are kept where a chunk agrees, which
+    beyond the guarantee most do. Where rows have ``anchors``, only rows with a common anchor meet.
     """
     if radius not in (0, 2):
         raise ValueError("radius is 0 or 2")
-    most = chunks * (radius + 1) - 1
-    listed = []
-    for k in range(chunks):
-        value = _chunk(F.col("signature"), k, width)
-        errors = [value] + ([value.bitwiseXOR(F.lit(1 << j)) for j in range(width)] if radius else [])
-        listed += [(e + F.lit(k << width)) for e in errors]
-    keyed = signed.select("id", "signature", F.explode(F.array(*listed)).alias("key"))
+    most = chunks * (radius + 1) - 1 if most is None else most
+    values = F.explode(F.array(*[_chunk(F.col("signature"), k, width) + F.lit(k << width) for k in range(chunks)])).alias("value")
+    errors = F.explode(F.array(F.lit(0), *[F.lit(1 << j) for j in range(width if radius else 0)])).alias("error")
+    key = F.col("value").bitwiseXOR(F.col("error"))
+    if "anchors" in signed.columns:
+        rows = signed.select("id", "signature", "anchors", values).select("id", "signature", "anchors", "value", errors)
+        rows = rows.select("id", "signature", key.alias("key"), F.explode("anchors").alias("anchor"))
+        keyed = rows.select("id", "signature", F.xxhash64("anchor", "key").alias("key"))
+    else:
+        keyed = signed.select("id", "signature", values).select("id", "signature", "value", errors).select("id", "signature", key.alias("key"))
     a = keyed.select("key", F.col("id").alias("a"), F.col("signature").alias("sign_a"))
     b = keyed.select("key", F.col("id").alias("b"), F.col("signature").alias("sign_b"))
     longs = chunks * width // 64
@@ -129,16 +133,59 @@ def hamming_join(signed: DataFrame, chunks: int = CHUNKS, width: int = CHUNK_BIT
     return a.hint("merge").join(b, "key").where((F.col("a") < F.col("b")) & (apart <= most)).select("a", "b", apart.alias("apart")).distinct()
 
 
+def anchors(sets: DataFrame, share: float) -> DataFrame:
+    """(id, anchors): digests of each set's rarest words, so many that sets of that similarity have one in common."""
+    typed = sets.select("id", F.size("meant").alias("size"), F.explode("meant").alias("word"))
+    held = typed.groupBy("word").agg(F.count("*").alias("df"))
+    ranked = typed.join(held, "word").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
+    count = F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1
+    return ranked.select("id", F.transform(F.slice("w", F.lit(1), count.cast("int")), lambda x: F.xxhash64(x.word)).alias("anchors"))
+
+
+_SLIPPED = re.compile("[a-z]{4,}")
+
+
+def matched(left: list[str], right: list[str]) -> int:
+    """Most words of one list that can each be given a word of the other within two letters (bipartite matching)."""
+    near = [[j for j, y in enumerate(right) if _SLIPPED.fullmatch(x) and _SLIPPED.fullmatch(y) and edits(x, y, 2) <= 2] for x in left]
+    of: dict[int, int] = {}
+
+    def give(i: int, tried: set[int]) -> bool:
+        for j in near[i]:
+            if j not in tried:
+                tried.add(j)
+                if j not in of or give(of[j], tried):
+                    of[j] = i
+                    return True
+        return False
+
+    return sum(give(i, set()) for i in range(len(left)))
+
+
 def same_words(a: Column, b: Column) -> Column:
-    """Words common to both: equal, or of four or more letters and within two letters."""
+    """At least the words common to both: equal, or of four or more letters and within two letters of some word."""
     left, right = F.array_except(a, b), F.array_except(b, a)
     long = "^[a-z]{4,}$"
 
-    def matched(xs: Column, ys: Column) -> Column:
+    def partnered(xs: Column, ys: Column) -> Column:
         near = F.filter(xs, lambda x: x.rlike(long) & F.exists(ys, lambda y: y.rlike(long) & (F.levenshtein(x, y, 2) >= 0)))
         return F.size(near)
 
-    return F.size(F.array_intersect(a, b)) + F.least(matched(left, right), matched(right, left))
+    return F.size(F.array_intersect(a, b)) + F.least(partnered(left, right), partnered(right, left))
+
+
+def _verified(share: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["x"], batch["y"]):
+                x, y = set(x), set(y)
+                common = len(x & y)
+                common += matched(sorted(x - y), sorted(y - x))
+                keep.append(common >= share * (len(x) + len(y) - common) - 1e-9)
+            yield batch[keep][["a", "b"]]
+
+    return run
 
 
 def near_duplicates(texts: DataFrame, share: float = 2 / 3) -> tuple[DataFrame, DataFrame]:
@@ -152,7 +199,7 @@ def near_duplicates(texts: DataFrame, share: float = 2 / 3) -> tuple[DataFrame,
     members = materialize(members.withColumn("id", F.xxhash64(F.array_join("words", " "))), "members")
     sets = materialize(members.groupBy("id").agg(F.min("words").alias("words"), F.sum("n").alias("n")), "sets")
     typed = sets.select("id", "n", F.explode("words").alias("word"))
-    slips = materialize(slip_map(typed.groupBy("word").agg(F.sum("n").alias("n"))), "slip_map")
+    slips = slip_map(typed.groupBy("word").agg(F.sum("n").alias("n")))
     # Only rare words have a slip; frequent ones find nothing and skew-join away.
     changed = typed.join(slips, "word").groupBy("id").agg(
         F.collect_list("word").alias("from"), F.collect_list("meant").alias("to")
@@ -162,17 +209,17 @@ def near_duplicates(texts: DataFrame, share: float = 2 / 3) -> tuple[DataFrame,
             F.concat(F.array_except("words", "from"), F.col("to")))).alias("meant"),
     )
     meant = materialize(meant, "meant")
-    found = [hamming_join(materialize(signatures(meant, draw=k), "signatures")).select("a", "b") for k in range(DRAWS)]
-    pairs = materialize(reduce(DataFrame.unionByName, found).distinct(), "pairs")
+    # Slips that the map doesn't settle make sets look less alike than they are, so anchors allow for some.
+    signed = materialize(signatures(meant).join(anchors(meant, share - ANCHOR_SLACK), "id"), "signatures")
+    pairs = materialize(hamming_join(signed, most=FARTHEST).select("a", "b"), "pairs")
     of = sets.select("id", "words")
     both = pairs.join(of.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(
         of.select(F.col("id").alias("b"), F.col("words").alias("y")), "b"
     )
-    common = same_words(F.col("x"), F.col("y"))
-    links = both.withColumn("common", common).where(
-        F.col("common") >= share * (F.size("x") + F.size("y") - F.col("common")) - 1e-9
+    most = both.withColumn("most", same_words(F.col("x"), F.col("y"))).where(
+        F.col("most") >= share * (F.size("x") + F.size("y") - F.col("most")) - 1e-9
     )
-    return members.select("text", "id"), links.select("a", "b")
+    return members.select("text", "id"), most.select("a", "b", "x", "y").mapInPandas(_verified(share), "a long, b long")
 
 
 def text_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -99,6 +99,33 @@ def p6_texto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_corpus(p6_ids(spark, sf_dir), "doc_id")
 
 
+def p6_tramos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the characters that each token spans, as totals: tokens, last end, and tokens that split a character."""
+    spans = encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", offsets=True)
+    split = F.aggregate(F.arrays_zip("starts", "ends"), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda s, x: F.struct(
+        x.ends.alias("end"), (s.n + (x.starts < s.end).cast("int")).alias("n")))
+    return spans.select("doc_id", F.size("ids").alias("fichas"), F.coalesce(F.array_max("ends"), F.lit(0)).alias("fin"), split.n.alias("partidas"))
+
+
+def p2_identidades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with the identity it belongs to and how many spellings that has."""
+    threads = table(spark, sf_dir, "hilos")
+    names = stacked((threads, "periodista"), (threads, "periodista_canonico"), (table(spark, sf_dir, "turnos"), "hablante"))
+    linked = link_names(names)
+    sizes = linked.groupBy("identity").agg(F.count("*").alias("variantes"))
+    return linked.join(sizes, "identity").select(F.col("name").alias("nombre"), F.col("identity").alias("identidad"), "variantes")
+
+
+def p3_grupos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every subject with its word set, how many spellings that has and to how many other sets it is linked."""
+    labels = table(spark, sf_dir, "clasificaciones")
+    members, links = near_duplicates(labels.select(F.explode(F.array("asunto", "asunto_canonico")).alias("text")))
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("enlaces"))
+    sizes = members.groupBy("id").agg(F.count("*").alias("variantes"))
+    found = members.join(sizes, "id").join(ends, "id", "left")
+    return found.select(F.col("text").alias("asunto"), F.col("id").alias("conjunto"), "variantes", F.coalesce("enlaces", F.lit(0)).alias("enlaces"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold twelve consecutive words of an evaluation item."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "items_evaluacion")
@@ -112,7 +139,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_acuerdo": p4_acuerdo,
-    "p4_confianza": p4_confianza, "p6_ids": p6_ids, "p6_texto": p6_texto, "p7_found": p7_found, "p8_found": p8_found,
+    "p1_found": p1_found, "p2_found": p2_found, "p2_identidades": p2_identidades, "p3_found": p3_found, "p3_grupos": p3_grupos, "p4_found": p4_found, "p4_acuerdo": p4_acuerdo,
+    "p4_confianza": p4_confianza, "p6_ids": p6_ids, "p6_texto": p6_texto, "p6_tramos": p6_tramos, "p7_found": p7_found, "p8_found": p8_found,
 }
 ORACLES: dict[str, str] = {"p6_texto": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

@@ -34,8 +34,13 @@ def words(text: str) -> list[str]:
     return _WORD.findall(fold(text))
 
 
-def distance(a: str, b: str, limit: int) -> int:
-    """Edits (swap of neighbours counts one) between two words, or ``limit + 1``."""
+def edits(a: str, b: str, limit: int) -> int:
+    """Letters added, lost or changed between two words, or ``limit + 1``."""
+    return distance(a, b, limit, swaps=False)
+
+
+def distance(a: str, b: str, limit: int, swaps: bool = True) -> int:
+    """Edits (with ``swaps`` a swap of neighbours counts one) between two words, or ``limit + 1``."""
     if a == b:
         return 0
     if abs(len(a) - len(b)) > limit:
@@ -45,7 +50,7 @@ def distance(a: str, b: str, limit: int) -> int:
         new, least = [i], i
         for j, y in enumerate(b, 1):
             cost = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
-            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
+            if swaps and before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 cost = min(cost, before[j - 2] + 1)
             new.append(cost)
             least = min(least, cost)

@@ -110,3 +110,9 @@ def test_spellings_of_people(spark):
 
 def test_no_names(spark):
     assert names.link_names(spark.createDataFrame([], "name string")).count() == 0
+
+
+def test_chains_of_slips_are_followed_to_the_end(spark):
+    nodes = spark.createDataFrame([(f"n{k:02d}", 100 - k) for k in range(40)], "node string, n long")
+    edges = spark.createDataFrame([(f"n{k:02d}", f"n{k - 1:02d}") for k in range(1, 40)], "a string, b string")
+    assert {r.root for r in names._roots(nodes, edges).collect()} == {"n00"}

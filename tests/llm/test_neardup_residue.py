@@ -175,3 +175,28 @@ def test_labels_come_over_links(spark):
              (2, "Estimado Juan, le informamos que su trámite quedó listo")]
     found = residue.labelled_sentences(spark.createDataFrame(field, "k long, t string"), "k", "t").collect()
     assert {(r.doc, r.trusted) for r in found} == {(0, True), (1, False)}
+
+
+def test_chains_of_slipped_words_are_followed_to_the_end(spark):
+    chain = ["a" * k + "b" * (30 - k) for k in range(0, 26, 2)]
+    counted = spark.createDataFrame([(w, 100 - k) for k, w in enumerate(chain)], "word string, n long")
+    assert {r.word: r.meant for r in neardup.slip_map(counted).collect()} == {w: chain[0] for w in chain[1:]}
+
+
+def test_common_words_are_matched_one_to_one():
+    assert neardup.matched(["casas", "casos", "perro"], ["casar", "perra", "perri"]) == 2
+    assert neardup.matched(["abcd", "abce"], ["abcf", "abzz"]) == 2 and neardup.matched(["abc"], ["abd"]) == 0 and neardup.matched([], ["abcd"]) == 0
+
+
+def test_pairs_at_two_thirds_are_found(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(5))
+    common = ["obra", "puente", "sobre"]
+    rows = []
+    for k in range(600):
+        shared = common + [word() for _ in range(5)]
+        rows += [(2 * k, shared + [word(), word()]), (2 * k + 1, shared + [word(), word()])]
+    sets = spark.createDataFrame(rows, "id long, meant array<string>")
+    signed = neardup.signatures(sets).join(neardup.anchors(sets, 2 / 3 - neardup.ANCHOR_SLACK), "id")
+    got = {(r.a, r.b) for r in neardup.hamming_join(signed, most=neardup.FARTHEST).collect()}
+    assert len(got & {(2 * k, 2 * k + 1) for k in range(600)}) >= 0.99 * 600 and len(got) < 2 * 600

@@ -34,6 +34,26 @@ def date_in_text(text: Column) -> Column:
     return spanish_date(*[F.regexp_extract(plain(text), pattern, k) for k in (1, 2, 3)])
 
 
+def date_in_page(heading: Column, place_line: Column) -> Column:
+    """The first readable date of the heading, else of the line with place and date."""
+    return F.coalesce(date_in_text(heading), date_in_text(place_line))
+
+
+def _month_name(day: Column) -> Column:
+    names = {n: m for m, n in MONTHS.items() if m != "setiembre"}
+    return F.create_map(*[x for n, m in names.items() for x in (F.lit(n), F.lit(m))])[F.month(day)]
+
+
+def long_date(day: Column) -> Column:
+    """``5 de marzo de 2025``."""
+    return F.concat_ws(" de ", F.dayofmonth(day).cast("string"), _month_name(day), F.year(day).cast("string"))
+
+
+def month_label(day: Column) -> Column:
+    """``mar 25``."""
+    return F.concat(F.left(_month_name(day), F.lit(3)), F.lit(" "), F.date_format(day, "yy"))
+
+
 def weekdays(spark: SparkSession, first: str, last: str) -> DataFrame:
     """One row ``fecha`` for each Monday to Friday."""
     days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("fecha"))

@@ -115,3 +115,13 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     """Display form of a share; a dash when the base is zero."""
     value = F.round(100.0 * part / F.nullif(whole, F.lit(0)), digits)
     return F.coalesce(F.concat(F.format_number(value, digits), F.lit(" %")), F.lit("—"))
+
+
+def plural(n: Column, one: str, many: str) -> Column:
+    """The number with the word that fits it."""
+    return F.concat(whole_number(n), F.lit(" "), F.when(n == 1, one).otherwise(many))
+
+
+def whole_number(n: Column) -> Column:
+    """Thousands between commas; a dash for null."""
+    return F.coalesce(F.format_number(n, 0), F.lit("—"))

@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hemerion.functions.text import excerpt
@@ -84,6 +84,59 @@ def _asked(ask, texts: list[str], turn: int, tries: int, pause: float):
     return None, problem or "sin respuesta"
 
 
+def label_batches(items: DataFrame, key: str, text: str, ask, categories: list[str], folder: str, *, rounds: int = 4, remembered: int = 140, workers: int = 6,
+                  **options) -> DataFrame:
+    """Items labelled in micro-batches with a growing vocabulary; the ledger in ``folder`` is returned.
+
+    ``ask(vocabulary)`` gives the labeller of one micro-batch, which sees a snapshot of the last
+    ``remembered`` labels. Each micro-batch is a part of the keys by digest, runs on
+    ``workers`` tasks and is appended to the ledger before the next one starts, so a run that
+    ends early goes on with what is pending.
+    """
+    spark = items.sparkSession
+    part = F.pmod(F.xxhash64(key), F.lit(rounds))
+    for k in range(rounds):
+        known = read_ledger(spark, folder)
+        waiting = items.where(part == k)
+        vocabulary: list[str] = []
+        if known is not None:
+            waiting = waiting.join(known.select(key).distinct(), key, "left_anti")
+            recent = known.where("etiqueta is not null").groupBy("etiqueta").agg(F.max("ronda").alias("ronda"), F.count("*").alias("n"))
+            # A bounded list goes to the labeller, whatever the ledger's size.
+            vocabulary = [r.etiqueta for r in recent.orderBy(F.desc("ronda"), F.desc("n"), "etiqueta").limit(remembered).collect()]
+        labelled = label_texts(waiting.repartition(workers), key, text, ask(vocabulary), categories, **options)
+        labelled.withColumn("ronda", F.lit(k)).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def read_ledger(spark, folder: str) -> DataFrame | None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return spark.read.parquet(folder) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
+
+
+def require_gold(coded: DataFrame, label: str, least: int) -> None:
+    """Refuses a full run until so many items have been coded by hand; stops counting there."""
+    if coded.where(F.col(label).isNotNull()).limit(least).count() < least:
+        raise ValueError(f"fewer than {least} items are coded")
+
+
+def cost_estimate(items: DataFrame, text: str, *, batch: int = 10, overhead: int = 1000, answer: int = 60, per_letter: float = 0.25,
+                  price_in: float = 0.30, price_out: float = 2.50) -> DataFrame:
+    """One row: items, batches, tokens in and out and money of a run, without running it; prices are per million."""
+    letters, n = F.sum(F.length(F.coalesce(text, F.lit("")))), F.count("*")
+    batches = F.ceil(n / batch)
+    tokens_in, tokens_out = F.ceil(F.coalesce(letters, F.lit(0)) * per_letter) + batches * overhead, n * answer
+    money = F.round((tokens_in * price_in + tokens_out * price_out) / 1_000_000, 6)
+    return items.agg(n.alias("n"), batches.alias("lotes"), tokens_in.alias("fichas_entrada"), tokens_out.alias("fichas_salida"), money.alias("costo"))
+
+
+def metered(labelled: DataFrame, text: str = "fragmento") -> tuple[DataFrame, Observation]:
+    """The rows and a meter of calls, letters and rejects that fills while they are written."""
+    meter = Observation()
+    counts = [F.count(F.lit(1)).alias("filas"), F.sum(F.length(text)).alias("letras"), F.count("razon").alias("rechazos")]
+    return labelled.observe(meter, *counts), meter
+
+
 def with_context(question, context):
     """One text from context and question; a question without context stands alone."""
     joined = F.concat(F.lit("CONTEXTO: "), context, F.lit("\nPREGUNTA: "), question)
@@ -95,7 +148,9 @@ def question_only(text):
     return F.when(text.startswith("CONTEXTO: "), F.substring_index(text, "\nPREGUNTA: ", -1)).otherwise(text)
 
 
-def examples_block(sample: DataFrame, label: str, text: str) -> DataFrame:
-    """One row ``bloque`` with the examples of a stratified sample as text."""
+def examples_block(sample: DataFrame, label: str, text: str, most: int = 500) -> DataFrame:
+    """One row ``bloque`` with the examples of a stratified sample as text; more than ``most`` raise."""
+    if sample.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} examples")
     line = F.concat(F.lit("- "), excerpt(F.col(text), 200), F.lit(" → "), F.col(label))
     return sample.select(line.alias("l")).agg(F.array_join(F.array_sort(F.collect_list("l")), "\n").alias("bloque"))

@@ -10,56 +10,107 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hemerion.functions.rules import first_match, label_parts
-from hemerion.functions.text import normalize_spaces
-
-_OPEN_VIDEO = r"\(\s*(?:inicia|comienza|empieza)n?[^)]{0,60}?(?:v[ií]deos?|audios?)\b[^)]{0,60}\)"
-_CLOSE_VIDEO = r"\(\s*(?:finaliza|concluye|termina)n?[^)]{0,60}?(?:v[ií]deos?|audios?)\b[^)]{0,60}\)"
-_LETTERS = "A-ZÁÉÍÓÚÑÜ"
-_LABEL = (
-    rf"[{_LETTERS}][{_LETTERS}0-9 ,.()/º°'’\-]" + r"{2,150}?(?:\s*\([^)\n]{0,45}\))?[ \t]*:(?!//)"
-)
+from hemerion.functions.text import normalize_spaces, plain
+
+#: Words that open and close a recording's note, and what the recording is.
+OPENING_WORDS = ["inicia", "inician", "comienza", "comienzan", "empieza", "empiezan"]
+CLOSING_WORDS = ["finaliza", "finalizan", "concluye", "concluyen", "termina", "terminan"]
+RECORDINGS = ["video", "videos", "audio", "audios"]
+#: Shortest and longest label, longest note after it, the signs it may hold beside capitals and figures.
+SHORTEST_LABEL, LONGEST_LABEL, LONGEST_NOTE, LABEL_SIGNS = 3, 151, 45, " ,.()/º°'’-"
+#: The dashes that set a paragraph apart.
+DASHES = ["—", "–"]
 #: Shortest page that is a transcript, and the class of its body.
 SHORTEST_PAGE, BODY_CLASS = 20_000, "article-body"
 
 
 def without_videos(text: Column) -> Column:
-    """struct(texto, videos, abiertos): video blocks taken out, how many, and openings left over."""
-    whole = f"(?ius){_OPEN_VIDEO}.*?{_CLOSE_VIDEO}"
-    clean = F.regexp_replace(text, whole, "\n\n")
-    return F.struct(
-        clean.alias("texto"), F.regexp_count(text, F.lit(whole)).alias("videos"), F.regexp_count(clean, F.lit(f"(?iu){_OPEN_VIDEO}")).alias("abiertos")
-    )
+    """struct(texto, videos, abiertos): recordings taken out, how many, and openings left over.
+
+    Bracketed notes are told apart by their words; a recording runs from an opening note to
+    the first closing one.
+    """
+    pieces = F.split(text, "(?=\\()|(?<=\\))")
+
+    def kind(piece: Column) -> Column:
+        words = F.split(F.trim(F.regexp_replace(plain(piece), "[^a-z]+", " ")), " ")
+        note = piece.startswith("(") & piece.endswith(")") & F.arrays_overlap(words, F.array(*[F.lit(r) for r in RECORDINGS]))
+        return F.when(note & words[0].isin(OPENING_WORDS), 1).when(note & words[0].isin(CLOSING_WORDS), 2).otherwise(0)
+
+    kinds = F.transform(pieces, kind)
+    blocks = "array<struct<s:int,e:int>>"
+    start = F.struct(F.array().cast(blocks).alias("b"), F.lit(-1).alias("open"), F.lit(0).alias("at"))
+
+    def step(state: Column, k: Column) -> Column:
+        closes = (k == 2) & (state.open >= 0)
+        opened = F.when(closes, -1).when((k == 1) & (state.open < 0), state.at).otherwise(state.open)
+        more = F.array(F.struct(state.open.alias("s"), state.at.alias("e")))
+        return F.struct(F.when(closes, F.concat(state.b, more)).otherwise(state.b).alias("b"), opened.alias("open"), (state.at + 1).alias("at"))
+
+    taken = F.aggregate(kinds, start, step).b
+    # What lies in a recording goes; its place is a blank line.
+    shown = F.transform(pieces, lambda p, k: F.when(F.exists(taken, lambda b: b.s == k), "\n\n").when(
+        F.exists(taken, lambda b: (b.s <= k) & (k <= b.e)), "").otherwise(p))
+    left = F.filter(kinds, lambda k, at: (k == 1) & ~F.exists(taken, lambda b: (b.s <= at) & (at <= b.e)))
+    return F.struct(F.array_join(shown, "").alias("texto"), F.size(taken).alias("videos"), F.size(left).alias("abiertos"))
 
 
 def without_end_mark(text: Column) -> Column:
-    """struct(texto, marca): the closing mark of a bulletin taken off."""
-    pattern = "\\n\\s*[—–-]\\s*0{2,}\\s*[—–-]\\s*$"
-    return F.struct(F.regexp_replace(text, pattern, "\n").alias("texto"), text.rlike(pattern).alias("marca"))
+    """struct(texto, marca): the closing mark of a bulletin (a last line of zeros between dashes) taken off."""
+    body = F.regexp_replace(text, "\\s+$", "")
+    last = F.substring_index(body, "\n", -1)
+    bare = F.regexp_replace(last, "\\s+", "")
+    dash = lambda c: c.isin([*DASHES, "-"])
+    mark = body.contains("\n") & dash(F.left(bare, F.lit(1))) & dash(F.right(bare, F.lit(1))) & F.translate(bare, "—–-", "").rlike("^00+$")
+    return F.struct(F.when(mark, F.left(body, F.length(body) - F.length(last))).otherwise(text).alias("texto"), F.coalesce(mark, F.lit(False)).alias("marca"))
 
 
 def asides(text: Column) -> Column:
     """struct(texto, apartes): paragraphs wholly between dashes apart from the rest."""
-    paragraphs = F.filter(F.transform(F.split(text, "\\n\\n"), lambda p: F.trim(F.regexp_replace(p, "^\\s+|\\s+$", ""))), lambda p: p != "")
-    pattern = "(?s)^[—–]\\s*(.+?)\\s*[—–]\\s*[.,]?\\s*$"
-    inside = F.transform(F.filter(paragraphs, lambda p: p.rlike(pattern)), lambda p: F.regexp_extract(p, pattern, 1))
-    rest = F.filter(paragraphs, lambda p: ~p.rlike(pattern))
-    return F.struct(F.array_join(rest, "\n\n").alias("texto"), inside.alias("apartes"))
+    stripped = F.transform(F.split(text, "\n\n"), lambda p: F.regexp_replace(p, "^\\s+|\\s+$", ""))
+    paragraphs = F.filter(stripped, lambda p: p != "")
+    ended = lambda p: F.regexp_replace(p, "[.,]?\\s*$", "")
+    inner = lambda p: F.regexp_replace(F.substring(ended(p), 2, 1_000_000_000), "^\\s+|\\s*[—–]$", "")
+    apart = lambda p: F.left(p, F.lit(1)).isin(DASHES) & F.right(ended(p), F.lit(1)).isin(DASHES) & (F.length(ended(p)) > 2)
+    inside = F.transform(F.filter(paragraphs, apart), lambda p: F.trim(inner(p)))
+    return F.struct(F.array_join(F.filter(paragraphs, lambda p: ~apart(p)), "\n\n").alias("texto"), inside.alias("apartes"))
+
+
+def line_label(line: Column) -> Column:
+    """The speaker label that a line opens with, '' without one.
+
+    It is what stands before the first colon (that opens no address), in capitals, figures
+    and some signs; a note in brackets at its end may be in any letters.
+    """
+    head = F.trim(F.regexp_extract(line, "^((?:[^:()]|\\([^()]*\\))*)(?=:(?!//))", 1))
+    name = F.regexp_replace(head, f"\\s*\\([^()]{{0,{LONGEST_NOTE}}}\\)$", "")
+    signs = "".join(f"\\{c}" for c in LABEL_SIGNS)
+    shaped = name.rlike(f"^\\p{{Lu}}[\\p{{Lu}}0-9{signs}]*$") & F.length(name).between(SHORTEST_LABEL, LONGEST_LABEL)
+    return F.when(shaped, head).otherwise(F.lit(""))
 
 
 def header(text: Column) -> Column:
     """What stands before the first label; all of it without one."""
-    return F.regexp_replace(F.split(text, f"(?m)(?=^{_LABEL})", 2)[0], "^\\s+|\\s+$", "")
+    lines = F.split(text, "\n")
+    labelled = F.transform(lines, lambda line: line_label(line) != "")
+    first = F.array_position(labelled, True)
+    kept = F.when(first > 0, F.slice(lines, F.lit(1), (first - 1).cast("int"))).otherwise(lines)
+    return F.regexp_replace(F.array_join(kept, "\n"), "^\\s+|\\s+$", "")
 
 
 def turns_of(docs: DataFrame, key: str, text: str, aliases: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """One row per speaker label: key, orden from 0, etiqueta, tipo, cargo, hablante, texto, apartes."""
-    body = normalize_spaces(F.col(text))
-    pieces = F.filter(F.split(body, f"(?m)(?=^{_LABEL})"), lambda p: p.rlike(f"^{_LABEL}"))
-    rows = docs.select(F.col(key), F.posexplode(pieces).alias("orden", "__piece"))
-    label = F.trim(F.regexp_extract("__piece", f"^({_LABEL})", 1))
-    rows = rows.withColumn("etiqueta", F.trim(F.regexp_replace(label, "[ \\t]*:$", "")))
-    rows = rows.withColumn("__body", asides(F.regexp_replace("__piece", f"^{_LABEL}[ \\t]*", "")))
-    rows = rows.withColumn("__who", label_parts(F.col("etiqueta"), aliases))
+    rows = docs.select(F.col(key), F.split(normalize_spaces(F.col(text)), "\n").alias("__lines"))
+    rows = rows.withColumn("__labels", F.transform("__lines", line_label))
+    rows = rows.withColumn("__at", F.filter(F.transform("__labels", lambda t, k: F.when(t != "", k)), lambda k: k.isNotNull()))
+    ends = F.transform("__at", lambda s, k: F.coalesce(F.get(F.col("__at"), k + 1), F.size("__lines")))
+    rows = rows.withColumn("__ends", ends)
+    said = F.transform(F.arrays_zip(F.col("__at").alias("s"), F.col("__ends").alias("e")), lambda x: F.struct(
+        F.get(F.col("__labels"), x.s).alias("l"), F.array_join(F.slice(F.col("__lines"), x.s + 1, x.e - x.s), "\n").alias("t")))
+    rows = rows.select(key, F.posexplode(said).alias("orden", "__turn"))
+    # The text begins after the colon that ends the label, whatever blanks stand before it.
+    after = F.regexp_replace(F.substr("__turn.t", F.length("__turn.l") + 1), "^\\s*:[ \\t]*", "")
+    rows = rows.withColumn("etiqueta", F.col("__turn.l")).withColumn("__body", asides(after)).withColumn("__who", label_parts(F.col("etiqueta"), aliases))
     return rows.select(key, "orden", "etiqueta", "__who.tipo", "__who.cargo", "__who.hablante", "__body.texto", "__body.apartes")
 
 

@@ -42,6 +42,20 @@ def rebuild(ledger: DataFrame, current: DataFrame, key: str = "id", order: str =
     return last_wins(renamed, [key], [order])
 
 
+def earliest(captures: DataFrame, key: str, time: str, columns: list[str]) -> DataFrame:
+    """(key, columns, time): the earliest capture of each key, ties by the columns; rows without key or time are left out."""
+    rows = captures.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    first = F.min(F.struct(time, *columns)).alias("__first")
+    return rows.groupBy(key).agg(first).select(key, *[F.col(f"__first.{c}").alias(c) for c in [*columns, time]])
+
+
+def wanted_links(hrefs: DataFrame, href: str, day) -> tuple[DataFrame, DataFrame]:
+    """(one link per date, other links each once): a link whose date can be read is wanted, of one date the first by name."""
+    dated = hrefs.select(F.col(href).alias("href"), day.alias("fecha"))
+    wanted = dated.where("fecha is not null").groupBy("fecha").agg(F.min("href").alias("href"))
+    return wanted, dated.where("fecha is null").select("href").distinct()
+
+
 def split_rejects(df: DataFrame, reason) -> tuple[DataFrame, DataFrame]:
     """Rows without and with a reason; nothing is dropped."""
     marked = df.withColumn("razon", reason)

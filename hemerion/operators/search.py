@@ -74,3 +74,8 @@ def search(exchanges: DataFrame, *, any_of: list[str] = (), all_of: list[str] =
     ordered = [F.col(c).asc_nulls_last() for c in ("fecha", "periodista", "conferencia_id", "orden") if c in found.columns]
     found = found.orderBy(*ordered)
     return found.limit(limit) if limit else found
+
+
+def until(df: DataFrame, day: Column, cut: str) -> DataFrame:
+    """Rows up to the cut date, the day itself included; days are ISO text or dates. What is counted after it depends on the cut."""
+    return df.where(day <= F.lit(cut))

@@ -62,6 +62,45 @@ def attribute(threaded: DataFrame) -> DataFrame:
     )
 
 
+def build_threads(turns: DataFrame, introduced: DataFrame, manual: DataFrame | None = None, longest: int = 200) -> DataFrame:
+    """Turns in threads, with role, speaker, attribution and noise.
+
+    ``introduced`` and ``manual``: (conferencia_id, orden, periodista, medio). A press turn
+    opens a thread where the manual table has it, even in an uncertain run, else where it
+    introduces someone and its run is certain. A manual opener keeps its own outlet, null too.
+    """
+    keys = [CONF, ORDER]
+    runs = press_runs(turns, longest).select(*keys, "incierta")
+    said = introduced.where("periodista is not null").select(*keys, F.struct("periodista", "medio").alias("__said"))
+    joined = turns.join(runs, keys, "left").join(said, keys, "left")
+    if manual is None:
+        joined = joined.withColumn("__own", F.lit(None).cast("struct<periodista:string,medio:string>"))
+    else:
+        own = manual.groupBy(*keys).agg(F.min(F.struct("periodista", "medio")).alias("__own"))
+        joined = joined.join(own, keys, "left")
+    press, by_hand = F.col("tipo") == "prensa", F.col("__own").isNotNull()
+    opens = press & (by_hand | (F.col("__said").isNotNull() & ~F.coalesce("incierta", F.lit(False))))
+    who = F.when(by_hand, F.col("__own")).otherwise(F.col("__said"))
+    method = F.when(by_hand, "manual").otherwise("regex")
+    threaded = open_threads(joined, opens, who.periodista, who.medio, method).drop("__said", "__own")
+    return attribute(threaded)
+
+
+def unused_manual(turns: DataFrame, manual: DataFrame) -> DataFrame:
+    """Manual rows that opened no thread: their turn is missing or no press turn."""
+    return manual.join(turns.where("tipo = 'prensa'").select(CONF, ORDER), [CONF, ORDER], "left_anti")
+
+
+def nested_threads(built: DataFrame) -> DataFrame:
+    """One row per thread with its turns in order; a thread is a part of one document."""
+    turn = F.struct("orden", "rol", "quien", "texto", "atribucion", "ruido")
+    grouped = built.groupBy(CONF, "hilo").agg(
+        F.min("periodista").alias("periodista"), F.min("medio").alias("medio"), F.min("metodo").alias("metodo_identificacion"),
+        F.array_sort(F.collect_list(turn)).alias("turnos"),
+    )
+    return grouped
+
+
 def thread_turns(threads: DataFrame) -> DataFrame:
     """Nested turns as rows; a re-sent thread counts once."""
     once = threads.dropDuplicates([CONF, "hilo"])
@@ -124,3 +163,34 @@ def context_budget(rows: DataFrame, turns: int = 4, most: int = 900) -> DataFram
 
     used = F.aggregate(sizes, start, take)
     return rows.withColumn("__used", used).withColumn("previos", F.col("__used.n")).withColumn("caracteres", F.col("__used.size")).drop("__used")
+
+
+def next_context(rows: DataFrame, turns: int = 4, most: int = 600) -> DataFrame:
+    """(siguientes, caracteres_siguientes) after each turn: the next one, or, where the turn breaks off, what fits the budget."""
+    w = Window.partitionBy(CONF, "hilo").orderBy(ORDER).rowsBetween(1, turns)
+    sizes = F.collect_list(F.length(F.coalesce("texto", F.lit("")))).over(w)
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"), F.lit(False).alias("full"))
+
+    def take(state: Column, size: Column) -> Column:
+        full = state.full | (state.size + size > most)
+        return F.struct((state.n + F.when(full, 0).otherwise(1)).alias("n"), (state.size + F.when(full, 0).otherwise(size)).alias("size"), full.alias("full"))
+
+    cut = ~F.coalesce(F.trim("texto"), F.lit("")).rlike("[.?!…]$")
+    found = rows.withColumn("__sizes", sizes).withColumn("__used", F.aggregate("__sizes", start, take))
+    first = F.least(F.size("__sizes"), F.lit(1))
+    one = F.struct(first.alias("n"), F.coalesce(F.get(F.col("__sizes"), F.lit(0)), F.lit(0)).alias("size"))
+    return (
+        found.withColumn("__next", F.when(cut, F.struct("__used.n", "__used.size")).otherwise(one)).withColumn("siguientes", F.col("__next.n"))
+        .withColumn("caracteres_siguientes", F.col("__next.size")).drop("__sizes", "__used", "__next")
+    )
+
+
+def with_attachments(found: DataFrame, *tables: tuple[DataFrame, str, list[str]]) -> DataFrame:
+    """Exchanges with what is attached to them by (conferencia_id, orden), the last record of each; none is lost.
+
+    Each table: (rows with conferencia_id and orden, the column that orders records, the columns to attach).
+    """
+    for rows, order, columns in tables:
+        last = rows.groupBy(CONF, ORDER).agg(F.max_by(F.struct(*columns), F.struct(order, *columns)).alias("__last"))
+        found = found.join(last, [CONF, ORDER], "left").select("*", *[F.col(f"__last.{c}").alias(c) for c in columns]).drop("__last")
+    return found

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +9,10 @@ from hemerion.functions import dates, rules, text
 from hemerion.operators import aggregates as agg
 from hemerion.operators import classify, documents, entities, identity, lineage, mining, search, sessions, similarity
 from hemerion.operators.packed import compound_heads, split_packed
+from hemerion.plans.registry import ORACLES, QUERIES, query
 from hemerion.session import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
 
 #: Shared parts of the SQL: tables without re-sent rows, and threads as rows.
 _T = "t AS (SELECT * FROM turnos QUALIFY row_number() OVER (PARTITION BY conferencia_id, orden ORDER BY recibido_en) = 1)"
@@ -43,16 +41,6 @@ _FOLD = "strip_accents(lower(coalesce({0}, '')))"
 _FLAT = "trim(regexp_replace(" + _FOLD + ", '[^a-z0-9]+', ' ', 'g'))"
 
 
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return register
-
-
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     return sessions.distinct_turns(table(spark, d, "turnos"))
 
@@ -301,18 +289,13 @@ def _documents(spark, d):
     return table(spark, d, "documents").select("doc_id", "text")
 
 
-@query(f"SELECT doc_id FROM documents WHERE regexp_matches({_FOLD.format('text')}, '(?:\\bagua\\b)|(?:\\bhospital\\s+{{0,1}}[a-z]*)|(?:\\bpermiso\\s+de\\s+pesca\\b)')")
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches({_FOLD.format('text')}, '\\bagua\\b|\\bhospital|\\bpermiso\\s+de\\s+pesca\\b')")
 def phrase_search_or(spark, d):
     """Documents with any of three phrases."""
     hits = search.matches(F.col("text"), any_of=["agua", "hospital*", "permiso de pesca"])
     return _documents(spark, d).where(hits).select("doc_id")
 
 
-ORACLES["phrase_search_or"] = (
-    f"SELECT doc_id FROM documents WHERE regexp_matches({_FOLD.format('text')}, '\\bagua\\b|\\bhospital|\\bpermiso\\s+de\\s+pesca\\b')"
-)
-
-
 @query(
     f"SELECT doc_id FROM documents WHERE regexp_matches({_FOLD.format('text')}, '\\blicitacion\\b|\\bcontrato\\b') "
     f"AND regexp_matches({_FOLD.format('text')}, '\\bfederacion\\b|\\bcomunidades\\b')"
@@ -369,7 +352,8 @@ def comparison_key(spark, d):
     return rows.withColumn("clave", text.comparison_key(F.col("medio")))
 
 
-_STOPS = ", ".join(f"'{w}'" for w in similarity.STOP)
+#: Words without weight of four letters or more; shorter ones are no words of a bag anyway.
+_STOPS = "'para', 'unos', 'unas', 'sobre', 'ante', 'tras', 'entre'"
 _BAG = f"list_sort(list_distinct(list_filter(regexp_extract_all({_FOLD}, '[a-z0-9]{{{{4,}}}}'), lambda w: NOT list_contains([{_STOPS}], w))))"
 
 
@@ -380,11 +364,15 @@ def bag_of_words(spark, d):
     return rows.select("asunto", F.array_join(F.array_sort(similarity.subject_bag(F.col("asunto"))), " ").alias("bolsa"))
 
 
-_NOISE = "^(?:" + "|".join(f"(?:{c})" for c in rules.COURTESIES) + ")[\\s.,;!¡]*$"
+_ADDRESS = "( *,? *(senora )?(presidenta|presidente))?"
+_NOISE = (
+    f"^((muchas |muchisimas )?gracias{_ADDRESS}|buen(os dias|as tardes|as noches){_ADDRESS}|bien|si|no|de acuerdo|asi es|con permiso|adelante|[(] *inaudible *[)])"
+    "[\\s.,;!¡]*$"
+)
 
 
-@query(f"""WITH {_T} SELECT conferencia_id, orden, len(list_filter(regexp_split_to_array(trim({_FOLD.format('texto')}), '[.!?]+\\s+'),
-  lambda s: trim(s) <> '' AND NOT regexp_matches(trim(s), '{_NOISE}'))) = 0 AS ruido FROM t""")
+@query(f"""WITH {_T}, s AS (SELECT conferencia_id, orden, unnest(regexp_split_to_array(regexp_replace(regexp_replace(trim({_FOLD.format('texto')}), '\\s+', ' ', 'g'), '([.!?]) ', '\\1' || chr(10), 'g'), chr(10))) AS o FROM t)
+SELECT conferencia_id, orden, count(*) FILTER (WHERE trim(o) <> '' AND NOT regexp_matches(trim(o), '{_NOISE}')) = 0 AS ruido FROM s GROUP BY ALL""")
 def noise_predicate(spark, d):
     """Turns that hold nothing but courtesies."""
     return _turns(spark, d).select("conferencia_id", "orden", rules.is_noise(F.col("texto")).alias("ruido"))
@@ -398,11 +386,40 @@ def line_explode(spark, d):
     return lines.groupBy("doc_id").agg(F.count("*").alias("lineas"), F.max(F.length("linea")).alias("mayor"))
 
 
-_FORMS = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(p, '{r}') THEN '{k}' END" for k, r in rules.FORM_RULES.items()) + ", 'otra')"
+#: The forms of "to review", written out for SQL.
+_SQL_FORMS = [
+    ("hecho", "\\bya (\\w+ ){0,2}revis|\\bhemos revisado"),
+    ("en_curso", "\\b(estamos|esta|estan|estoy|seguimos|sigue|siguen|estado|estuvimos|(va|van|vamos) a estar) (\\w+ )?revisand"),
+    ("encargo", "\\bque (\\w+ ){0,4}(revise|revisara|puedan? revis)|\\bpara que (\\w+ ){0,2}revis|\\b(instru|pedi|pido|pedimos|solicit)\\w* (\\w+ ){0,4}revis"),
+    ("necesidad", "\\b(hay que|habria que|tienen? que|tenemos que|tendria(mos|n)? que|deben?|debemos|deberia|necesitamos|importante) (\\w+ )?revis"),
+    ("compromiso", "\\b((vamos|voy|va|van) a|podemos|(se )?puede|puedo) (\\w+ ){0,2}revis|\\bl[oa]s? (\\w+ )?(revisamos|reviso|revisaremos)\\b"
+     "|(^|\\bentonces,? |\\bgusto,? )revisamos (el|las?|los|est[ea]|es[ea]|eso|esto|sus?)\\b"),
+]
+_FORMS = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(p, '{r}') THEN '{k}' END" for k, r in _SQL_FORMS) + ", 'otra')"
+#: Sentences of what officials say, folded, by conference, turn and place.
+_SAID = (
+    "l AS (SELECT conferencia_id, orden, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(texto, ''), '([.?!…])\\s+', '\\1' || chr(10), 'g'), '\\n+'), "
+    "lambda x: trim(x)), lambda x: x <> '') AS o FROM t WHERE tipo = 'funcionario'), "
+    "s AS (SELECT conferencia_id, orden, unnest(o) AS oracion, unnest(range(len(o))) AS posicion FROM l), "
+    "f AS (SELECT *, trim(regexp_replace(strip_accents(lower(oracion)), '\\s+', ' ', 'g')) AS p FROM s)"
+)
+_GERUNDS = (
+    "g AS (SELECT * FROM (VALUES ('viendo', 'ver'), ('analizando', 'analizar'), ('investigando', 'investigar'), ('evaluando', 'evaluar'), ('estudiando', 'estudiar'), "
+    "('valorando', 'valorar'), ('consultando', 'consultar'), ('checando', 'checar'), ('verificando', 'verificar'), ('averiguando', 'averiguar'), ('revisando', 'revisar')) v(ger, verbo))"
+)
+_PROCESS = "'(?:^|[^a-z0-9_])(se )?(?:(?:lo|la|los|las|le) )?(estamos|seguimos|estoy|estan|esta|siguen|sigue) (?:[a-z0-9_]+ ){0,2}' || ger || '(?:[^a-z0-9_]|$)'"
+_FOUND = (
+    f"{_SAID}, {_GERUNDS}, c AS (SELECT f.*, verbo, regexp_extract(p, {_PROCESS}, 1) AS se, regexp_extract(p, {_PROCESS}, 2) AS aux FROM f, g "
+    f"WHERE contains(p, ger) AND regexp_matches(p, {_PROCESS}) AND NOT (verbo = 'estudiar' AND regexp_matches(p, '\\bestudiantes?\\b'))), "
+    "m AS (SELECT f.*, 'revisar' AS verbo, '' AS se, '' AS aux FROM f WHERE regexp_matches(p, '\\b(revisa|revise)|\\breviso\\b') "
+    "AND NOT EXISTS (SELECT 1 FROM c WHERE c.verbo = 'revisar' AND c.conferencia_id = f.conferencia_id AND c.orden = f.orden AND c.posicion = f.posicion)), "
+    f"h AS (SELECT conferencia_id, orden, posicion, verbo, CASE WHEN verbo = 'revisar' THEN {_FORMS} ELSE 'en_curso' END AS forma, CASE WHEN aux = '' THEN '' "
+    "WHEN aux IN ('estamos', 'seguimos', 'estoy') THEN 'nosotros' WHEN se <> '' THEN 'impersonal' ELSE 'tercero' END AS sujeto FROM (SELECT * FROM c UNION ALL SELECT * FROM m))"
+)
 
 
 @query(f"""WITH {_T}, s AS (SELECT conferencia_id, orden, unnest(regexp_split_to_array({_FOLD.format('texto')}, '\\n+')) AS q FROM t WHERE tipo = 'funcionario'),
-f AS (SELECT *, regexp_replace(q, '\\s+', ' ', 'g') AS p FROM s WHERE regexp_matches(q, 'revis')), g AS (SELECT *, {_FORMS} AS forma FROM f)
+f AS (SELECT *, trim(regexp_replace(q, '\\s+', ' ', 'g')) AS p FROM s WHERE regexp_matches(q, 'revis')), g AS (SELECT *, {_FORMS} AS forma FROM f)
 SELECT conferencia_id, forma, count(*) AS n FROM g GROUP BY 1, 2""")
 def rule_forms(spark, d):
     """Forms of "to review" in what officials say, by line."""
@@ -410,14 +427,18 @@ def rule_forms(spark, d):
     return lines.where(F.col("q").rlike("revis")).groupBy("conferencia_id", rules.verb_form(F.col("q")).alias("forma")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {_T}, {_FOUND} SELECT verbo, forma, sujeto, count(*) AS n, count(DISTINCT conferencia_id) AS conferencias FROM h GROUP BY ALL""")
 def verb_findings(spark, d):
     """Sentences in which officials look into a matter, by verb, form and subject."""
     found = mining.findings(_turns(spark, d).where("tipo = 'funcionario'"), ["conferencia_id", "orden"], "texto")
     return found.groupBy("verbo", "forma", "sujeto").agg(F.count("*").alias("n"), F.countDistinct("conferencia_id").alias("conferencias"))
 
 
-@query()
+_FORM_RANK = "CASE forma WHEN 'compromiso' THEN 1 WHEN 'en_curso' THEN 2 WHEN 'encargo' THEN 3 WHEN 'necesidad' THEN 4 WHEN 'hecho' THEN 5 ELSE 6 END"
+
+
+@query(f"""WITH {_T}, {_FOUND} SELECT conferencia_id, orden, verbo, forma, sujeto FROM h
+QUALIFY row_number() OVER (PARTITION BY conferencia_id, orden ORDER BY {_FORM_RANK}, posicion, verbo) = 1""")
 def best_form(spark, d):
     """The most committed finding of each turn."""
     found = mining.findings(_turns(spark, d).where("tipo = 'funcionario'"), ["conferencia_id", "orden"], "texto")
@@ -452,12 +473,13 @@ def rule_layer_over_model(spark, d):
 _VOC = "de la que el en los las con por para una del".split()
 _WORDS = (
     f"w AS (SELECT lang, unnest(list_filter(regexp_extract_all({_FOLD.format('text')}, '[a-z]+'), lambda x: length(x) > 2 AND NOT list_contains("
-    f"[{', '.join(repr(w) for w in _VOC)}], x))) AS palabra FROM documents WHERE lang IS NOT NULL)"
+    f"[{', '.join(repr(w) for w in _VOC)}], x))) AS palabra FROM (SELECT coalesce(lang, '?') AS lang, text FROM documents))"
 )
 
 
 def _vocabulary(spark, d):
-    return table(spark, d, "documents").where("lang is not null").select("lang", F.explode(text.tokens(F.col("text"), _VOC)).alias("palabra"))
+    rows = table(spark, d, "documents").withColumn("lang", F.coalesce("lang", F.lit("?")))
+    return rows.select("lang", F.explode(text.tokens(F.col("text"), _VOC)).alias("palabra"))
 
 
 @query(f"""WITH {_WORDS}, s AS (SELECT DISTINCT lang, palabra FROM w), n AS (SELECT lang, count(*) AS n FROM s GROUP BY 1),
@@ -491,12 +513,15 @@ def subject_consolidation(spark, d):
     return mapped.withColumn("variantes", F.count("*").over(Window.partitionBy("canonico")))
 
 
-@query("SELECT asunto, asunto AS canonico FROM clasificaciones WHERE false")
+@query(f"""WITH {_C} SELECT count(DISTINCT asunto) AS asuntos, count(DISTINCT asunto) AS con_representante, cast(0 AS bigint) AS distintos FROM c WHERE asunto <> ''""")
 def subject_consolidation_check(spark, d):
-    """Members that are not similar to their representative: none."""
+    """How many subjects have a representative that represents itself, and how many aren't similar to it."""
     mapped = similarity.consolidate(_subject_counts(spark, d), "asunto", "n", 0.6)
     alike = text.jaccard(similarity.subject_bag(F.col("asunto")), similarity.subject_bag(F.col("canonico")))
-    return mapped.where((F.col("asunto") != F.col("canonico")) & (alike < 0.6 - 1e-9))
+    roots = mapped.where("asunto = canonico").select(F.col("asunto").alias("canonico"), F.lit(True).alias("raiz"))
+    unlike = (F.col("asunto") != F.col("canonico")) & (alike < 0.6 - 1e-9)
+    return mapped.join(roots, "canonico", "left").agg(
+        F.count("*").alias("asuntos"), F.count("raiz").alias("con_representante"), F.count_if(unlike).alias("distintos"))
 
 
 _REPORTERS = f"{_H}, f AS (SELECT periodista AS name, count(*) AS n FROM h WHERE periodista IS NOT NULL GROUP BY 1)"
@@ -563,31 +588,32 @@ def set_overlap_bridge(spark, d):
 # ---- documents ----------------------------------------------------------------------------------------------
 
 
-_SHOUTED = "^[A-ZÁÉÍÓÚÑÜ][A-ZÁÉÍÓÚÑÜ0-9 ,.()/º°’-]{2,150}$"
+_SHOUTED = "^[A-ZÁÉÍÓÚÑÜ][A-ZÁÉÍÓÚÑÜ0-9 ,.()/º°''’-]{2,150}( *[(][^)]{0,45}[)])?$"
 _KIND = (
-    f"CASE WHEN regexp_matches(e, '^(?:{'|'.join(rules.PRESS_LABELS)})(?:\\s*\\([^)]*\\))?$') THEN 'prensa' "
-    f"WHEN regexp_matches(e, '^(?:{'|'.join(rules.ROOM_LABELS)})$') OR regexp_matches(e, '^INTERVENCION(?:ES)?(?:\\s+(?:HOMBRE|MUJER)(?:E?S)?)?(?:\\s*\\([^)]*\\))?$') "
-    f"OR regexp_matches(e, '^(?:{'|'.join(rules.VIDEO_VOICES)})') THEN 'anonimo' ELSE 'funcionario' END"
+    "CASE WHEN regexp_matches(e, '^(PREGUNTAS?|INTERLOCUTORA?|INTERLOCUTORES|INTERLOCUTORAS)( *[(][^)]*[)])?$') THEN 'prensa' "
+    "WHEN regexp_matches(e, '^(INTERVENCION(ES)?( (HOMBRES?|MUJER(ES)?))?( *[(][^)]*[)])?|ASISTENTES)$') "
+    "OR regexp_matches(e, '^(VOZ|VOCES|DERECHOHABIENTE|MADRE|PADRE|PACIENTE|TRABAJADOR|BENEFICIARI)') THEN 'anonimo' ELSE 'funcionario' END"
 )
 
 
-@query(f"""WITH {_T}, s AS (SELECT *, strip_accents(upper(trim(etiqueta))) AS e FROM t WHERE regexp_matches(etiqueta, '{_SHOUTED}'))
+@query(f"""WITH {_T}, s AS (SELECT *, strip_accents(upper(trim(etiqueta))) AS e FROM t WHERE regexp_matches(trim(etiqueta), '{_SHOUTED}'))
 SELECT conferencia_id, cast(row_number() OVER (PARTITION BY conferencia_id ORDER BY orden) - 1 AS int) AS orden, trim(etiqueta) AS etiqueta, {_KIND} AS tipo FROM s""")
 def label_segmentation(spark, d):
-    """Transcripts written out and cut into turns again."""
-    line = F.concat("etiqueta", F.lit(": "), F.regexp_replace(F.coalesce("texto", F.lit("")), "\\s+", " "))
+    """Transcripts written out and cut into turns again; a label in small letters is no label, so its turn falls to the one before."""
+    line = F.concat(F.coalesce("etiqueta", F.lit("")), F.lit(": "), F.regexp_replace(F.coalesce("texto", F.lit("")), "\\s+", " "))
     listed = F.array_sort(F.collect_list(F.struct("orden", line.alias("l"))))
-    docs = _turns(spark, d).where(F.col("etiqueta").rlike(_SHOUTED)).groupBy("conferencia_id").agg(
-        F.array_join(F.transform(listed, lambda x: x.l), "\n\n").alias("texto"))
+    docs = _turns(spark, d).groupBy("conferencia_id").agg(F.array_join(F.transform(listed, lambda x: x.l), "\n\n").alias("texto"))
     return documents.turns_of(docs, "conferencia_id", "texto").select("conferencia_id", "orden", "etiqueta", "tipo")
 
 
-@query(f"""WITH {_T}, p AS (SELECT conferencia_id, orden, trim(regexp_replace(texto, '[\\s\\x{{a0}}]+', ' ', 'g')) AS l FROM t WHERE texto IS NOT NULL AND texto NOT LIKE '%<%' AND texto NOT LIKE '%&%')
+@query(f"""WITH {_T}, p AS (SELECT conferencia_id, orden, trim(regexp_replace(texto, '[\\s\\x{{a0}}]+', ' ', 'g')) AS l FROM t WHERE texto IS NOT NULL)
 SELECT conferencia_id, string_agg(l, chr(10) || chr(10) ORDER BY orden) AS texto FROM p WHERE l <> '' GROUP BY 1""")
 def html_paragraphs(spark, d):
-    """Transcripts written as pages and read back."""
+    """Transcripts written as pages and read back; signs of markup in the text are escaped, as a page has them."""
     flat = F.trim(F.regexp_replace("texto", "[\\s\\u00a0]+", " "))
-    rows = _turns(spark, d).where("texto is not null and texto not like '%<%' and texto not like '%&%'").withColumn("l", flat).where("l <> ''")
+    for sign, escape in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        flat = F.replace(flat, F.lit(sign), F.lit(escape))
+    rows = _turns(spark, d).where("texto is not null").withColumn("l", flat).where("l <> ''")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("orden", "l"))), lambda x: F.concat(F.lit("<div><p>"), x.l, F.lit("</p></div>"))), "")
     pages = rows.groupBy("conferencia_id").agg(F.concat(F.lit("<html><body><div class='article-body'>"), body, F.lit("</div></body></html>")).alias("html"))
     return documents.pages_to_text(pages, "conferencia_id", "html")
@@ -609,7 +635,19 @@ def introductions_known(spark, d):
     return identity.introductions(press, ["conferencia_id", "orden"], "texto", known).where("periodista is not null").groupBy("periodista").agg(F.count("*").alias("n"))
 
 
-@query()
+_OPENING = [
+    "vamos a hablar +(?:de|del|sobre) +[‘“\\x22'']?([^.;\\n’”\\x22'']{3,90})", "hoy vamos a presentar +[‘“\\x22'']?([^.;\\n’”\\x22'']{3,90})",
+    "hoy es +(?:el +)?(?:d[ií]a de +)?[‘“\\x22'']?([^.;\\n’”\\x22'']{3,80})", "el tema de hoy es +[‘“\\x22'']?([^.;\\n’”\\x22'']{3,90})",
+    "hoy tenemos +[‘“\\x22'']?([^.;\\n’”\\x22'']{3,90})",
+]
+_CLEAN = "nullif(trim(regexp_replace(regexp_replace({0}, '^[ ,;:—-]+|[ ,;:—-]+$', '', 'g'), '\\s+', ' ', 'g')), '')"
+
+
+@query(f"""WITH {_T}, o AS (SELECT conferencia_id, left(string_agg(texto, chr(10) ORDER BY orden), 2500) AS s FROM t WHERE orden < 6 AND tipo = 'funcionario' GROUP BY 1),
+m AS (SELECT conferencia_id, {", ".join(f"nullif(regexp_extract(s, '(?i){p}', 1), '') AS a{k}, regexp_extract(s, '(?i){p}', 0) AS b{k}" for k, p in enumerate(_OPENING))} FROM o),
+x AS (SELECT conferencia_id, coalesce(a0, a1, a2, a3, a4) AS a, coalesce({", ".join(f"nullif(b{k}, '')" for k in range(5))}) AS b FROM m)
+SELECT conferencia_id, {_CLEAN.format('a')} AS tema, CASE WHEN {_CLEAN.format('a')} IS NULL THEN 'sin_identificar' ELSE 'regex' END AS metodo,
+  CASE WHEN {_CLEAN.format('a')} IS NOT NULL THEN left(trim(regexp_replace(b, '\\s+', ' ', 'g')), 160) END AS fragmento FROM x""")
 def subject_of_day(spark, d):
     """The subject that officials announce at the opening."""
     return documents.subject_of_day(_turns(spark, d), rules.ANNOUNCEMENTS)
@@ -759,7 +797,7 @@ def slug_dates(spark, d):
     names = {n: m for m, n in dates.MONTHS.items() if m != "setiembre"}
     month = F.create_map(*[x for n, m in names.items() for x in (F.lit(n), F.lit(m))])[F.month("fecha")]
     rows = table(spark, d, "conferencias").select("conferencia_id", "fecha").distinct()
-    slug = F.concat(F.lit("version-estenografica-del-"), F.dayofmonth("fecha"), F.lit("-de-"), month, F.lit("-de-"), F.year("fecha"), F.lit("?idiom=es"))
+    slug = F.concat(F.lit("conferencia-del-"), F.dayofmonth("fecha"), F.lit("-de-"), month, F.lit("-de-"), F.year("fecha"), F.lit("?idiom=es"))
     found = rows.withColumn("fecha", dates.date_of_slug(slug))
     return found.select("conferencia_id", F.date_format("fecha", "yyyy-MM").alias("mes"), "fecha")
 
@@ -782,3 +820,6 @@ def pricing_summary(spark, d):
         F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
         F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"),
     )
+
+
+from hemerion.plans import report_queries  # noqa: E402,F401  (registers its queries)

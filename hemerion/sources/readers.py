@@ -14,18 +14,27 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 
 def read_torn_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, int]:
-    """(records, torn lines): a broken last line of a file is counted, any other raises."""
-    lines = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("file"), F.posexplode(F.filter(F.split("value", "\n"), lambda v: F.trim(v) != "")).alias("seq", "value")
-    )
-    parsed = lines.select("file", "seq", "value", F.from_json("value", f"{schema}, __broken string", {
+    """(records, torn lines): a broken last line of a file is counted, any other raises.
+
+    Lines are read as lines, so a large file is many tasks; ``seq`` orders the lines of a file.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("seq")).where(F.trim("value") != "")
+    parsed = lines.select("file", "seq", F.from_json("value", f"{schema}, __broken string", {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"}).alias("r"))
-    last = parsed.groupBy("file").agg(F.max("seq").alias("last"))
-    broken = parsed.where("r.__broken is not null").join(last, "file").select("file", "seq", "last").collect()
-    middle = [b for b in broken if b.seq < b.last]
+    broken = F.col("r.__broken").isNotNull()
+    files = parsed.groupBy("file").agg(F.max("seq").alias("last"), F.min(F.when(broken, F.col("seq"))).alias("first"), F.count_if(broken).alias("n"))
+    middle = files.where(F.col("first") < F.col("last")).limit(1).collect()
     if middle:
-        raise ValueError(f"broken line {middle[0].seq + 1} in the middle of {middle[0].file}")
-    return parsed.where("r.__broken is null").select("r.*", "seq").drop("__broken"), len(broken)
+        raise ValueError(f"broken line in the middle of {middle[0].file}")
+    torn = files.agg(F.sum("n")).collect()[0][0] or 0
+    return parsed.where("r.__broken is null").select("r.*", "file", "seq").drop("__broken"), torn
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A CSV with a header; without a schema all columns are strings."""
+    reader = spark.read.option("header", True)
+    return (reader.schema(schema) if schema else reader).csv(path)
 
 
 def read_commented_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:

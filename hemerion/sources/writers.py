@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
-from pathlib import Path
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Observation
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,27 +30,78 @@ def write_version(df: DataFrame, folder: str) -> str:
     return path
 
 
-def write_csv_bom(df: DataFrame, path: str, most: int = 1_000_000) -> int:
-    """One CSV file that spreadsheet programs read as UTF-8; for reports of bounded size."""
-    rows = df.limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows; write a distributed table instead")
-    rows.to_csv(path, index=False, encoding="utf-8-sig")
-    return len(rows)
+def point_to(spark: SparkSession, folder: str, version: str) -> None:
+    """Makes a version the current one: the pointer is written beside and renamed, so readers see the old or the new one."""
+    path, fs = _file_system(spark, f"{folder.rstrip('/')}/ACTUAL")
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    if fs.exists(path):
+        fs.delete(path, False)
+    fs.rename(beside, path)
 
 
-def write_map(df: DataFrame, key: str, value: str, path: str, most: int = 1_000_000) -> int:
-    """A JSON object of two columns, for maps of bounded size."""
-    rows = df.select(key, value).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} entries; write a distributed table instead")
-    Path(path).write_text(json.dumps({r[0]: r[1] for r in rows}, ensure_ascii=False, indent=1, sort_keys=True), encoding="utf-8")
-    return len(rows)
+def current_version(spark: SparkSession, folder: str) -> DataFrame:
+    """The version that the pointer names."""
+    return spark.read.parquet(spark.read.text(f"{folder.rstrip('/')}/ACTUAL").collect()[0].value)
 
 
-def markdown_report(hits: DataFrame, title: str, columns: list[str], most: int = 500) -> str:
-    """A report of the first hits, as text."""
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _one_file(df: DataFrame, path: str, kind: str, empty: str = "", **options: str) -> int:
+    """Written by one executor task to a folder beside the path, then renamed; returns the number of rows."""
+    spark, seen = df.sparkSession, Observation()
+    target, fs = _file_system(spark, path)
+    beside = f"{path}.{uuid.uuid4().hex}"
+    df.observe(seen, F.count(F.lit(1)).alias("n")).coalesce(1).write.format(kind).options(**options).save(beside)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(beside)
+    parts = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    if fs.exists(target):
+        fs.delete(target, False)
+    if parts:
+        fs.rename(parts[0], target)
+    else:
+        out = fs.create(target, True)
+        out.write(bytearray(empty.encode()))
+        out.close()
+    fs.delete(folder, True)
+    return seen.get["n"]
+
+
+def write_csv_bom(df: DataFrame, path: str) -> int:
+    """One CSV file that spreadsheet programs read as UTF-8; rows stream through one task, none reaches the driver."""
+    first, *rest = df.columns
+    return _one_file(df.toDF("\ufeff" + first, *rest), path, "csv", header="true", emptyValue="", quoteAll="false")
+
+
+def write_map(df: DataFrame, key: str, value: str, path: str) -> int:
+    """A JSON object of two columns, sorted by key; of equal keys all are written."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        comma = "{"
+        for batch in batches:
+            lines = []
+            for k, v in zip(batch["k"], batch["v"]):
+                lines.append(f"{comma} {json.dumps(k, ensure_ascii=False)}: {json.dumps(v, ensure_ascii=False)}")
+                comma = ","
+            yield pd.DataFrame({"line": lines})
+        yield pd.DataFrame({"line": ["}" if comma == "," else "{}"]})
+
+    rows = df.select(F.col(key).cast("string").alias("k"), F.col(value).cast("string").alias("v"))
+    lines = rows.orderBy("k", "v").coalesce(1).mapInPandas(run, "line string")
+    return max(0, _one_file(lines, path, "text", empty="{}") - 1)
+
+
+def markdown_report(hits: DataFrame, title: str, columns: list[str], most: int | None = None) -> str:
+    """A report of all hits, as text; with ``most`` more of them raise."""
     lines = [f"# {title}", "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    for row in hits.select(*columns).limit(most).collect():
+    rows = hits.select(*columns)
+    for n, row in enumerate(rows.toLocalIterator() if most is None else rows.limit(most + 1).collect()):
+        if most is not None and n >= most:
+            raise ValueError(f"more than {most} hits; write a table instead")
         lines.append("| " + " | ".join("" if v is None else str(v).replace("\n", " ").replace("|", "\\|") for v in row) + " |")
     return "\n".join(lines) + "\n"

@@ -87,3 +87,36 @@ def test_phrases(spark):
     assert hit("costó 5 (cinco)", any_of=["(cinco)"]) and hit("lo que sea")
     with pytest.raises(ValueError):
         search.phrase_pattern(" * | ")
+
+
+def test_verb_forms_of_whole_sentences(spark):
+    cases = {
+        "Con gusto lo revisamos.": "compromiso", "Se está revisando con el área.": "en_curso", "Ya lo revisamos y no hay nada.": "hecho",
+        "Que lo revise la comisión.": "encargo", "Pues hay que revisarlo.": "necesidad", "Lo vamos a empezar a revisar.": "compromiso",
+        "Entonces, revisamos este caso.": "compromiso", "entonces, revisamos el caso": "compromiso", "con gusto revisamos la obra": "compromiso",
+        "Revisamos el expediente mañana.": "compromiso", "que se revisara el contrato": "encargo", "Nosotros hemos estado revisando las cifras.": "en_curso",
+        "Y a la otra oficina, para que pueda revisarlo.": "encargo", "Se instruye a la agencia revisar los permisos.": "encargo",
+        "Tendría que revisarse quién lo promovió.": "necesidad", "Le pedimos a la fiscal que pueda revisarlo.": "encargo",
+        "Lo que pedimos es que la oficina del estado revise qué ocurrió.": "encargo", "Revisamos todos los días la obra.": "otra",
+        "Si revisan que hay suficiente información, dictar una orden.": "otra",
+    }
+    for said, form in cases.items():
+        assert one(spark, said, rules.verb_form) == form, said
+
+
+def test_subjects_that_are_none(spark):
+    for said in ("Comentario de periodista", "no_aplica", "Información insuficiente", "Saludo inicial"):
+        assert one(spark, said, rules.is_no_subject), said
+    assert not one(spark, "obra del puente", rules.is_no_subject) and not one(spark, None, rules.is_no_subject)
+    df = spark.createDataFrame([("a", "b"), ("a", None), ("Saludo", "b"), ("", None), (None, None)], "s string, c string")
+    assert [r[0] for r in df.select(rules.legible_subject(F.col("s"), F.col("c"))).collect()] == ["b", "a", None, None, None]
+    assert one(spark, "DIRECTORA, ANA MÁR", lambda c: rules.is_named(c, ["Mar"])) and not one(spark, None, lambda c: rules.is_named(c, ["Mar"]))
+
+
+def test_display_forms(spark):
+    assert one(spark, 1234, lambda c: text.plural(c, "hilo", "hilos"), "int") == "1,234 hilos" and one(spark, 1, lambda c: text.plural(c, "hilo", "hilos"), "int") == "1 hilo"
+    assert one(spark, None, text.whole_number, "int") == "—"
+    assert one(spark, "2025-03-05", lambda c: dates.long_date(c.cast("date"))) == "5 de marzo de 2025"
+    assert one(spark, "2025-03-05", lambda c: dates.month_label(c.cast("date"))) == "mar 25"
+    page = spark.createDataFrame([("Conferencia del 5 de marzo de 2025", "Lugar | 6 de marzo de 2025"), ("Nada", "Lugar | 6 de marzo de 2025"), ("Nada", "Nada")], "h string, p string")
+    assert [str(r[0]) for r in page.select(dates.date_in_page(F.col("h"), F.col("p"))).collect()] == ["2025-03-05", "2025-03-06", "None"]

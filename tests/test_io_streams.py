@@ -101,3 +101,54 @@ def test_long_texts_are_labelled_whole(spark):
     ask = lambda texts, turn: ["obra" if "puente" in t else None for t in texts]
     assert [r.etiqueta for r in classify.label_texts(items, "id", "t", ask, ["obra"]).collect()] == ["obra"]
     assert [r.etiqueta for r in classify.label_texts(items, "id", "t", ask, ["obra"], most=900).collect()] == [None]
+
+
+def test_line_files_in_many_parts(spark, tmp_path):
+    path = tmp_path / "long.jsonl"
+    path.write_text("".join(f'{{"a": {k}}}\n' for k in range(2000)) + '{"a"')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows, torn = readers.read_torn_jsonl(spark, str(path), "a int")
+        assert rows.rdd.getNumPartitions() > 2 and torn == 1 and [r.a for r in rows.orderBy("seq").collect()] == list(range(2000))
+        path.write_text('{"a"\n' + "".join(f'{{"a": {k}}}\n' for k in range(2000)))
+        with pytest.raises(ValueError, match="middle"):
+            readers.read_torn_jsonl(spark, str(path), "a int")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_reports_hold_every_hit(spark, tmp_path):
+    df = spark.range(700).selectExpr("id", "concat('v', id) as v")
+    assert writers.markdown_report(df, "T", ["id", "v"]).count("\n") == 704
+    with pytest.raises(ValueError):
+        writers.markdown_report(df, "T", ["id", "v"], most=500)
+    assert writers.write_csv_bom(df, str(tmp_path / "b.csv")) == 700 and (tmp_path / "b.csv").read_text(encoding="utf-8-sig").count("\n") == 701
+    assert readers.read_csv(spark, str(tmp_path / "b.csv")).count() == 700
+    assert writers.write_map(df, "id", "v", str(tmp_path / "m.json")) == 700 and json.loads((tmp_path / "m.json").read_text())["5"] == "v5"
+    assert writers.write_map(df.where("false"), "id", "v", str(tmp_path / "e.json")) == 0 and json.loads((tmp_path / "e.json").read_text()) == {}
+    one = writers.write_version(df, str(tmp_path / "v"))
+    writers.point_to(spark, str(tmp_path / "v"), one)
+    writers.point_to(spark, str(tmp_path / "v"), writers.write_version(df.limit(3), str(tmp_path / "v")))
+    assert writers.current_version(spark, str(tmp_path / "v")).count() == 3 and spark.read.parquet(one).count() == 700
+
+
+def test_rounds_remember_and_resume(spark, tmp_path):
+    items = spark.createDataFrame([(str(k), f"el puente número {k} de la presa") for k in range(40)], "id string, t string")
+    seen = []
+
+    def ask(vocabulary):
+        seen.append(list(vocabulary))
+        return lambda texts, turn: ["obra" for _ in texts]
+
+    folder = str(tmp_path / "ledger")
+    done = classify.label_batches(items, "id", "t", ask, ["obra"], folder, rounds=3, pause=0)
+    assert done.count() == 40 and seen == [[], ["obra"], ["obra"]]
+    assert classify.label_batches(items, "id", "t", ask, ["obra"], folder, rounds=3, pause=0).count() == 40
+    with pytest.raises(ValueError):
+        classify.require_gold(done, "razon", 1)
+    classify.require_gold(done, "etiqueta", 40)
+    rows, meter = classify.metered(done)
+    rows.write.format("noop").mode("overwrite").save()
+    assert meter.get["filas"] == 40 and meter.get["rechazos"] == 0
+    with pytest.raises(ValueError):
+        classify.examples_block(done, "etiqueta", "fragmento", most=10)

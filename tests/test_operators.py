@@ -151,6 +151,120 @@ def test_introductions():
     assert identity.mask_names("Soy Ana Ruiz, de Radio Sol. Oye, Ana", "Ana Ruiz", "Radio Sol") == "Soy [nombre], de [medio]. Oye, [nombre]"
 
 
+def test_introductions_in_all_places():
+    """Where an introduction may stand, what closes it, and what only looks like one."""
+    fill = "Le quiero preguntar por el servicio de agua. " * 12
+    cases = {
+        "Gracias, Presidenta. Dora Escamilla, de Avance.": ("Dora Escamilla", "Avance"),
+        fill + "\n\nMuchas gracias.\n\nSoy Gino Asensio, de Informe y más.": ("Gino Asensio", "Informe y más"),
+        "Gracias, Presidenta. Reina Aidé Ramos, reportera independiente. Bueno.": ("Reina Aidé Ramos", "reportera independiente"),
+        "Soy Jonás Lozano, Mínima FM, de Sierra.": ("Jonás Lozano", "Mínima FM, de Sierra"),
+        "Buenos días a todos los presentes. Elda Ferrera, de Noticias del Valle y colaboradora del programa Amanecer, así como de otros": ("Elda Ferrera", "Noticias del Valle"),
+        "Presidenta, buenos días. Soy Tea Mora Guillar, corresponsal del Canal de las Rutas, que se transmite en el norte. Presidenta…": ("Tea Mora Guillar", "Canal de las Rutas"),
+        "Soy Tea Mora Guillar, corresponsal de Grupo Medianía, al que pertenecen el Canal 44 y el 66.": ("Tea Mora Guillar", "Grupo Medianía"),
+        "Hola, Presidenta, buenos días. Soy César Uerta, de la revista Polémica…": ("César Uerta", "revista Polémica"),
+        "Presidenta, tras un año de trabajo —perdón, soy Jesenia Peral, de Negocio Hoy—, Presidenta, tras un año…": ("Jesenia Peral", "Negocio Hoy"),
+        "Este 16 de abril —soy Gloria Carpo, de Diario Imago— se celebra…": ("Gloria Carpo", "Diario Imago"),
+        "Presidenta, en la región de la que vengo " + "pasa algo grave " * 14 + "—soy Susana Carrete, de Radio Academia de Valles. Ahí…": ("Susana Carrete", "Radio Academia de Valles"),
+        "Buenos días, Vicente Serrote, de Sin Cortes TV. Presidenta…": ("Vicente Serrote", "Sin Cortes TV"),
+        "Muy buenos días, Presidenta. Todas, todos, todes, Inés Arroyuelo, de ABC Valle.": ("Inés Arroyuelo", "ABC Valle"),
+        "Buenos días, Presidenta Eliana Valdés, del canal de Uno Oficial.": ("Eliana Valdés", "canal de Uno Oficial"),
+        "Perdón, mi nombre es Elsa Lentz, y escribo para La Vida en rosa. Hola.": ("Elsa Lentz", "La Vida en rosa"),
+        "Bien, no me presenté, Presidenta. Soy su servidor, Carlos Pozas, reportero de LN Noticias.": ("Carlos Pozas", "LN Noticias"),
+        'Presidenta con "A", su servidor Carlos Pozas, reportero de Gran Átomo.': ("Carlos Pozas", "Gran Átomo"),
+        "Muchas gracias. Por cierto, soy Gregorio Varas, de Seis Radio. No me presenté.": ("Gregorio Varas", "Seis Radio"),
+        "Hola. Olga Ojal Lajas, soy corresponsal del Diario del Puerto.": ("Olga Ojal Lajas", "Diario del Puerto"),
+        "Buenos días, Presidenta ―Ramón Floro, del Centinela Avisa―.": ("Ramón Floro", "Centinela Avisa"),
+    }
+    for said, want in cases.items():
+        found = identity.find_introduction(said)
+        assert found and found[:2] == want, (said, found)
+        assert identity.redact(said)[0].count(identity.MARKER) == 1 and want[0] not in identity.redact(said)[0]
+    for said in (
+        "Se acusa a Andrés Manso Lope, de encabezar una red.", "palabra " * 60 + "Fulano Mengano, de El Faro.", "Hemos visto una oposición, independiente de lo que diga.",
+        "Del gobierno del estado, independiente de lo que pase.", "Sobre Chilpa, Guerrera, quiero preguntar.", "Históricamente Baja Costa, Morada ha ganado ahí.",
+        "Canal del Congreso, Elisa Robles. Buenos días.", "Hola. Jonás, de Sitio.", "…a Estados Lejanos, de Puente Analítica, precisamente.", "Preguntar por Israel Vallar, Presidenta.",
+        "Se trata de Marina del Pozo, de Baja Costa.", "―Guardia Norte, Marina, Ejército―", "Cuatro Medios… Vera Norte, Carlos Guzmar dijo",
+        "pasa algo grave " * 25 + "Fulano Mengano, de El Faro. Y…", "Buenos días, Presidenta. Nora Flores de la revista Contrapeso. Le quería preguntar…",
+    ):
+        assert identity.find_introduction(said) is None, said
+    known = frozenset({"Nora Flores"})
+    assert identity.find_introduction("Buenos días, Presidenta. Nora Flores de la revista Contrapeso. Le quería…", known)[:2] == ("Nora Flores", "revista Contrapeso")
+    assert identity.find_introduction("Sobre la iniciativa. Ley General de Alimento Sano.", known) is None
+
+
+def test_introductions_of_known_names_stay_unredacted(spark):
+    rows = [("a", "Hola. Nora Flores de la revista Contrapeso. ¿Y?"), ("b", "Hola. Nora Flores, de Contrapeso. ¿Y?"), ("c", None)]
+    known = spark.createDataFrame([("Nora Flores",)], "n string")
+    got = {r.k: (r.periodista, r.redactado) for r in identity.introductions(spark.createDataFrame(rows, "k string, t string"), ["k"], "t", known).collect()}
+    assert got == {"a": ("Nora Flores", rows[0][1]), "b": ("Nora Flores", f"Hola. {identity.MARKER}. ¿Y?"), "c": (None, "")}
+
+
+def test_manual_rows_open_threads(spark):
+    rows = [("prensa", "Mi nombre es Cristián Marte y soy creador.", None), ("funcionario", "Claro.", "F"), ("prensa", "¿Y qué escucha usted?", None),
+            ("prensa", "a", None), ("prensa", "b", None), ("funcionario", "r", "F"), ("prensa", "Ana Ruiz, de Sol. " + "x" * 300, None), ("anonimo", "ruido", None)]
+    t = turns(spark, rows)
+    said = spark.createDataFrame([("c", 3, "Nadie", "N"), ("c", 6, "Ana Ruiz", "Sol")], "conferencia_id string, orden int, periodista string, medio string")
+    manual = spark.createDataFrame([("c", 0, "Cristián Marte", None), ("c", 1, "Otro", None), ("c", 9, "Otro", None)], said.schema)
+    got = {r.orden: (r.hilo, r.quien, r.medio, r.metodo, r.atribucion) for r in sessions.build_threads(t, said, manual).collect()}
+    assert got == {
+        0: (0, "Cristián Marte", None, "manual", "declarada"), 1: (0, "F", None, "manual", "declarada"), 2: (0, None, None, "manual", "incierta"),
+        3: (0, None, None, "manual", "incierta"), 4: (0, None, None, "manual", "incierta"), 5: (0, "F", None, "manual", "declarada"),
+        6: (1, "Ana Ruiz", "Sol", "regex", "declarada"), 7: (1, None, "Sol", "regex", "incierta"),
+    }
+    assert min(r.orden for r in sessions.build_threads(t, said).collect()) == 6
+    assert {r.orden for r in sessions.unused_manual(t, manual).collect()} == {1, 9}
+    nested = sessions.nested_threads(sessions.build_threads(t, said, manual)).orderBy("hilo").collect()
+    assert [(r.hilo, len(r.turnos), r.metodo_identificacion) for r in nested] == [(0, 6, "manual"), (1, 2, "regex")]
+
+
+def test_masked_rows(spark):
+    df = spark.createDataFrame([("Soy Ana Ruiz, de Sol.", "Ana Ruiz", "Sol"), (None, "A", "B"), ("nada", None, None)], "t string, n string, m string")
+    assert [r.texto_cubierto for r in identity.masked(df, "t", "n", "m").collect()] == ["Soy [nombre], de [medio].", None, "nada"]
+    long = spark.createDataFrame([("dijo Zapatero", " ".join("abcdefghijk") + " Zapatero", "M")], "t string, n string, m string")
+    assert long.select(identity.leak(F.col("t"), F.col("n"), F.col("m"))).collect()[0][0] == "zapatero"
+
+
+def test_ranking_over_parts_equals_one_sort(spark):
+    rng = random.Random(1)
+    rows = [(f"n{k}", rng.randint(1, 30)) for k in range(500)]
+    df = spark.createDataFrame(rows, "name string, n int").repartition(7)
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    got = {r.name: r for r in aggregates.concentration(df, "n", "name").collect()}
+    total, so_far = sum(n for _, n in rows), 0
+    for place, (name, n) in enumerate(want, 1):
+        so_far += n
+        assert (got[name].rango, got[name].cuota_acumulada, got[name].en_mitad) == (place, round(so_far / total, 6), (so_far - n) * 2 < total)
+    assert {r.name: r.rango for r in aggregates.ranking(df, "n", "name").collect()} == {name: k for k, (name, _) in enumerate(want, 1)}
+    codes = {r.name: r.c for r in aggregates.dictionary(df, "name", "c").collect()}
+    assert codes == {name: k for k, name in enumerate(sorted(n for n, _ in rows))}
+    assert aggregates.ranking(df.where("false"), "n", "name").count() == aggregates.concentration(df.where("false"), "n", "name").count() == 0
+    lots = [r.lote for r in aggregates.lots(df, ["name"], 3, "s").collect()]
+    assert sorted(lots.count(k) for k in (1, 2, 3)) == [166, 167, 167]
+
+
+def test_stratified_sample_of_a_large_stratum(spark):
+    df = spark.range(2000).selectExpr("id", "case when id < 3 then 'b' else 'a' end as s")
+    few = aggregates.stratified_sample(df, ["id"], "s", 20, "1").collect()
+    assert sorted(r.s for r in few) == ["a"] * 10 + ["b"] * 3
+    assert {r.id for r in few} == {r.id for r in aggregates.stratified_sample(df, ["id"], "s", 20, "1", salts=1).collect()}
+
+
+def test_attachments_keep_all_exchanges(spark):
+    e = spark.createDataFrame([("c", 1), ("c", 2)], "conferencia_id string, orden int")
+    a = spark.createDataFrame([("c", 1, 1, "x"), ("c", 1, 2, "y"), ("c", 9, 1, "z")], "conferencia_id string, orden int, seq int, tema string")
+    got = sessions.with_attachments(e, (a, "seq", ["tema"]), (a.where("false"), "seq", ["tema"])).collect()
+    assert sorted((r.orden, r[2], r[3]) for r in got) == [(1, "y", None), (2, None, None)]
+
+
+def test_bridge_and_outlets(spark):
+    b = spark.createDataFrame([(1, ["a"], True), (2, ["a", "b"], False), (3, ["c"], True), (4, ["d", "b"], True)], "id int, k array<string>, p boolean")
+    assert {r.id for r in entities.pending_bridge(b, "id", "k", F.col("p")).collect()} == {3}
+    t = spark.createDataFrame([("c", 1, ["El Sol", "sol", "nadie"])], "c string, h int, m array<string>")
+    mapped = spark.createDataFrame([("El Sol", "El Sol"), ("sol", "El Sol")], "name string, canonico string")
+    assert [tuple(r) for r in entities.with_outlets(t, ["c", "h"], F.col("m"), mapped).collect()] == [("c", 1, ["El Sol"])]
+
+
 def test_leak_check(spark):
     df = spark.createDataFrame([("la nota de Ruíz", "Ana Ruiz", "Radio Sol"), ("nada aquí", "Ana Ruiz", "Radio Sol")], "t string, n string, m string")
     assert [r[0] for r in df.select(identity.leak(F.col("t"), F.col("n"), F.col("m"))).collect()] == ["ruiz", None]

@@ -62,7 +62,7 @@ def _one_file(df: DataFrame, path: str, kind: str, empty: str = "", **options: s
     parts = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
     if fs.exists(target):
         fs.delete(target, False)
-    if parts:
+    if parts and seen.get["n"]:
         fs.rename(parts[0], target)
     else:
         out = fs.create(target, True)
@@ -75,7 +75,8 @@ def _one_file(df: DataFrame, path: str, kind: str, empty: str = "", **options: s
 def write_csv_bom(df: DataFrame, path: str) -> int:
     """One CSV file that spreadsheet programs read as UTF-8; rows stream through one task, none reaches the driver."""
     first, *rest = df.columns
-    return _one_file(df.toDF("\ufeff" + first, *rest), path, "csv", header="true", emptyValue="", quoteAll="false")
+    header = "\ufeff" + ",".join(df.columns) + "\n"
+    return _one_file(df.toDF("\ufeff" + first, *rest), path, "csv", header, header="true", emptyValue="", quoteAll="false")
 
 
 def write_map(df: DataFrame, key: str, value: str, path: str) -> int:

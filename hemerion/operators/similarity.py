@@ -58,26 +58,24 @@ def consolidate(counts: DataFrame, subject: str, n: str, threshold: float = 0.6,
     size_b = nodes.select(F.col("asunto").alias("b"), F.col("n").alias("n_b"))
     before = both.join(size_a, "a").join(size_b, "b").where("n_a > n_b or (n_a = n_b and a < b)").select("a", "n_a", "b")
     before = materialize(before, "before")
-    decided = materialize(
-        nodes.join(before.select(F.col("b").alias("asunto")), "asunto", "left_anti").select("asunto", F.col("asunto").alias("canonico")), "decided"
-    )
+    later = before.select(F.col("b").alias("asunto")).distinct()
+    decided = nodes.join(later, "asunto", "left_anti").select("asunto", F.col("asunto").alias("canonico"))
+    # Edges to undecided subjects, with whether the earlier one is a representative; null while that is open.
+    first = before.join(later.select(F.col("asunto").alias("a"), F.lit(True).alias("__later")), "a", "left")
+    edges = materialize(first.select("a", "n_a", "b", F.when(F.col("__later").isNull(), F.lit(True)).alias("rep")), "edges")
+    rank = F.struct(-F.col("n_a"), F.col("a"))
     for _ in range(rounds):
-        known = decided.select(F.col("asunto").alias("a"), "canonico")
-        state = (
-            before.join(decided.select(F.col("asunto").alias("b")), "b", "left_anti").join(known, "a", "left").groupBy("b").agg(
-                F.bool_and(F.col("canonico").isNotNull()).alias("ready"),
-                F.min(F.when(F.col("canonico") == F.col("a"), F.struct(-F.col("n_a"), F.col("a")))).alias("first"),
-            )
-        )
-        fresh = materialize(
-            state.where("ready").select(F.col("b").alias("asunto"), F.coalesce("first.a", "b").alias("canonico")), "fresh"
-        )
-        if fresh.isEmpty():
-            break
+        if edges.isEmpty():
+            return decided
+        state = edges.groupBy("b").agg(F.min(F.when(F.col("rep"), rank)).alias("best"), F.min(F.when(F.col("rep").isNull(), rank)).alias("open"))
+        # Nothing that is still open comes before the earliest representative, so what is open can't change the choice.
+        ready = state.where("open is null or best < open")
+        fresh = materialize(ready.select(F.col("b").alias("asunto"), F.coalesce("best.a", "b").alias("canonico")), "fresh")
         decided = decided.unionByName(fresh)
-    else:
-        raise ValueError("subjects are chained deeper than the rounds allow")
-    return decided
+        told = fresh.select(F.col("asunto").alias("a"), (F.col("asunto") == F.col("canonico")).alias("__rep"))
+        left = edges.join(fresh.select(F.col("asunto").alias("b")), "b", "left_anti").join(told, "a", "left")
+        edges = materialize(left.select("a", "n_a", "b", F.coalesce("rep", "__rep").alias("rep")), "edges")
+    raise ValueError("subjects are chained deeper than the rounds allow")
 
 
 def vocabulary_distances(words: DataFrame, owner: str, word: str) -> DataFrame:

@@ -55,8 +55,13 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
 
     This cuts the lineage as ``checkpoint()`` does and survives the loss of executors,
     but keeps column pruning, compression and size statistics for the plan that follows.
+    The files are deleted when the application ends.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hemerion/{label}-{uuid.uuid4().hex}"
+    own = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hemerion/{spark.sparkContext.applicationId}"
+    path = f"{own}/{label}-{uuid.uuid4().hex}"
+    # What the application wrote goes when it ends; until then a plan may still read it.
+    folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

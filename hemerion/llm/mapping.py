@@ -127,16 +127,22 @@ class Catalogue:
                 self._automaton.make_automaton()
         return self._automaton
 
+    def mentions(self, text: str) -> list[tuple[int, int, str, int]]:
+        """Every mention in the text as (start, end, pattern, entry)."""
+        found = []
+        if text.strip() and len(self.automaton):
+            for end, (pattern, entries) in self.automaton.iter(text):
+                found += [(end - len(pattern) + 1, end, pattern, self.ids[at]) for at in entries]
+        return found
+
     def evidence(self, value: str, least: float) -> Evidence:
         """Every mention in the value and, for each kind of similarity, the two best entries that could decide it."""
         text, typed, joined, dotted = self.read(value)
         if not text.strip():
             return Evidence([], [], [])
-        found = []
-        if len(self.automaton):
-            for end, (pattern, entries) in self.automaton.iter(text):
-                found += [(end - len(pattern) + 1, end, pattern, self.ids[at]) for at in entries]
-        return Evidence(found, self.similar(typed, dotted)[:2], self.glued(joined)[:2])
+        similar = self.similar(typed, dotted)[:2]
+        # Names run together only decide where no shard has a similar one.
+        return Evidence(self.mentions(text), similar, [] if similar and similar[0][0] >= least else self.glued(joined)[:2])
 
     def read(self, value: str) -> tuple[str, list[str], str, set[str]]:
         """(text for mentions, words for similarity, words run together, words with a dot)."""
@@ -190,8 +196,15 @@ class Catalogue:
         return _best_first(out)
 
     def look_up(self, value: str, least: float) -> list[tuple[int, float]]:
-        """Entries that the value names, with scores, where this shard is the whole list."""
-        return settle(value, [self.evidence(value, least)], self.legal, least)
+        """Entries that the value names, with scores, where this shard is the whole list; each kind of evidence only if the one before doesn't decide."""
+        text, typed, joined, dotted = self.read(value)
+        if not text.strip():
+            return []
+        certain = by_mentions(value, self.mentions(text), self.legal)
+        if certain:
+            return certain
+        similar = self.similar(typed, dotted)[:2]
+        return by_similarity(similar, [] if similar and similar[0][0] >= least else self.glued(joined)[:2], least)
 
 
 def _best_first(scored: list[tuple[float, int]]) -> list[tuple[float, int]]:
@@ -214,8 +227,10 @@ class Deletions:
     def near(self, word: str, most: int) -> list[int]:
         """Numbers of the words that share a form with ``word``."""
         asked = np.fromiter((_digest(d) for d in deletions(word, most)), dtype=np.uint64)
-        first, last = np.searchsorted(self.keys, asked, "left"), np.searchsorted(self.keys, asked, "right")
-        return sorted({int(at) for a, b in zip(first[last > first], last[last > first]) for at in self.owners[a:b]})
+        first = np.searchsorted(self.keys, asked)
+        hit = self.keys[np.minimum(first, len(self.keys) - 1)] == asked if len(self.keys) else np.zeros(0, dtype=bool)
+        last = np.searchsorted(self.keys, asked[hit], "right")
+        return sorted({int(at) for a, b in zip(first[: len(hit)][hit], last) for at in self.owners[a:b]})
 
 
 def _digest(text: str) -> int:
@@ -241,28 +256,34 @@ def longest_first(found: list[tuple[int, int, str, list[int]]]) -> list[tuple[in
     return sorted(taken)
 
 
-def settle(value: str, shards: list[Evidence], legal: bool, least: float) -> list[tuple[int, float]]:
-    """Entries that the value names, by what all shards know; exact mentions score 2 and their length.
+def settle(value: str, e: Evidence, legal: bool, least: float) -> list[tuple[int, float]]:
+    """Entries that the value names, by what all shards know; exact mentions score 2 and their length."""
+    return by_mentions(value, e.mentions, legal) or by_similarity(e.similar, e.glued, least)
 
-    Mentions of all shards are weighed together, so a longer one suppresses a shorter one of
-    another shard; a tie of the best similarity, within or across shards, names none.
-    """
+
+def by_mentions(value: str, mentions: list[tuple[int, int, str, int]], legal: bool) -> list[tuple[int, float]]:
+    """Entries mentioned, if that is certain; a longer mention of one shard suppresses a shorter one of another."""
     at: dict[tuple[int, int, str], set[int]] = defaultdict(set)
-    for start, end, pattern, entry in (m for e in shards for m in e.mentions):
+    for start, end, pattern, entry in mentions:
         at[(start, end, pattern)].add(entry)
     found = longest_first([(*where, sorted(entries)) for where, entries in at.items()])
-    if found:
-        text = normal(_REMARK.sub(" ", value) if legal else value)
-        rest = without_form(text) if legal else text
-        for start, end, _, _ in reversed(found):
-            rest = rest[: start + 1] + rest[end:]
-        whole = [w for w in rest.split() if w not in DESCRIPTORS]
-        certain = [(entries[0], 2.0 + len(pattern) / 1000) for _, _, pattern, entries in found if len(entries) == 1]
-        if certain and (not whole or all(len(m[2].split()) > 1 for m in found) or _only_place(value, rest)):
-            return certain
-    scored = _best_first([s for e in shards for s in e.similar])
+    if not found:
+        return []
+    text = normal(_REMARK.sub(" ", value) if legal else value)
+    rest = without_form(text) if legal else text
+    for start, end, _, _ in reversed(found):
+        rest = rest[: start + 1] + rest[end:]
+    whole = [w for w in rest.split() if w not in DESCRIPTORS]
+    certain = [(entries[0], 2.0 + len(pattern) / 1000) for _, _, pattern, entries in found if len(entries) == 1]
+    sure = not whole or all(len(m[2].split()) > 1 for m in found) or _only_place(value, rest)
+    return certain if sure else []
+
+
+def by_similarity(similar: list[tuple[float, int]], glued: list[tuple[float, int]], least: float) -> list[tuple[int, float]]:
+    """The most similar entry; a tie, within or across shards, names none."""
+    scored = _best_first(similar)
     if not scored or scored[0][0] < least:
-        scored = _best_first([s for e in shards for s in e.glued] + scored)
+        scored = _best_first(glued + scored)
     if scored and scored[0][0] >= least and (len(scored) == 1 or scored[0][0] - scored[1][0] > 1e-9):
         return [(scored[0][1], scored[0][0])]
     return []
@@ -329,7 +350,7 @@ def _settler(legal: bool, least: float):
                     [(r["start"], r["end"], r["pattern"], r["ref"]) for r in rows if r["kind"] == "m"],
                     [(r["score"], r["ref"]) for r in rows if r["kind"] == "s"], [(r["score"], r["ref"]) for r in rows if r["kind"] == "g"],
                 )
-                out += [(v, ref, score) for ref, score in settle(v, [e], legal, least) or [(UNMATCHED, 0.0)]]
+                out += [(v, ref, score) for ref, score in settle(v, e, legal, least) or [(UNMATCHED, 0.0)]]
             yield pd.DataFrame(out, columns=["value", "ref_id", "score"])
 
     return run

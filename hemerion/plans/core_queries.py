@@ -364,15 +364,18 @@ def bag_of_words(spark, d):
     return rows.select("asunto", F.array_join(F.array_sort(similarity.subject_bag(F.col("asunto"))), " ").alias("bolsa"))
 
 
-_ADDRESS = "( *,? *(senora )?(presidenta|presidente))?"
-_NOISE = (
-    f"^((muchas |muchisimas )?gracias{_ADDRESS}|buen(os dias|as tardes|as noches){_ADDRESS}|bien|si|no|de acuerdo|asi es|con permiso|adelante|[(] *inaudible *[)])"
-    "[\\s.,;!¡]*$"
+#: Every courtesy as a phrase, with and without the person addressed; and sentences of turns that are none.
+_COURTESIES = (
+    "cb(b) AS (VALUES ('gracias'), ('muchas gracias'), ('muchisimas gracias'), ('buenos dias'), ('buenas tardes'), ('buenas noches')), "
+    "ca(a) AS (VALUES (''), (' presidenta'), (' presidente'), (' senora presidenta'), (' senora presidente')), "
+    "cs(x) AS (SELECT b || a FROM cb, ca UNION ALL SELECT * FROM (VALUES ('bien'), ('si'), ('no'), ('de acuerdo'), ('asi es'), ('con permiso'), ('adelante'), ('(inaudible)')) v(x)), "
+    f"so AS (SELECT conferencia_id, orden, unnest(regexp_split_to_array(regexp_replace(regexp_replace(trim({_FOLD.format('texto')}), '\\s+', ' ', 'g'), '([.!?]) ', '\\1' || chr(10), 'g'), chr(10))) AS o FROM t), "
+    "sn AS (SELECT conferencia_id, orden, trim(o) AS o, replace(replace(regexp_replace(regexp_replace(trim(o), '[\\s.,;!¡]+$', ''), '[\\s,]+', ' ', 'g'), '( inaudible )', '(inaudible)'), '(inaudible )', '(inaudible)') AS x FROM so), "
+    "ru AS (SELECT conferencia_id, orden, count(*) FILTER (WHERE o <> '' AND cs.x IS NULL) = 0 AS ruido FROM sn LEFT JOIN cs USING (x) GROUP BY ALL)"
 )
 
 
-@query(f"""WITH {_T}, s AS (SELECT conferencia_id, orden, unnest(regexp_split_to_array(regexp_replace(regexp_replace(trim({_FOLD.format('texto')}), '\\s+', ' ', 'g'), '([.!?]) ', '\\1' || chr(10), 'g'), chr(10))) AS o FROM t)
-SELECT conferencia_id, orden, count(*) FILTER (WHERE trim(o) <> '' AND NOT regexp_matches(trim(o), '{_NOISE}')) = 0 AS ruido FROM s GROUP BY ALL""")
+@query(f"WITH {_T}, {_COURTESIES} SELECT conferencia_id, orden, ruido FROM ru")
 def noise_predicate(spark, d):
     """Turns that hold nothing but courtesies."""
     return _turns(spark, d).select("conferencia_id", "orden", rules.is_noise(F.col("texto")).alias("ruido"))
@@ -386,48 +389,67 @@ def line_explode(spark, d):
     return lines.groupBy("doc_id").agg(F.count("*").alias("lineas"), F.max(F.length("linea")).alias("mayor"))
 
 
-#: The forms of "to review", written out for SQL.
-_SQL_FORMS = [
-    ("hecho", "\\bya (\\w+ ){0,2}revis|\\bhemos revisado"),
-    ("en_curso", "\\b(estamos|esta|estan|estoy|seguimos|sigue|siguen|estado|estuvimos|(va|van|vamos) a estar) (\\w+ )?revisand"),
-    ("encargo", "\\bque (\\w+ ){0,4}(revise|revisara|puedan? revis)|\\bpara que (\\w+ ){0,2}revis|\\b(instru|pedi|pido|pedimos|solicit)\\w* (\\w+ ){0,4}revis"),
-    ("necesidad", "\\b(hay que|habria que|tienen? que|tenemos que|tendria(mos|n)? que|deben?|debemos|deberia|necesitamos|importante) (\\w+ )?revis"),
-    ("compromiso", "\\b((vamos|voy|va|van) a|podemos|(se )?puede|puedo) (\\w+ ){0,2}revis|\\bl[oa]s? (\\w+ )?(revisamos|reviso|revisaremos)\\b"
-     "|(^|\\bentonces,? |\\bgusto,? )revisamos (el|las?|los|est[ea]|es[ea]|eso|esto|sus?)\\b"),
-]
-_FORMS = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(p, '{r}') THEN '{k}' END" for k, r in _SQL_FORMS) + ", 'otra')"
+def _forms_of(source: str, keys: str) -> str:
+    """SQL of (keys, forma) of the rows of ``source`` with text ``p``: openers, gaps and verbs as a table, joined to the places of words."""
+    openers = [("ya", 2, "revis%", "%", 1), ("hemos", 0, "revisado%", "%", 1)]
+    openers += [(o, 1, "revisand%", "%", 2) for o in "estamos esta estan estoy seguimos sigue siguen estado estuvimos va_a_estar van_a_estar vamos_a_estar".split()]
+    openers += [("que", 4, v, n, 3) for v, n in (("revise%", "%"), ("revisara%", "%"), ("pueda", "revis%"), ("puedan", "revis%"))]
+    openers += [("para_que", 2, "revis%", "%", 3), *((o, 4, "revis%", "%", 3) for o in ("instru%", "pedi%", "pido%", "solicit%"))]
+    openers += [(o, 1, "revis%", "%", 4) for o in (
+        "hay_que habria_que tiene_que tienen_que tenemos_que tendria_que tendriamos_que tendrian_que debe deben debemos deberia necesitamos importante").split()]
+    openers += [(o, 2, "revis%", "%", 5) for o in "vamos_a voy_a va_a van_a podemos se_puede puedo".split()]
+    openers += [(o, 1, v, "%", 5) for o in "lo la los las".split() for v in ("revisamos", "reviso", "revisaremos")]
+    rows = ", ".join(f"('{o.replace('_', ' ')}', {gap}, '{verb}', '{more}', {r})" for o, gap, verb, more, r in openers)
+    return (
+        f"op(abre, hueco, verbo, sigue, r) AS (VALUES {rows}), tk AS (SELECT {keys}, string_split(p, ' ') AS w FROM {source} WHERE contains(p, 'revis')), "
+        "wd AS (SELECT *, list_transform(w, lambda x: regexp_replace(x, '^[^a-z0-9_]+|[^a-z0-9_]+$', '', 'g')) AS c FROM tk), "
+        f"vb AS (SELECT {keys}, w, c, unnest(range(1, len(w) + 1)) AS i FROM wd), vr AS (SELECT * FROM vb WHERE c[i] LIKE 'revis%' OR c[i] LIKE 'pueda%'), "
+        "vk AS (SELECT vr.*, unnest(range(0, 5)) AS k FROM vr), "
+        "ht AS (SELECT vk.*, ' ' || array_to_string(c[greatest(1, i - 3 - k):i - 1 - k], ' ') AS antes FROM vk WHERE i - 1 - k >= 1 AND regexp_matches(w[i - 1 - k], '[a-z0-9_]$') "
+        "AND left(w[i], 1) = left(c[i], 1) AND len(list_filter(w[i - k:i - 1], lambda x: NOT regexp_matches(x, '^[a-z0-9_]+$'))) = 0), "
+        f"fr AS (SELECT {keys}, r FROM ht JOIN op ON k <= hueco AND c[i] LIKE verbo AND coalesce(c[i + 1], '') LIKE sigue AND CASE WHEN contains(abre, '%') THEN c[i - 1 - k] LIKE abre "
+        f"ELSE ends_with(antes, ' ' || abre) END UNION ALL SELECT {keys}, 5 FROM vr WHERE c[i] = 'revisamos' AND w[i] = c[i] AND c[i + 1] IN ('el', 'la', 'los', 'las', 'este', 'esta', 'ese', 'esa', "
+        "'eso', 'esto', 'su', 'sus') AND (i = 1 OR c[i - 1] IN ('entonces', 'gusto'))), "
+        f"fm AS (SELECT {keys}, ['hecho', 'en_curso', 'encargo', 'necesidad', 'compromiso'][min(r)] AS forma FROM fr GROUP BY ALL)"
+    )
+
+
 #: Sentences of what officials say, folded, by conference, turn and place.
 _SAID = (
     "l AS (SELECT conferencia_id, orden, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(texto, ''), '([.?!…])\\s+', '\\1' || chr(10), 'g'), '\\n+'), "
     "lambda x: trim(x)), lambda x: x <> '') AS o FROM t WHERE tipo = 'funcionario'), "
     "s AS (SELECT conferencia_id, orden, unnest(o) AS oracion, unnest(range(len(o))) AS posicion FROM l), "
-    "f AS (SELECT *, trim(regexp_replace(strip_accents(lower(oracion)), '\\s+', ' ', 'g')) AS p FROM s)"
+    "f AS (SELECT conferencia_id, orden, posicion, trim(regexp_replace(strip_accents(lower(oracion)), '\\s+', ' ', 'g')) AS p FROM s)"
 )
-_GERUNDS = (
-    "g AS (SELECT * FROM (VALUES ('viendo', 'ver'), ('analizando', 'analizar'), ('investigando', 'investigar'), ('evaluando', 'evaluar'), ('estudiando', 'estudiar'), "
-    "('valorando', 'valorar'), ('consultando', 'consultar'), ('checando', 'checar'), ('verificando', 'verificar'), ('averiguando', 'averiguar'), ('revisando', 'revisar')) v(ger, verbo))"
-)
-_PROCESS = "'(?:^|[^a-z0-9_])(se )?(?:(?:lo|la|los|las|le) )?(estamos|seguimos|estoy|estan|esta|siguen|sigue) (?:[a-z0-9_]+ ){0,2}' || ger || '(?:[^a-z0-9_]|$)'"
+_PLACE = "conferencia_id, orden, posicion"
+#: Findings: gerunds with an auxiliary one to three words before them, and the main verb where it isn't one of them.
 _FOUND = (
-    f"{_SAID}, {_GERUNDS}, c AS (SELECT f.*, verbo, regexp_extract(p, {_PROCESS}, 1) AS se, regexp_extract(p, {_PROCESS}, 2) AS aux FROM f, g "
-    f"WHERE contains(p, ger) AND regexp_matches(p, {_PROCESS}) AND NOT (verbo = 'estudiar' AND regexp_matches(p, '\\bestudiantes?\\b'))), "
-    "m AS (SELECT f.*, 'revisar' AS verbo, '' AS se, '' AS aux FROM f WHERE regexp_matches(p, '\\b(revisa|revise)|\\breviso\\b') "
-    "AND NOT EXISTS (SELECT 1 FROM c WHERE c.verbo = 'revisar' AND c.conferencia_id = f.conferencia_id AND c.orden = f.orden AND c.posicion = f.posicion)), "
-    f"h AS (SELECT conferencia_id, orden, posicion, verbo, CASE WHEN verbo = 'revisar' THEN {_FORMS} ELSE 'en_curso' END AS forma, CASE WHEN aux = '' THEN '' "
-    "WHEN aux IN ('estamos', 'seguimos', 'estoy') THEN 'nosotros' WHEN se <> '' THEN 'impersonal' ELSE 'tercero' END AS sujeto FROM (SELECT * FROM c UNION ALL SELECT * FROM m))"
+    f"{_SAID}, {_forms_of('f', _PLACE)}, g(ger, verbo) AS (VALUES ('viendo', 'ver'), ('analizando', 'analizar'), ('investigando', 'investigar'), ('evaluando', 'evaluar'), "
+    "('estudiando', 'estudiar'), ('valorando', 'valorar'), ('consultando', 'consultar'), ('checando', 'checar'), ('verificando', 'verificar'), ('averiguando', 'averiguar'), ('revisando', 'revisar')), "
+    f"gt AS (SELECT {_PLACE}, string_split(p, ' ') AS w, p FROM f WHERE contains(p, 'ndo')), gw AS (SELECT *, list_transform(w, lambda x: regexp_replace(x, '^[^a-z0-9_]+|[^a-z0-9_]+$', '', 'g')) AS c FROM gt), "
+    "gi AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM gw), gk AS (SELECT gi.*, verbo, unnest(range(0, 3)) AS k FROM gi JOIN g ON c[i] = ger), "
+    f"gh AS (SELECT {_PLACE}, verbo, i, k, c[i - 1 - k] AS aux, coalesce(c[i - 2 - k], '') AS antes FROM gk WHERE i - 1 - k >= 1 AND regexp_matches(w[i - 1 - k], '[a-z0-9_]$') "
+    "AND c[i - 1 - k] IN ('estamos', 'seguimos', 'estoy', 'esta', 'estan', 'sigue', 'siguen') AND len(list_filter(w[i - k:i - 1], lambda x: NOT regexp_matches(x, '^[a-z0-9_]+$'))) = 0 "
+    "AND NOT (verbo = 'estudiar' AND (list_contains(c, 'estudiante') OR list_contains(c, 'estudiantes')))), "
+    f"cz AS (SELECT * FROM gh QUALIFY row_number() OVER (PARTITION BY {_PLACE}, verbo ORDER BY i, k DESC) = 1), "
+    f"mz AS (SELECT {_PLACE}, 'revisar' AS verbo FROM f WHERE len(list_filter(string_split(p, ' '), lambda x: regexp_matches(x, '(^|[^a-z0-9_])(revisa|revise)|(^|[^a-z0-9_])reviso([^a-z0-9_]|$)'))) > 0 "
+    f"EXCEPT SELECT {_PLACE}, verbo FROM cz), "
+    f"az AS (SELECT {_PLACE}, verbo, aux, antes FROM cz UNION ALL SELECT {_PLACE}, verbo, '', '' FROM mz), "
+    f"hz AS (SELECT {', '.join('az.' + k for k in _PLACE.split(', '))}, verbo, CASE WHEN verbo = 'revisar' THEN coalesce(forma, 'otra') ELSE 'en_curso' END AS forma, CASE WHEN aux = '' THEN '' "
+    f"WHEN aux IN ('estamos', 'seguimos', 'estoy') THEN 'nosotros' WHEN antes = 'se' THEN 'impersonal' ELSE 'tercero' END AS sujeto FROM az LEFT JOIN fm USING ({_PLACE}))"
 )
 
 
 @query(f"""WITH {_T}, s AS (SELECT conferencia_id, orden, unnest(regexp_split_to_array({_FOLD.format('texto')}, '\\n+')) AS q FROM t WHERE tipo = 'funcionario'),
-f AS (SELECT *, trim(regexp_replace(q, '\\s+', ' ', 'g')) AS p FROM s WHERE regexp_matches(q, 'revis')), g AS (SELECT *, {_FORMS} AS forma FROM f)
-SELECT conferencia_id, forma, count(*) AS n FROM g GROUP BY 1, 2""")
+f AS (SELECT conferencia_id, row_number() OVER () AS linea, trim(regexp_replace(q, '\\s+', ' ', 'g')) AS p FROM s WHERE contains(q, 'revis')), {_forms_of('f', 'conferencia_id, linea')}
+SELECT conferencia_id, coalesce(forma, 'otra') AS forma, count(*) AS n FROM f LEFT JOIN fm USING (conferencia_id, linea) GROUP BY 1, 2""")
 def rule_forms(spark, d):
     """Forms of "to review" in what officials say, by line."""
     lines = _turns(spark, d).where("tipo = 'funcionario'").select("conferencia_id", F.explode(F.split(text.plain(F.col("texto")), "\\n+")).alias("q"))
     return lines.where(F.col("q").rlike("revis")).groupBy("conferencia_id", rules.verb_form(F.col("q")).alias("forma")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_T}, {_FOUND} SELECT verbo, forma, sujeto, count(*) AS n, count(DISTINCT conferencia_id) AS conferencias FROM h GROUP BY ALL""")
+@query(f"""WITH {_T}, {_FOUND} SELECT verbo, forma, sujeto, count(*) AS n, count(DISTINCT conferencia_id) AS conferencias FROM hz GROUP BY ALL""")
 def verb_findings(spark, d):
     """Sentences in which officials look into a matter, by verb, form and subject."""
     found = mining.findings(_turns(spark, d).where("tipo = 'funcionario'"), ["conferencia_id", "orden"], "texto")
@@ -437,7 +459,7 @@ def verb_findings(spark, d):
 _FORM_RANK = "CASE forma WHEN 'compromiso' THEN 1 WHEN 'en_curso' THEN 2 WHEN 'encargo' THEN 3 WHEN 'necesidad' THEN 4 WHEN 'hecho' THEN 5 ELSE 6 END"
 
 
-@query(f"""WITH {_T}, {_FOUND} SELECT conferencia_id, orden, verbo, forma, sujeto FROM h
+@query(f"""WITH {_T}, {_FOUND} SELECT conferencia_id, orden, verbo, forma, sujeto FROM hz
 QUALIFY row_number() OVER (PARTITION BY conferencia_id, orden ORDER BY {_FORM_RANK}, posicion, verbo) = 1""")
 def best_form(spark, d):
     """The most committed finding of each turn."""
@@ -506,7 +528,13 @@ def _subject_counts(spark, d):
     return _labels(spark, d).where("asunto <> ''").groupBy("asunto").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_C}, f AS (SELECT asunto, count(*) AS n FROM c WHERE asunto <> '' GROUP BY 1),
+s AS (SELECT asunto, row_number() OVER (ORDER BY n DESC, asunto) AS k, {_BAG.format('asunto')} AS w FROM f),
+g AS (SELECT cast(0 AS bigint) AS k, cast([] AS STRUCT(a VARCHAR, w VARCHAR[])[]) AS reps, cast(NULL AS VARCHAR) AS asunto, cast(NULL AS VARCHAR) AS canonico
+  UNION ALL SELECT k, CASE WHEN hit IS NULL THEN list_append(reps, struct_pack(a := asunto, w := w)) ELSE reps END, asunto, coalesce(hit, asunto) FROM (
+    SELECT s.k, g.reps, s.asunto, s.w, list_filter(g.reps, lambda r: len(r.w) > 0 AND len(s.w) > 0
+      AND len(list_intersect(r.w, s.w)) >= 0.6 * (len(r.w) + len(s.w) - len(list_intersect(r.w, s.w))) - 1e-9)[1].a AS hit FROM g JOIN s ON s.k = g.k + 1))
+SELECT asunto, canonico, count(*) OVER (PARTITION BY canonico) AS variantes FROM g WHERE asunto IS NOT NULL""")
 def subject_consolidation(spark, d):
     """Subjects with their representative and group size."""
     mapped = similarity.consolidate(_subject_counts(spark, d), "asunto", "n", 0.6)
@@ -551,7 +579,26 @@ def name_doubtful_pairs(spark, d):
     return entities.name_merges(h, "periodista", "n")[1]
 
 
-@query()
+_CONN = "^((" + "|".join(sorted((c.replace(" ", "\\s+") for c in entities.CONNECTORS), key=len, reverse=True)) + ")\\s+)+"
+_ENDS = "^[\\s.\\-—·…]+|[\\s.\\-—·…]+$"
+_KEY1 = (
+    "replace(coalesce(nullif(regexp_replace(regexp_replace(regexp_replace({0}, '^(el|la|los|las) ', ''), '^(revista|periodico|portal|semanario|agencia|sitio) ', ''), "
+    "'^(el|la|los|las) ', ''), ''), {0}), ' ', '')"
+)
+#: Outlets of each thread in order: cut, stripped of connectors, tested, one of each key; the whole where nothing is left.
+_OUTLETS = (
+    "p AS (SELECT conferencia_id, hilo, periodista_canonico, medio, list_transform(regexp_split_to_array(medio, '\\s*[;,:/|]\\s*|\\s+[ye]\\s+'), "
+    f"lambda x: trim(regexp_replace(regexp_replace(x, '{_ENDS}', '', 'g'), '(?i){_CONN}', ''))) AS q FROM h WHERE trim(medio) <> ''), "
+    "u AS (SELECT *, unnest(q) AS name, unnest(range(len(q))) AS lugar FROM p), "
+    f"z AS (SELECT conferencia_id, hilo, periodista_canonico, name, lugar, {_FLAT.format('name')} AS w, {_FOLD.format('name')} AS v FROM u), "
+    f"t AS (SELECT *, {_KEY1.format('w')} AS clave FROM z WHERE (length(name) >= 4 OR regexp_matches(name, '^\\p{{Lu}}{{2,}}[0-9]*$')) AND NOT list_contains("
+    f"[{', '.join(repr(x) for x in entities.PLACES)}], v) AND NOT regexp_matches(v, '{entities.CLAUSES}') AND len(regexp_split_to_array(name, '\\s+')) <= 8), "
+    "o AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY conferencia_id, hilo, clave ORDER BY lugar) = 1), "
+    "n AS (SELECT conferencia_id, hilo, periodista_canonico, name FROM o UNION ALL SELECT conferencia_id, hilo, periodista_canonico, trim(medio) FROM p ANTI JOIN o USING (conferencia_id, hilo))"
+)
+
+
+@query(f"WITH {_H}, {_OUTLETS} SELECT name AS cabecera, count(*) AS hilos, count(DISTINCT periodista_canonico) AS periodistas FROM n GROUP BY 1")
 def outlet_split_explode(spark, d):
     """Outlets named in declarations, with threads and reporters."""
     named = F.explode(entities.split_outlets(F.col("medio"), entities.PLACES, entities.CLAUSES)).alias("cabecera")
@@ -588,7 +635,11 @@ def set_overlap_bridge(spark, d):
 # ---- documents ----------------------------------------------------------------------------------------------
 
 
-_SHOUTED = "^[A-ZÁÉÍÓÚÑÜ][A-ZÁÉÍÓÚÑÜ0-9 ,.()/º°''’-]{2,150}( *[(][^)]{0,45}[)])?$"
+#: A label is in capitals, but for a note in brackets at its end.
+_SHOUTED = (
+    "(regexp_replace(trim(etiqueta), ' *[(][^()]{0,45}[)]$', '') = upper(regexp_replace(trim(etiqueta), ' *[(][^()]{0,45}[)]$', '')) AND regexp_matches(trim(etiqueta), '^\\p{Lu}') "
+    "AND length(regexp_replace(trim(etiqueta), ' *[(][^()]{0,45}[)]$', '')) BETWEEN 3 AND 151)"
+)
 _KIND = (
     "CASE WHEN regexp_matches(e, '^(PREGUNTAS?|INTERLOCUTORA?|INTERLOCUTORES|INTERLOCUTORAS)( *[(][^)]*[)])?$') THEN 'prensa' "
     "WHEN regexp_matches(e, '^(INTERVENCION(ES)?( (HOMBRES?|MUJER(ES)?))?( *[(][^)]*[)])?|ASISTENTES)$') "
@@ -596,7 +647,7 @@ _KIND = (
 )
 
 
-@query(f"""WITH {_T}, s AS (SELECT *, strip_accents(upper(trim(etiqueta))) AS e FROM t WHERE regexp_matches(trim(etiqueta), '{_SHOUTED}'))
+@query(f"""WITH {_T}, s AS (SELECT *, strip_accents(upper(trim(etiqueta))) AS e FROM t WHERE {_SHOUTED})
 SELECT conferencia_id, cast(row_number() OVER (PARTITION BY conferencia_id ORDER BY orden) - 1 AS int) AS orden, trim(etiqueta) AS etiqueta, {_KIND} AS tipo FROM s""")
 def label_segmentation(spark, d):
     """Transcripts written out and cut into turns again; a label in small letters is no label, so its turn falls to the one before."""
@@ -635,10 +686,13 @@ def introductions_known(spark, d):
     return identity.introductions(press, ["conferencia_id", "orden"], "texto", known).where("periodista is not null").groupBy("periodista").agg(F.count("*").alias("n"))
 
 
+def _announced(opening: str, between: str = "", most: int = 90) -> str:
+    return f"{opening} +{between}[‘“\\x22'']?([^.;\\n’”\\x22'']{{3,{most}}})"
+
+
 _OPENING = [
-    "vamos a hablar +(?:de|del|sobre) +[‘“\\x22'']?([^.;\\n’”\\x22'']{3,90})", "hoy vamos a presentar +[‘“\\x22'']?([^.;\\n’”\\x22'']{3,90})",
-    "hoy es +(?:el +)?(?:d[ií]a de +)?[‘“\\x22'']?([^.;\\n’”\\x22'']{3,80})", "el tema de hoy es +[‘“\\x22'']?([^.;\\n’”\\x22'']{3,90})",
-    "hoy tenemos +[‘“\\x22'']?([^.;\\n’”\\x22'']{3,90})",
+    _announced("vamos a hablar", "(?:sobre|del?) +"), _announced("hoy vamos a presentar"), _announced("hoy es", "(?:el +)?(?:d[ií]a de +)?", 80),
+    _announced("el tema de hoy es"), _announced("hoy tenemos"),
 ]
 _CLEAN = "nullif(trim(regexp_replace(regexp_replace({0}, '^[ ,;:—-]+|[ ,;:—-]+$', '', 'g'), '\\s+', ' ', 'g')), '')"
 
@@ -802,7 +856,19 @@ def slug_dates(spark, d):
     return found.select("conferencia_id", F.date_format("fecha", "yyyy-MM").alias("mes"), "fecha")
 
 
-@query()
+def _hits(words: list[str]) -> str:
+    return " + ".join(f"(length(b) - length(replace(b, '{w}', ''))) // {len(w)}" for w in words)
+
+
+_SCORES = (
+    f"{_hits(['puente', 'presa', 'carretera', 'línea'])} AS obra, {_hits(['hospital', 'vacuna', 'medic'])} AS salud, {_hits(['millones', 'pesos', 'costo'])} AS dinero"
+)
+_FIRST = "CASE WHEN greatest(obra, salud, dinero) = 0 THEN NULL WHEN {0} = greatest(obra, salud, dinero) THEN '{0}' WHEN obra = greatest(obra, salud, dinero) THEN 'obra' ELSE '{1}' END"
+
+
+@query(f"""WITH {_ROWS}, b AS (SELECT lower(coalesce(texto, '')) AS b FROM r WHERE rol = 'pregunta'), s AS (SELECT b, {_SCORES} FROM b),
+x AS (SELECT 0 AS pasada, b, {_FIRST.format('dinero', 'salud')} AS e FROM s UNION ALL SELECT 1, b, {_FIRST.format('salud', 'dinero')} FROM s)
+SELECT pasada, CASE WHEN length(b) >= 12 THEN e END AS etiqueta, CASE WHEN length(b) < 12 THEN 'texto demasiado corto' END AS razon, count(*) AS n FROM x GROUP BY 1, 2, 3""")
 def local_labels(spark, d):
     """Questions labelled by the local classifier, with reasons for rejects."""
     ask = classify.keyword_labeller({"obra": ["puente", "presa", "carretera", "línea"], "salud": ["hospital", "vacuna", "medic"], "dinero": ["millones", "pesos", "costo"]})

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hemerion.functions import dates, rules, text
 from hemerion.operators import aggregates as agg
 from hemerion.operators import classify, documents, entities, identity, lineage, mining, search, sessions, similarity
 from hemerion.plans.core_queries import (
-    _C, _E, _EX, _FLAT, _FOLD, _FOUND, _H, _LAYER, _PKEY, _QT, _ROWS, _T, _exchanges, _labelled_questions, _labels, _rows, _threads, _turns, _votes, _VOTES,
+    _C, _COURTESIES, _E, _EX, _FIRST, _FLAT, _FOLD, _FOUND, _H, _LAYER, _PKEY, _QT, _ROWS, _SCORES, _SHOUTED, _T, _exchanges, _labelled_questions, _labels, _OUTLETS, _rows, _threads, _turns, _votes, _VOTES,
 )
-from hemerion.plans.registry import query
+from hemerion.plans.registry import ORACLES, query
 from hemerion.session import ensure_checkpoint_dir, table
 
 # ---- threads ---------------------------------------------------------------------------------
@@ -30,15 +30,7 @@ def _openers(spark: SparkSession, d: str) -> DataFrame:
         F.min("orden").alias("orden"), F.min("periodista").alias("periodista"), F.min("medio").alias("medio"), F.min("metodo").alias("metodo")).drop("hilo")
 
 
-_RUIDO = (
-    "s AS (SELECT conferencia_id, orden, unnest(regexp_split_to_array(regexp_replace(regexp_replace(trim(strip_accents(lower(coalesce(texto, '')))), '\\s+', ' ', 'g'), "
-    "'([.!?]) ', '\\1' || chr(10), 'g'), chr(10))) AS o FROM t), z AS (SELECT conferencia_id, orden, count(*) FILTER (WHERE trim(o) <> '' AND NOT regexp_matches(trim(o), "
-    "'^((muchas |muchisimas )?gracias( *,? *(senora )?(presidenta|presidente))?|buen(os dias|as tardes|as noches)( *,? *(senora )?(presidenta|presidente))?|bien|si|no"
-    "|de acuerdo|asi es|con permiso|adelante|[(] *inaudible *[)])[\\s.,;!¡]*$')) = 0 AS ruido FROM s GROUP BY ALL)"
-)
-
-
-@query(f"""WITH {_T}, {_H}, {_OPEN}, {_RUIDO},
+@query(f"""WITH {_T}, {_H}, {_OPEN}, {_COURTESIES},
 n AS (SELECT *, sum(CASE WHEN tipo = 'funcionario' THEN 1 ELSE 0 END) OVER (PARTITION BY conferencia_id ORDER BY orden ROWS UNBOUNDED PRECEDING) AS racha FROM t),
 p AS (SELECT conferencia_id, orden, count(*) OVER w >= 2 AND max(length(coalesce(texto, ''))) OVER w <= 200 AS incierta FROM n WHERE tipo = 'prensa'
   WINDOW w AS (PARTITION BY conferencia_id, racha)),
@@ -50,7 +42,7 @@ u AS (SELECT k.conferencia_id, k.orden, cast(k.hilo AS int) AS hilo, i.periodist
   CASE WHEN abre OR tipo = 'funcionario' THEN 'declarada' WHEN incierta OR tipo = 'anonimo' THEN 'incierta' ELSE 'propagada' END AS atribucion, tipo, hablante
   FROM k JOIN i USING (conferencia_id, hilo) WHERE k.hilo >= 0)
 SELECT u.conferencia_id, u.orden, hilo, periodista, medio, metodo, rol, atribucion, ruido,
-  CASE WHEN tipo = 'funcionario' THEN hablante WHEN atribucion = 'incierta' THEN NULL ELSE periodista END AS quien FROM u JOIN z USING (conferencia_id, orden)""")
+  CASE WHEN tipo = 'funcionario' THEN hablante WHEN atribucion = 'incierta' THEN NULL ELSE periodista END AS quien FROM u JOIN ru USING (conferencia_id, orden)""")
 def thread_rebuild(spark, d):
     """Threads from introductions, uncertain runs and manual rows: identity, role, speaker, attribution and noise of every turn."""
     opened = _openers(spark, d)
@@ -144,6 +136,9 @@ def outlet_votes(spark, d):
     return entities.outlet_votes(counts, "name", "n")
 
 
+ORACLES["outlet_canonical"] = f"WITH {_H}, {_OUTLETS}, {_CHOSEN} SELECT name, canonico FROM c"
+
+
 @query(f"""WITH {_H}, {_NAMED}, {_CHOSEN}, j AS (SELECT conferencia_id, hilo, canonico, min(lugar) AS lugar FROM n JOIN c USING (name) GROUP BY 1, 2, 3)
 SELECT conferencia_id, hilo, string_agg(canonico, '; ' ORDER BY lugar) AS medios FROM j GROUP BY 1, 2""")
 def thread_outlets(spark, d):
@@ -180,8 +175,9 @@ _MAPPED = (
     "WHERE asunto <> '' AND asunto_canonico <> '' GROUP BY 1, 2) GROUP BY 1)"
 )
 _META = (
-    "regexp_matches(strip_accents(lower(coalesce({0}, ''))), 'pregunta (incompleta|no formulada)|no es una pregunta|comentario ((de|informal|incompleto|deportivo) )?periodista"
-    "|agradecimiento|turno de palabra|no[_ ]aplica|sin contexto|informacion insuficiente|saludo|despedida|fragmento|rabasto')"
+    "(len(list_filter(['pregunta incompleta', 'pregunta no formulada', 'no es una pregunta', 'comentario periodista', 'comentario de periodista', 'comentario informal periodista', "
+    "'comentario incompleto periodista', 'comentario deportivo periodista', 'agradecimiento', 'turno de palabra', 'no aplica', 'no_aplica', 'sin contexto', 'informacion insuficiente', 'saludo', "
+    f"'despedida', 'fragmento'], lambda x: contains({_FOLD.format('c.asunto')}, x))) > 0)"
 )
 
 
@@ -190,8 +186,8 @@ def _subject_map(c: DataFrame) -> DataFrame:
     return known.select("asunto", F.col("asunto_canonico").alias("canonico"))
 
 
-@query(f"""WITH {_C}, {_MAPPED} SELECT c.id_pregunta, CASE WHEN NOT {_META.replace('|rabasto', '').format('c.asunto')} THEN nullif(coalesce(m.canonico, c.asunto), '') END AS legible,
-  CASE WHEN {_META.replace('|rabasto', '').format('c.asunto')} THEN 'sin asunto' ELSE c.asunto END AS cubeta FROM c LEFT JOIN m USING (asunto)""")
+@query(f"""WITH {_C}, {_MAPPED} SELECT c.id_pregunta, CASE WHEN NOT {_META} THEN nullif(coalesce(m.canonico, c.asunto), '') END AS legible,
+  CASE WHEN {_META} THEN 'sin asunto' ELSE c.asunto END AS cubeta FROM c LEFT JOIN m USING (asunto)""")
 def subject_legible(spark, d):
     """Labels with their canonical subject, by default their own, null where it is none; such subjects share one bucket."""
     c = _labels(spark, d)
@@ -353,7 +349,7 @@ def edge_months(spark, d):
 
 
 @query(f"""WITH {_T}, {_FOUND} SELECT substr(conferencia_id, 1, 7) AS mes, count(*) AS n, count(*) FILTER (WHERE forma IN ('en_curso', 'encargo', 'necesidad', 'compromiso')) AS promesas,
-  round(count(*) FILTER (WHERE forma IN ('en_curso', 'encargo', 'necesidad', 'compromiso')) / count(*), 6) AS tasa FROM h GROUP BY 1""")
+  round(count(*) FILTER (WHERE forma IN ('en_curso', 'encargo', 'necesidad', 'compromiso')) / count(*), 6) AS tasa FROM hz GROUP BY 1""")
 def findings_by_month(spark, d):
     """Findings and those that promise something, by month."""
     found = mining.findings(_turns(spark, d).where("tipo = 'funcionario'"), ["conferencia_id", "orden"], "texto")
@@ -362,6 +358,44 @@ def findings_by_month(spark, d):
         F.count("*").alias("n"), promise.alias("promesas"), F.round(promise / F.count("*"), 6).alias("tasa"))
 
 
+_PROMISES = ["en_curso", "encargo", "necesidad", "compromiso"]
+_BY = (
+    "y AS (SELECT hz.conferencia_id, hz.orden, r.hilo, r.periodista_canonico, forma FROM hz JOIN r USING (conferencia_id, orden)), "
+    "d AS (SELECT periodista_canonico AS periodista, count(*) AS respuestas FROM r WHERE rol <> 'pregunta' AND periodista_canonico IS NOT NULL GROUP BY 1)"
+)
+
+
+@query(f"""WITH {_T}, {_FOUND}, {_ROWS}, {_BY}, n AS (SELECT periodista_canonico AS periodista, count(*) FILTER (WHERE forma IN ('en_curso', 'encargo', 'necesidad', 'compromiso')) AS promesas
+  FROM y WHERE periodista_canonico IS NOT NULL GROUP BY 1)
+SELECT periodista, respuestas, promesas, round(promesas / respuestas, 6) AS tasa FROM n JOIN d USING (periodista) ORDER BY promesas DESC, periodista LIMIT 10""")
+def promises_by_reporter(spark, d):
+    """The ten reporters with most promises among their answers, with the number of answers."""
+    found = mining.findings(_turns(spark, d).where("tipo = 'funcionario'"), ["conferencia_id", "orden"], "texto")
+    rows = _rows(spark, d).where("periodista_canonico is not null").withColumnRenamed("periodista", "__heard").withColumnRenamed("periodista_canonico", "periodista")
+    promised = found.join(rows.select("conferencia_id", "orden", "periodista"), ["conferencia_id", "orden"]).groupBy("periodista").agg(
+        F.count_if(F.col("forma").isin(_PROMISES)).alias("promesas"))
+    answers = rows.where("rol <> 'pregunta'").groupBy("periodista").agg(F.count("*").alias("respuestas"))
+    joined = promised.join(answers, "periodista").withColumn("tasa", F.round(F.col("promesas") / F.col("respuestas"), 6))
+    return joined.orderBy(F.desc("promesas"), "periodista").limit(10)
+
+
+@query(f"""WITH {_T}, {_FOUND}, {_ROWS}, {_C}, y AS (SELECT hz.conferencia_id, hz.orden, r.hilo, forma FROM hz JOIN r USING (conferencia_id, orden)),
+q AS (SELECT conferencia_id, hilo, orden, coalesce(lead(orden) OVER (PARTITION BY conferencia_id, hilo ORDER BY orden), 2147483647) AS hasta FROM r WHERE rol = 'pregunta' AND NOT coalesce(ruido, false)),
+z AS (SELECT c.categoria, y.forma FROM y JOIN q ON y.conferencia_id = q.conferencia_id AND y.hilo = q.hilo AND y.orden > q.orden AND y.orden < q.hasta
+  JOIN c ON c.id_pregunta = q.conferencia_id || '-h' || q.hilo || '-t' || q.orden)
+SELECT categoria, forma, count(*) AS n FROM z GROUP BY 1, 2""")
+def forms_by_category(spark, d):
+    """Forms of what was answered, by the category of the question."""
+    found = mining.findings(_turns(spark, d).where("tipo = 'funcionario'"), ["conferencia_id", "orden"], "texto")
+    asks = (F.col("rol") == "pregunta") & ~F.coalesce("ruido", F.lit(False))
+    w = Window.partitionBy("conferencia_id", "hilo").orderBy("orden").rowsBetween(Window.unboundedPreceding, 0)
+    # The question that a turn answers is the last one before it in its thread.
+    rows = _rows(spark, d).withColumn("pregunta", F.last(F.when(asks, F.col("orden")), True).over(w)).where(~asks & F.col("pregunta").isNotNull())
+    rows = rows.select("conferencia_id", "orden", F.concat("conferencia_id", F.lit("-h"), "hilo", F.lit("-t"), "pregunta").alias("id_pregunta"))
+    joined = found.join(rows, ["conferencia_id", "orden"]).join(_labels(spark, d).select("id_pregunta", "categoria"), "id_pregunta")
+    return joined.groupBy("categoria", "forma").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {_H}, n AS (SELECT periodista_canonico AS p, count(*) AS hilos FROM h WHERE periodista_canonico IS NOT NULL GROUP BY 1)
 SELECT CASE WHEN hilos >= 10 THEN '>=10' WHEN hilos >= 3 THEN '3-9' WHEN hilos = 2 THEN '2' ELSE '1' END AS tramo, count(*) AS cuantos, cast(sum(hilos) AS bigint) AS hilos FROM n GROUP BY 1""")
 def frequency_tranches(spark, d):
@@ -499,14 +533,15 @@ def dry_run_cost(spark, d):
 _WORDS = {"obra": ["puente", "presa", "carretera", "línea"], "salud": ["hospital", "vacuna", "medic"], "dinero": ["millones", "pesos", "costo"]}
 
 
-@query()
+@query(f"""WITH {_ASKED_IDS}, b AS (SELECT lower(texto) AS b FROM q), s AS (SELECT b, {_SCORES} FROM b), x AS (SELECT {_FIRST.format('dinero', 'salud')} AS etiqueta FROM s)
+SELECT etiqueta, cast(NULL AS varchar) AS razon, count(*) AS n FROM x GROUP BY 1""")
 def label_rounds(spark, d):
     """Questions labelled in micro-batches with a growing vocabulary and a ledger."""
     import uuid
 
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hemerion/ledger-{uuid.uuid4().hex}"
     found = classify.label_batches(_asked(spark, d), "id", "texto", lambda vocabulary: classify.keyword_labeller(_WORDS), list(_WORDS), folder, pause=0.0)
-    return found.groupBy("ronda", "etiqueta", "razon").agg(F.count("*").alias("n"))
+    return found.groupBy("etiqueta", "razon").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_ASKED_IDS}, b AS (SELECT id, 'CONTEXTO: ' || atribucion || chr(10) || 'PREGUNTA: ' || texto AS entrada FROM q) SELECT id, entrada, regexp_extract(entrada, chr(10) || 'PREGUNTA: ((?s:.*))$', 1) AS pregunta FROM b""")
@@ -660,3 +695,72 @@ def subject_pairs(spark, d):
     subjects = table(spark, d, "clasificaciones").where("asunto <> ''").select("asunto").distinct()
     sets = subjects.withColumn("w", similarity.subject_bag(F.col("asunto")))
     return similarity.jaccard_pairs(sets, "asunto", "w", 0.6).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+_TIDY = "regexp_matches(periodista, '^[A-ZÁÉÍÓÚÑ][a-záéíóúñü]+( [A-ZÁÉÍÓÚÑ][a-záéíóúñü]+){1,2}$') AND regexp_matches(medio, '^[A-ZÁÉÍÓÚÑ][a-záéíóúñü]+( [A-ZÁÉÍÓÚÑ][a-záéíóúñü]+){0,4}$')"
+
+
+@query(f"""WITH {_H} SELECT conferencia_id, hilo, periodista, medio, '[identificación removida]. ¿Cuándo?' AS redactado FROM h WHERE {_TIDY}""")
+def introduction_round_trip(spark, d):
+    """Introductions made of threads' reporters and outlets in six ways, read back and taken out."""
+    tidy = _threads(spark, d).where(F.expr(_TIDY.replace("regexp_matches", "regexp_like")))
+    ways = ["Buenos días, {n}, de {m}", "Soy {n}, reportera de {m}", "{n}, {m}", "Mi nombre es {n}, y escribo para {m}", "Su servidor, {n}, de {m}", "{n}, corresponsal del {m}"]
+    made = [F.replace(F.replace(F.lit(w), F.lit("{n}"), F.col("periodista")), F.lit("{m}"), F.col("medio")) for w in ways]
+    pick = F.pmod(F.length("periodista") + F.length("medio") + F.col("hilo"), F.lit(len(ways)))
+    said = tidy.withColumn("t", F.concat(F.get(F.array(*made), pick), F.lit(". ¿Cuándo?"))).select("conferencia_id", "hilo", "t")
+    return identity.introductions(said, ["conferencia_id", "hilo"], "t").select("conferencia_id", "hilo", "periodista", "medio", "redactado")
+
+
+_LAST_COMMA = "regexp_extract(e, '^(.*),([^,]*)$', {0})"
+_STEMS = (
+    "SECRETARI|SUBSECRETARI|DIRECTOR|TITULAR|PRESIDENT|COORDINADOR|GOBERNADOR|COMISIONAD|JEFE|JEFA|CONSEJER|VOCERO|VOCERA|ALMIRANTE|GENERAL|PROCURADOR|FISCAL|EMBAJADOR|MAGISTRAD"
+    "|MINISTR|RECTOR|GERENTE|ENCARGAD|SUBDIRECTOR|ADMINISTRADOR"
+)
+
+
+@query(f"""WITH l AS (SELECT DISTINCT trim(etiqueta) AS e FROM turnos WHERE etiqueta IS NOT NULL), u AS (SELECT e, strip_accents(upper(e)) AS f, trim({_LAST_COMMA.format(1)}) AS a, trim({_LAST_COMMA.format(2)}) AS b FROM l),
+k AS (SELECT *, CASE WHEN regexp_matches(f, '^(PREGUNTAS?|INTERLOCUTOR(A|ES|AS)?)(\\s*[(][^)]*[)])?$') THEN 'prensa' WHEN regexp_matches(f, '^(ASISTENTES|INTERVENCION(ES)?(\\s+(HOMBRE|MUJER)(E?S)?)?(\\s*[(][^)]*[)])?)$')
+  OR regexp_matches(f, '^(VOZ|VOCES|DERECHOHABIENTE|MADRE|PADRE|PACIENTE|TRABAJADOR|BENEFICIARI)') THEN 'anonimo' ELSE 'funcionario' END AS tipo,
+  regexp_matches(strip_accents(upper(b)), '{_STEMS}') AND NOT regexp_matches(strip_accents(upper(a)), '{_STEMS}') AS vuelta FROM u)
+SELECT e AS etiqueta, tipo, CASE WHEN tipo = 'funcionario' AND contains(e, ',') THEN CASE WHEN vuelta THEN b ELSE a END END AS cargo,
+  CASE WHEN tipo = 'funcionario' THEN CASE WHEN NOT contains(e, ',') THEN e WHEN vuelta THEN a ELSE b END END AS hablante FROM k""")
+def label_parts(spark, d):
+    """Labels with their kind, office and speaker."""
+    labels = table(spark, d, "turnos").where("etiqueta is not null").select(F.trim("etiqueta").alias("etiqueta")).distinct()
+    return labels.withColumn("p", rules.label_parts(F.col("etiqueta"))).select("etiqueta", "p.tipo", "p.cargo", "p.hablante")
+
+
+@query(f"""WITH {_H}, a AS (SELECT DISTINCT conferencia_id || '#' || hilo AS id, {_PKEY.format('z')} AS k FROM (SELECT conferencia_id, hilo, unnest(regexp_split_to_array(medio, '[;|/,]')) AS z FROM h)),
+b AS (SELECT DISTINCT puente_id, beneficiario_canonico, confianza, monto_2024_2026 AS monto, {_PKEY.format('medio_hablado')} AS k FROM puente_medios WHERE medio_hablado IS NOT NULL AND confianza <> 'pendiente')
+SELECT confianza, count(DISTINCT puente_id) AS filas, count(DISTINCT id) AS hilos FROM b LEFT JOIN a ON a.k = b.k AND b.k <> '' GROUP BY 1""")
+def spend_confidence(spark, d):
+    """Paired bridge rows by confidence, with the threads whose outlets overlap theirs."""
+    keys = F.transform(F.split("medio", "[;|/,]"), lambda z: F.replace(text.plain_words(z), F.lit(" "), F.lit("")))
+    threads = _threads(spark, d).where("medio is not null").select(F.concat_ws("#", "conferencia_id", "hilo").alias("id"), F.filter(F.array_distinct(keys), lambda x: x != "").alias("k"))
+    own = F.array(F.replace(text.plain_words(F.col("medio_hablado")), F.lit(" "), F.lit("")))
+    bridge = table(spark, d, "puente_medios").where("medio_hablado is not null and confianza <> 'pendiente'").select("puente_id", "confianza", own.alias("k")).distinct()
+    hits = entities.overlapping(bridge.where("k[0] <> ''"), "puente_id", "k", threads, "id", "k")
+    joined = bridge.select("puente_id", "confianza").distinct().join(hits, "puente_id", "left")
+    return joined.groupBy("confianza").agg(F.countDistinct("puente_id").alias("filas"), F.countDistinct("id").alias("hilos"))
+
+
+@query(f"""WITH {_T}, l AS (SELECT conferencia_id, orden, coalesce(etiqueta, '') || ': ' || trim(regexp_replace(coalesce(texto, ''), '\\s+', ' ', 'g')) AS linea,
+  coalesce({_SHOUTED}, false) AS es FROM t), f AS (SELECT conferencia_id, min(orden) FILTER (WHERE es) AS primero FROM l GROUP BY 1)
+SELECT conferencia_id, 'Conferencia ' || conferencia_id || coalesce((SELECT string_agg(chr(10) || linea, '' ORDER BY orden) FROM l WHERE l.conferencia_id = f.conferencia_id AND (f.primero IS NULL OR l.orden < f.primero)), '') AS encabezado FROM f""")
+def transcript_headers(spark, d):
+    """What stands before the first label of transcripts written out with a heading."""
+    line = F.concat(F.coalesce("etiqueta", F.lit("")), F.lit(": "), F.trim(F.regexp_replace(F.coalesce("texto", F.lit("")), "\\s+", " ")))
+    listed = F.array_sort(F.collect_list(F.struct("orden", line.alias("l"))))
+    docs = _turns(spark, d).groupBy("conferencia_id").agg(F.array_join(F.transform(listed, lambda x: x.l), "\n").alias("t"))
+    written = F.concat(F.lit("Conferencia "), "conferencia_id", F.lit("\n"), "t")
+    return docs.select("conferencia_id", documents.header(written).alias("encabezado"))
+
+
+@query(f"""WITH {_C}, s AS (SELECT categoria, fragmento FROM c WHERE categoria IS NOT NULL AND fragmento IS NOT NULL QUALIFY row_number() OVER (PARTITION BY categoria ORDER BY md5(id_pregunta || '|' || '9'), id_pregunta)
+  <= greatest(2, 40 // (SELECT count(DISTINCT categoria) FROM c WHERE categoria IS NOT NULL AND fragmento IS NOT NULL))), f AS (SELECT categoria, trim(regexp_replace(fragmento, '\\s+', ' ', 'g')) AS p FROM s),
+l AS (SELECT '- ' || CASE WHEN length(p) <= 200 THEN p ELSE regexp_replace(left(p, 200), ' [^ ]*$', '') || '…' END || ' → ' || categoria AS l FROM f)
+SELECT string_agg(l, chr(10) ORDER BY l) AS bloque FROM l""")
+def examples_block(spark, d):
+    """Examples for a labeller's prompt, the same number of each category."""
+    rows = _labels(spark, d).where("categoria is not null and fragmento is not null")
+    return classify.examples_block(agg.stratified_sample(rows, ["id_pregunta"], "categoria", 40, "9"), "categoria", "fragmento")

@@ -106,3 +106,45 @@ def markdown_report(hits: DataFrame, title: str, columns: list[str], most: int |
             raise ValueError(f"more than {most} hits; write a table instead")
         lines.append("| " + " | ".join("" if v is None else str(v).replace("\n", " ").replace("|", "\\|") for v in row) + " |")
     return "\n".join(lines) + "\n"
+
+
+def fill_page(template: str, parts: dict[str, str], opening: str = "<!--", closing: str = "-->") -> str:
+    """A page from a template whose markers, such as ``<!--name-->``, are replaced; a missing or unknown marker raises."""
+    page = template
+    for name, content in parts.items():
+        marker = f"{opening}{name}{closing}"
+        if template.count(marker) != 1:
+            raise ValueError(f"the template holds {marker} {template.count(marker)} times")
+        page = page.replace(marker, content)
+    return page
+
+
+def coding_sheet(sample: DataFrame, code: str, columns: list[str], answers: dict[str, list[str]], path: str, previous: DataFrame | None = None) -> int:
+    """One sheet to code by hand: code, columns, an answer column for each list of allowed values (named in its header).
+
+    Answers of an earlier sheet are carried over by their code.
+    """
+    sheet = carry_answers(sample.select(code, *columns), code, list(answers), previous)
+    named = [f"{name} ({' / '.join(values)})" for name, values in answers.items()]
+    return write_csv_bom(sheet.orderBy(code).toDF(code, *columns, *named), path)
+
+
+def carry_answers(sheet: DataFrame, code: str, answers: list[str], previous: DataFrame | None) -> DataFrame:
+    """The sheet with the answers that an earlier one holds for the same code, else null."""
+    if previous is None:
+        return sheet.select("*", *[F.lit(None).cast("string").alias(a) for a in answers])
+    kept = previous.groupBy(code).agg(*[F.max(a).alias(a) for a in answers])
+    return sheet.join(kept, code, "left")
+
+
+def read_answers(sheet: DataFrame, answers: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose answers are all allowed or empty, rows with others), the answer columns under their plain names."""
+    renamed = sheet
+    for column in sheet.columns:
+        name = column.split(" (")[0]
+        if name in answers:
+            renamed = renamed.withColumnRenamed(column, name)
+    wrong = F.lit(False)
+    for name, values in answers.items():
+        wrong = wrong | (F.col(name).isNotNull() & ~F.col(name).isin(values))
+    return renamed.where(~wrong), renamed.where(wrong)

@@ -4,8 +4,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hemerion.operators import classify, lineage, sessions
-from hemerion.sources import readers, writers
+from hemerion.operators import classify, layout, lineage, sessions
+from hemerion.sources import crawl, readers, writers
 from hemerion.streaming import turns as streams
 
 
@@ -152,3 +152,54 @@ def test_rounds_remember_and_resume(spark, tmp_path):
     assert meter.get["filas"] == 40 and meter.get["rechazos"] == 0
     with pytest.raises(ValueError):
         classify.examples_block(done, "etiqueta", "fragmento", most=10)
+
+
+def test_crawls_stop_and_resume(spark, tmp_path):
+    asked = []
+
+    def fetch(page):
+        asked.append(page)
+        if page == 2 and asked.count(2) == 1:
+            raise RuntimeError("caído")
+        return "<a>" if page < 4 else ""
+
+    folder = str(tmp_path / "crawl")
+    first = crawl.crawl(spark, fetch, folder, lambda h: not h, pause=0)
+    assert asked == [1, 2, 3, 4, 5] and {r.pagina: r.razon for r in first.collect()} == {1: None, 2: "caído", 3: None, 4: None, 5: None}
+    crawl.crawl(spark, fetch, folder, lambda h: not h, pause=0, refresh=1)
+    assert asked[5:] == [1, 2, 6, 7]
+
+
+def test_downloads_fall_back(spark):
+    page = "<div class='article-body'>" + "x" * 30_000
+
+    def fetch(url):
+        if url == "down":
+            raise RuntimeError("caído")
+        return page if url == "good" else "corta"
+
+    rows = [("a", "down", "good"), ("b", "good", None), ("c", "short", "down"), ("d", None, None)]
+    got = {r.k: (r.fuente, r.bytes, r.razon) for r in crawl.download(spark.createDataFrame(rows, "k string, u string, v string"), "k", [("uno", "u"), ("dos", "v")], fetch, pause=0).collect()}
+    assert got == {"a": ("dos", len(page), None), "b": ("uno", len(page), None), "c": ("dos", None, "error: caído"), "d": (None, None, "sin dirección")}
+
+
+def test_sheets_carry_answers(spark, tmp_path):
+    sample = spark.createDataFrame([("c1", "texto"), ("c2", "otro")], "codigo string, pregunta string")
+    allowed = {"postura": ["crítica", "neutral"]}
+    assert writers.coding_sheet(sample, "codigo", ["pregunta"], allowed, str(tmp_path / "s.csv"), spark.createDataFrame([("c2", "neutral"), ("c9", "x")], "codigo string, postura string")) == 2
+    sheet = readers.read_commented_csv(spark, str(tmp_path / "s.csv"), ["codigo"])
+    good, bad = writers.read_answers(sheet, allowed)
+    assert {(r.codigo, r.postura) for r in good.collect()} == {("c1", None), ("c2", "neutral")} and bad.count() == 0
+    assert writers.read_answers(spark.createDataFrame([("c1", "mal")], "codigo string, postura string"), allowed)[1].count() == 1
+    assert writers.fill_page("<p><!--a--></p>", {"a": "x"}) == "<p>x</p>"
+    with pytest.raises(ValueError):
+        writers.fill_page("<p></p>", {"a": "x"})
+
+
+def test_layouts():
+    boxes = layout.treemap([6, 6, 4, 3, 2, 2, 1], 6, 4)
+    assert [round(b.width * b.height, 6) for b in boxes] == [6, 6, 4, 3, 2, 2, 1] and max(max(b.width / b.height, b.height / b.width) for b in boxes) < 3.1
+    assert all(b.x >= -1e-9 and b.x + b.width <= 6 + 1e-9 and b.y + b.height <= 4 + 1e-9 for b in boxes) and layout.treemap([]) == []
+    put = layout.spread_labels([5, 5.1, 0, 9.9], 1, 0, 10)
+    assert put == [5, 6, 0, 9.9] and layout.spread_labels([1, 1, 1], 9, 0, 10) == [0, 5, 10]
+    assert layout.round_axis(0.3, 9.7) == [0, 2, 4, 6, 8, 10] and layout.round_axis(1, 1) == [1]

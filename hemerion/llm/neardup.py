@@ -9,14 +9,15 @@ in some chunk up to ``radius`` errors; each side lists its chunk values with hal
 errors, so that the two lists meet and one equi-join finds all pairs under the distance,
 with no cap on any bucket. Sets near the similarity asked for may have signatures a
 little farther apart; a chunk of theirs agrees up to two errors nearly always (at two thirds
-each of eight does with chance 0.49, one of them with 0.995), so pairs up to ``FARTHEST``
-are kept. What the join finds is verified on the words as typed, by a matching.
+each of fifteen chunks of 21 bits does with chance 0.30, one of them with 0.995), so pairs
+up to ``FARTHEST`` are kept. What the join finds is verified on the words as typed, by a matching.
 
 Scale: rows are counted per text and per word set first, so the general subjects that
-fill a large part of the table are one node each. A key holds the chunk's number and value
-and one of the set's rarest words (its anchors; similar sets have one in common), so
-unrelated sets don't meet by chance, however many different texts there are. All steps are
-DataFrame joins.
+fill a large part of the table are one node each. A key holds the chunk's number and value;
+there are 31 million of them and each text lists 330, so two unrelated texts meet with chance
+0.0017, and what they meet with is only their ids. The chance falls by half per bit of
+``SET_WIDTH``; the keys of a text grow by its chunks times the bits. All steps are DataFrame
+joins.
 
 Defined results: null, empty and blank texts are left out, and so are texts without a
 word of three letters; a text is never paired with itself.
@@ -40,10 +41,10 @@ from hemerion.session import materialize
 CHUNKS, CHUNK_BITS, RADIUS = 8, 16, 2
 #: Largest signature distance that the join is sure to find.
 THRESHOLD = CHUNKS * (RADIUS + 1) - 1
-#: Largest distance that is verified: 21 bits are expected at two thirds, 40 are over four deviations more.
-FARTHEST = 40
-#: How much less alike than asked for sets may be that still have a common anchor.
-ANCHOR_SLACK = 0.1
+#: The signatures of word sets: wide chunks, so that unrelated sets seldom agree in one.
+SET_BITS, SET_CHUNKS, SET_WIDTH = 320, 15, 21
+#: Largest distance of those that is verified: 53 bits are expected at two thirds, 80 are four deviations more.
+FARTHEST = 80
 
 
 def _word_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +112,7 @@ def hamming_join(signed: DataFrame, chunks: int = CHUNKS, width: int = CHUNK_BIT
 
     Each side lists its chunk values with ``radius / 2`` errors, which is enough for both
     lists to meet. With ``most`` pairs up to that distance are kept where a chunk agrees, which
-    beyond the guarantee most do. Where rows have ``anchors``, only rows with a common anchor meet.
+    beyond the guarantee most do. Only ids travel with the keys; the signatures join the pairs that met.
     """
     if radius not in (0, 2):
         raise ValueError("radius is 0 or 2")
@@ -119,27 +120,20 @@ def hamming_join(signed: DataFrame, chunks: int = CHUNKS, width: int = CHUNK_BIT
     values = F.explode(F.array(*[_chunk(F.col("signature"), k, width) + F.lit(k << width) for k in range(chunks)])).alias("value")
     errors = F.explode(F.array(F.lit(0), *[F.lit(1 << j) for j in range(width if radius else 0)])).alias("error")
     key = F.col("value").bitwiseXOR(F.col("error"))
-    if "anchors" in signed.columns:
-        rows = signed.select("id", "signature", "anchors", values).select("id", "signature", "anchors", "value", errors)
-        rows = rows.select("id", "signature", key.alias("key"), F.explode("anchors").alias("anchor"))
-        keyed = rows.select("id", "signature", F.xxhash64("anchor", "key").alias("key"))
-    else:
-        keyed = signed.select("id", "signature", values).select("id", "signature", "value", errors).select("id", "signature", key.alias("key"))
-    a = keyed.select("key", F.col("id").alias("a"), F.col("signature").alias("sign_a"))
-    b = keyed.select("key", F.col("id").alias("b"), F.col("signature").alias("sign_b"))
-    longs = chunks * width // 64
-    apart = sum((F.bit_count(F.col("sign_a")[k].bitwiseXOR(F.col("sign_b")[k])) for k in range(longs)), F.lit(0))
+    keyed = signed.select("id", values).select("id", "value", errors).select("id", key.alias("key"))
     # Explosion isn't in the size estimate, so the join is named: neither side is shipped whole.
-    return a.hint("merge").join(b, "key").where((F.col("a") < F.col("b")) & (apart <= most)).select("a", "b", apart.alias("apart")).distinct()
+    met = keyed.select("key", F.col("id").alias("a")).hint("merge").join(keyed.select("key", F.col("id").alias("b")), "key").where("a < b")
+    longs = -(-chunks // (64 // width))
+    apart = sum((F.bit_count(F.col("sign_a")[k].bitwiseXOR(F.col("sign_b")[k])) for k in range(longs)), F.lit(0))
+    sign_a = signed.select(F.col("id").alias("a"), F.col("signature").alias("sign_a"))
+    sign_b = signed.select(F.col("id").alias("b"), F.col("signature").alias("sign_b"))
+    pairs = met.select("a", "b").distinct().join(sign_a, "a").join(sign_b, "b")
+    return pairs.where(apart <= most).select("a", "b", apart.alias("apart"))
 
 
-def anchors(sets: DataFrame, share: float) -> DataFrame:
-    """(id, anchors): digests of each set's rarest words, so many that sets of that similarity have one in common."""
-    typed = sets.select("id", F.size("meant").alias("size"), F.explode("meant").alias("word"))
-    held = typed.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = typed.join(held, "word").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
-    count = F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1
-    return ranked.select("id", F.transform(F.slice("w", F.lit(1), count.cast("int")), lambda x: F.xxhash64(x.word)).alias("anchors"))
+def candidates(meant: DataFrame) -> DataFrame:
+    """(a, b) of the sets (id, meant) that may share two thirds of their words."""
+    return hamming_join(materialize(signatures(meant, SET_BITS), "signatures"), SET_CHUNKS, SET_WIDTH, most=FARTHEST).select("a", "b")
 
 
 _SLIPPED = re.compile("[a-z]{4,}")
@@ -209,9 +203,7 @@ def near_duplicates(texts: DataFrame, share: float = 2 / 3) -> tuple[DataFrame,
             F.concat(F.array_except("words", "from"), F.col("to")))).alias("meant"),
     )
     meant = materialize(meant, "meant")
-    # Slips that the map doesn't settle make sets look less alike than they are, so anchors allow for some.
-    signed = materialize(signatures(meant).join(anchors(meant, share - ANCHOR_SLACK), "id"), "signatures")
-    pairs = materialize(hamming_join(signed, most=FARTHEST).select("a", "b"), "pairs")
+    pairs = materialize(candidates(meant), "pairs")
     of = sets.select("id", "words")
     both = pairs.join(of.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(
         of.select(F.col("id").alias("b"), F.col("words").alias("y")), "b"

@@ -49,7 +49,7 @@ _PLACEHOLDER = re.compile("|".join(PLACEHOLDERS))
 _SIGN = re.compile(r"[{}\[\]]|<<|>>|<%|%\(|@@|__|#[A-ZÁÉÍÓÚÑ]|\bXX")
 _MACHINE = [(re.compile(pattern), core) for pattern, core in MACHINE.items()]
 #: Letters of which every text that a ``MACHINE`` pattern matches holds some.
-_MACHINE_HINTS = ("ipsum", "dolor sit", "asdf", "qwerty", "xxxx", "tk tk", "traceback", "uncaught", "noscript", "title>", "status", "error", "code", "relleno")
+_MACHINE_HINTS = ("ipsum", "dolor sit", "asdf", "qwerty", "xxxx", "tk tk", "traceback", "uncaught", "noscript", "title>", "{", "relleno")
 _BREAK = re.compile(r"(?<=[.?!…])[\s ]+|[\r\n]+")
 _PIECE = re.compile(r"(?<=[a-záéíóúüñàâãçèêô0-9.,;:!?)\]])\s+(?=[A-ZÁÉÍÓÚÜÑÀÂÃÇÈÊÔ¿¡0-9])|\s*[\[\]<>|{}«»“”\"]+\s*")
 _WORDS = re.compile(r"[^\W_]+")

@@ -82,7 +82,9 @@ def line_label(line: Column) -> Column:
     It is what stands before the first colon (that opens no address), in capitals, figures
     and some signs; a note in brackets at its end may be in any letters.
     """
-    head = F.trim(F.regexp_extract(line, "^((?:[^:()]|\\([^()]*\\))*)(?=:(?!//))", 1))
+    # No label with its note is longer, so a long line isn't read to its end.
+    opening = F.left(line, F.lit(LONGEST_LABEL + LONGEST_NOTE + 20))
+    head = F.trim(F.regexp_extract(opening, "^((?:[^:()]++|\\([^()]*+\\))*+)(?=:(?!//))", 1))
     name = F.regexp_replace(head, f"\\s*\\([^()]{{0,{LONGEST_NOTE}}}\\)$", "")
     signs = "".join(f"\\{c}" for c in LABEL_SIGNS)
     shaped = name.rlike(f"^\\p{{Lu}}[\\p{{Lu}}0-9{signs}]*$") & F.length(name).between(SHORTEST_LABEL, LONGEST_LABEL)

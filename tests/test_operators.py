@@ -297,3 +297,12 @@ def test_vote(spark):
 def test_linkage():
     merges = similarity.average_linkage(["a", "b", "c"], {("a", "b"): 0.2, ("a", "c"): 0.9, ("b", "c"): 0.7})
     assert merges[0][2] == 0.2 and round(merges[1][2], 6) == 0.8
+
+
+def test_long_lines_and_bad_notes(spark):
+    text = "PREGUNTA: " + "palabra (nota) " * 20_000 + "\n" + "X" * 100_000 + "\nDIRECTORA, ANA (en línea, desde Sur): Sí.\n(" * 3 + "FIN: x"
+    got = documents.turns_of(spark.createDataFrame([("c", text), ("d", "HTTPS://x.y\nA: no\nÁREA 51: sí")], "k string, t string"), "k", "t").collect()
+    assert [(r.k, r.etiqueta) for r in got] == [("c", "PREGUNTA"), *[("c", "DIRECTORA, ANA (en línea, desde Sur)")] * 3, ("d", "ÁREA 51")]
+    note = spark.createDataFrame([("a (INICIA VIDEO) b (Se proyecta) c",), ("(FINALIZA AUDIO) a (COMIENZA AUDIO) x (EMPIEZA VIDEO) y (TERMINA AUDIO) z",), (None,)], "t string")
+    assert [(r.r.texto, r.r.videos, r.r.abiertos) for r in note.where("t is not null").select(documents.without_videos(F.col("t")).alias("r")).collect()] == [
+        ("a (INICIA VIDEO) b (Se proyecta) c", 0, 1), ("(FINALIZA AUDIO) a \n\n z", 1, 0)]

@@ -47,12 +47,13 @@ from hemerion.session import materialize
 
 _PLACEHOLDER = re.compile("|".join(PLACEHOLDERS))
 _SIGN = re.compile(r"[{}\[\]]|<<|>>|<%|%\(|@@|__|#[A-ZÁÉÍÓÚÑ]|\bXX")
+_SIGN_HINTS = ("{", "}", "[", "]", "<<", ">>", "<%", "%(", "@@", "__", "#", "XX")
 _MACHINE = [(re.compile(pattern), core) for pattern, core in MACHINE.items()]
 #: Letters of which every text that a ``MACHINE`` pattern matches holds some.
 _MACHINE_HINTS = ("ipsum", "dolor sit", "asdf", "qwerty", "xxxx", "tk tk", "traceback", "uncaught", "noscript", "title>", "{", "relleno")
 _BREAK = re.compile(r"(?<=[.?!…])[\s ]+|[\r\n]+")
 _PIECE = re.compile(r"(?<=[a-záéíóúüñàâãçèêô0-9.,;:!?)\]])\s+(?=[A-ZÁÉÍÓÚÜÑÀÂÃÇÈÊÔ¿¡0-9])|\s*[\[\]<>|{}«»“”\"]+\s*")
-_WORDS = re.compile(r"[^\W_]+")
+_NO_WORD = re.compile(r"[\W_]+")
 _FIGURES = re.compile(r"\d+")
 _SIGNED = re.compile(r"[^\W_]+|[{}\[\]<>$%@#_]+")
 SIMILARITY, GRAM = 0.8, 4
@@ -78,8 +79,11 @@ def folded(segment: str) -> str:
 
 
 def _joined(plain: str) -> str:
-    form = " ".join(_WORDS.findall(plain))
-    return _FIGURES.sub("0", form)
+    return _FIGURES.sub("0", _bare(plain))
+
+
+def _bare(plain: str) -> str:
+    return _NO_WORD.sub(" ", plain).strip()
 
 
 def signed(segment: str) -> str:
@@ -173,13 +177,15 @@ class Screen:
             h, owner = h[maybe], owner[maybe]
             at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
             hit = self.known[at] == h
-            at, owner = _distinct(at[hit], owner[hit])
+            # A run counts once for each form.
+            once = np.sort(owner[hit] * len(self.known) + at[hit])
+            once = once[np.append(True, once[1:] != once[:-1])[: len(once)]]
+            owner, at = once // len(self.known), once % len(self.known)
             reps = self.count[at]
             which = np.repeat(self.first[at] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
-            pairs, n = np.unique(np.repeat(owner, reps).astype(np.int64) * len(self.cores) + self.owners[which], return_counts=True)
-            core = pairs % len(self.cores)
-            kept = n >= KEPT * self.sizes[core]
-            out += [(start + int(f), int(c)) for f, c in zip(pairs[kept] // len(self.cores), core[kept])]
+            counts = np.bincount(np.repeat(owner, reps) * len(self.cores) + self.owners[which], minlength=len(run) * len(self.cores)).reshape(len(run), -1)
+            form, core = np.nonzero((counts >= KEPT * self.sizes) & (counts > 0))
+            out += [(start + int(f), int(c)) for f, c in zip(form, core)]
             start += len(run)
         return out
 
@@ -237,17 +243,17 @@ def _splitter(cores: list[str]):
             out: list[tuple] = []
             docs, forms = [], []
             for doc, text in zip(batch["doc"], batch["text"]):
-                if _SIGN.search(text):
+                if any(h in text for h in _SIGN_HINTS) and _SIGN.search(text):
                     out += [(doc, form, core) for form, core in _fields(text)]
                 plain = fold(text)
-                parts = segments(plain)
                 if any(h in plain for h in _MACHINE_HINTS):
-                    for segment in parts:
+                    for segment in segments(plain):
                         core = next((c for p, c in _MACHINE if p.search(segment)), None)
                         if core:
                             out.append((doc, _joined(segment), core))
+                parts = segments(_FIGURES.sub("0", plain))
                 docs += [(doc, text, k) for k in range(len(parts))]
-                forms += [_joined(segment) for segment in parts]
+                forms += [_bare(segment) for segment in parts]
             for k, c in screen.held(forms):
                 doc, text, at = docs[k]
                 size = len(screen.cores[c])

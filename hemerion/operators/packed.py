@@ -147,9 +147,9 @@ def split_packed(df: DataFrame, column: str, keys: list[str], heads: list[str] |
     their key count once; columns other than ``keys`` and ``column`` are ignored, so
     their names can't clash. An empty table gives an empty result.
     """
-    once = df.select(*keys, F.col(column).alias("__packed")).dropDuplicates(keys)
-    values = once.select(*keys, packed_values(F.col("__packed"), heads).alias("__values"))
-    rows = values.where(F.size("__values") >= least)
+    # Fields are split where they are read, by as many tasks as read them; what travels is the values of the fields that count.
+    values = df.select(*keys, packed_values(F.col(column), heads).alias("__values"))
+    rows = values.where(F.size("__values") >= least).dropDuplicates(keys)
     return rows.select(*keys, F.posexplode("__values").alias("__at", value)).select(
         *keys, (F.col("__at") + 1).cast("int").alias(position), value
     )

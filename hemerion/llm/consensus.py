@@ -177,3 +177,10 @@ def consensus(votes: DataFrame, labels: list[str], **options) -> tuple[DataFrame
     item = items.schema["item"].dataType.simpleString()
     schema = f"item {item}, label string, sure double, votes int, agreement double"
     return items.mapInPandas(_decide(model, labels), schema), model
+
+
+def agreement(votes: DataFrame) -> DataFrame:
+    """(item, votes, agreement) of ``distinct_votes`` rows: the share of an item's pairs of labels that agree, null for a lone label."""
+    per = votes.groupBy("item", "label").agg(F.count("*").alias("n"))
+    summed = per.groupBy("item").agg(F.sum("n").alias("v"), F.sum(F.col("n") * (F.col("n") - 1)).alias("same"))
+    return summed.select("item", F.col("v").cast("int").alias("votes"), F.try_divide(F.col("same"), F.col("v") * (F.col("v") - 1)).alias("agreement"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hemerion.llm.consensus import consensus, distinct_votes
+from hemerion.llm.consensus import agreement, consensus, distinct_votes
 from hemerion.llm.leakage import leaked_items
 from hemerion.llm.mapping import map_fields, map_to_list
 from hemerion.llm.names import link_names, name_pairs, stacked
@@ -100,11 +100,18 @@ def p6_texto(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_tramos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the characters that each token spans, as totals: tokens, last end, and tokens that split a character."""
+    """Documents with where their last token ends, in characters, and how many tokens leave characters out before them."""
     spans = encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", offsets=True)
-    split = F.aggregate(F.arrays_zip("starts", "ends"), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda s, x: F.struct(
-        x.ends.alias("end"), (s.n + (x.starts < s.end).cast("int")).alias("n")))
-    return spans.select("doc_id", F.size("ids").alias("fichas"), F.coalesce(F.array_max("ends"), F.lit(0)).alias("fin"), split.n.alias("partidas"))
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+    walked = F.aggregate(F.arrays_zip("starts", "ends"), start, lambda s, x: F.struct(
+        x.ends.alias("end"), (s.n + (x.starts > s.end).cast("int")).alias("n")))
+    return spans.select("doc_id", walked.end.alias("fin"), walked.n.alias("huecos"))
+
+
+def p4_medida(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many answers each question has and what share of their pairs agree."""
+    votes = agreement(_stance_votes(spark, sf_dir))
+    return votes.select(F.col("item").alias("id_pregunta"), F.col("votes").alias("pasadas"), F.round("agreement", 4).alias("acuerdo"))
 
 
 def p2_identidades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +147,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_identidades": p2_identidades, "p3_found": p3_found, "p3_grupos": p3_grupos, "p4_found": p4_found, "p4_acuerdo": p4_acuerdo,
-    "p4_confianza": p4_confianza, "p6_ids": p6_ids, "p6_texto": p6_texto, "p6_tramos": p6_tramos, "p7_found": p7_found, "p8_found": p8_found,
+    "p4_confianza": p4_confianza, "p4_medida": p4_medida, "p6_ids": p6_ids, "p6_texto": p6_texto, "p6_tramos": p6_tramos, "p7_found": p7_found, "p8_found": p8_found,
 }
-ORACLES: dict[str, str] = {"p6_texto": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+ORACLES: dict[str, str] = {
+    "p6_texto": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p6_tramos": "SELECT doc_id, cast(length(coalesce(text, '')) AS int) AS fin, 0 AS huecos FROM documents",
+    "p4_medida": """WITH w AS (SELECT id_pregunta, pasada, recibido_en, trim(regexp_replace(strip_accents(lower(replace(postura, '_', ' '))), '[^a-z0-9]+', ' ', 'g')) AS p FROM posturas WHERE postura IS NOT NULL),
+x AS (SELECT id_pregunta, pasada, arg_max(p, struct_pack(a := recibido_en, b := p)) AS p FROM w WHERE p IN ('critica', 'favorable', 'neutral', 'no clasificable') GROUP BY 1, 2),
+n AS (SELECT id_pregunta, p, count(*) AS n FROM x GROUP BY 1, 2), s AS (SELECT id_pregunta, sum(n) AS v, sum(n * (n - 1)) AS iguales FROM n GROUP BY 1)
+SELECT id_pregunta, cast(v AS int) AS pasadas, round(iguales / nullif(v * (v - 1), 0), 4) AS acuerdo FROM s""",
+}

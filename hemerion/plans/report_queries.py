@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -537,8 +539,6 @@ _WORDS = {"obra": ["puente", "presa", "carretera", "línea"], "salud": ["hospita
 SELECT etiqueta, cast(NULL AS varchar) AS razon, count(*) AS n FROM x GROUP BY 1""")
 def label_rounds(spark, d):
     """Questions labelled in micro-batches with a growing vocabulary and a ledger."""
-    import uuid
-
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hemerion/ledger-{uuid.uuid4().hex}"
     found = classify.label_batches(_asked(spark, d), "id", "texto", lambda vocabulary: classify.keyword_labeller(_WORDS), list(_WORDS), folder, pause=0.0)
     return found.groupBy("etiqueta", "razon").agg(F.count("*").alias("n"))

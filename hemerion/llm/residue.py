@@ -171,7 +171,9 @@ class Screen:
     def held(self, forms: list[str]) -> list[tuple[int, int]]:
         """(form, core) pairs."""
         out, start = [], 0
-        for run in slices(forms, 400_000):
+        # Runs are bounded by letters and, since each form has a bin for each core, by number.
+        most = max(1, 2_000_000 // len(self.cores))
+        for run in (long[k : k + most] for long in slices(forms, 400_000) for k in range(0, len(long), most)):
             h, owner = _runs(run)
             maybe = self.bits[(h >> np.uint64(44)).astype(np.int64)]
             h, owner = h[maybe], owner[maybe]

@@ -150,6 +150,8 @@ def test_the_screen_equals_counting_runs():
     cores, forms = sorted(set(some(30))), some(200) + ["", "x"]
     want = {(i, j) for i, f in enumerate(forms) for j, c in enumerate(cores) if len(residue.grams(c) & residue.grams(f)) >= residue.KEPT * len(residue.grams(c))}
     assert set(residue.Screen(cores).held(forms)) == want
+    many = residue.Screen(cores).held(forms * 900)
+    assert len(many) == len(set(many)) == 900 * len(want)
 
 
 @pytest.mark.parametrize("text, found", [

@@ -4,7 +4,9 @@ Each label is either truthful (with the annotator's competence) or drawn from th
 annotator's own guess distribution; the item's true label has a prior. Expectation
 maximisation gives the posterior of every item's label, every annotator's competence
 and guesses. It runs until the largest change is under ``tolerance`` and raises if that
-takes more than ``rounds`` rounds (1,000 unless given).
+takes more than ``rounds`` rounds (1,000 unless given). After two steps it leaps to where
+they are heading (squared extrapolation) and goes back if the next step is larger than the
+one before the leap, so it ends at the same point in less than half of the rounds.
 
 Scale: labels are made distinct per item and annotator, items with the same labels from
 the same annotators are one pattern with a count, and every round sends only sums per
@@ -40,6 +42,9 @@ class Mixture:
     guesses: np.ndarray
     prior: np.ndarray
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.competence, self.guesses.ravel(), self.prior])
+
 
 def clean_label(c: Column, labels: list[str]) -> Column:
     """The label meant, whatever its case, accents, blanks and signs; else null."""
@@ -125,29 +130,57 @@ def fit(patterns: DataFrame, labels: list[str], *, rounds: int = 1000, tolerance
     model = Mixture(annotators, np.full(len(annotators), 0.7), np.full((len(annotators), size), 1 / size), np.full(size, 1 / size))
     if not annotators:
         return model
+    before, fallback, moved = None, None, np.inf
     for _ in range(rounds):
-        sums = (
-            patterns.mapInPandas(_expect(model), "k long, label long, truth double, spam double")
-            .groupBy("k", "label").agg(F.sum("truth").alias("truth"), F.sum("spam").alias("spam")).toPandas()
-            .sort_values(["k", "label"])
-        )
-        truth, spam = np.zeros_like(model.guesses), np.zeros_like(model.guesses)
-        prior = np.zeros(size)
-        for k, label, t, s in sums.itertuples(index=False):
-            if k < 0:
-                prior[label] = t
-            else:
-                truth[k, label], spam[k, label] = t, s
-        competence = (truth.sum(axis=1) + smooth) / (truth.sum(axis=1) + spam.sum(axis=1) + 2 * smooth)
-        guesses = (spam + smooth) / (spam.sum(axis=1, keepdims=True) + size * smooth)
-        prior = (prior + smooth) / (prior.sum() + size * smooth)
-        moved = max(abs(competence - model.competence).max(), abs(guesses - model.guesses).max(), abs(prior - model.prior).max())
-        model = Mixture(annotators, competence, guesses, prior)
+        new = _round(patterns, model, smooth)
+        moved = np.abs(new.flat() - model.flat()).max()
         if moved < tolerance:
-            return model
+            return new
+        if fallback is not None and moved > fallback[1]:
+            # The leap led away: go on from where it started.
+            before, model, fallback = None, fallback[0], None
+        elif before is None:
+            before, model, fallback = model, new, None
+        else:
+            # Two steps show where the sequence is heading; leap there, unless that leads away.
+            leap = _leap(before, model, new)
+            before, model, fallback = None, leap, (new, moved)
     raise ValueError(f"the largest change is still {moved:.2g} after {rounds} rounds")
 
 
+def _round(patterns: DataFrame, model: Mixture, smooth: float) -> Mixture:
+    """One step of expectation maximisation: a job that sends only sums to the driver."""
+    size = len(model.prior)
+    sums = (
+        patterns.mapInPandas(_expect(model), "k long, label long, truth double, spam double")
+        .groupBy("k", "label").agg(F.sum("truth").alias("truth"), F.sum("spam").alias("spam")).toPandas()
+        .sort_values(["k", "label"])
+    )
+    truth, spam = np.zeros_like(model.guesses), np.zeros_like(model.guesses)
+    prior = np.zeros(size)
+    for k, label, t, s in sums.itertuples(index=False):
+        if k < 0:
+            prior[label] = t
+        else:
+            truth[k, label], spam[k, label] = t, s
+    competence = (truth.sum(axis=1) + smooth) / (truth.sum(axis=1) + spam.sum(axis=1) + 2 * smooth)
+    guesses = (spam + smooth) / (spam.sum(axis=1, keepdims=True) + size * smooth)
+    return Mixture(model.annotators, competence, guesses, (prior + smooth) / (prior.sum() + size * smooth))
+
+
+def _leap(start: Mixture, first: Mixture, second: Mixture, edge: float = 1e-6) -> Mixture:
+    """Squared extrapolation of three models of a sequence, kept inside the bounds of probabilities."""
+    step = first.flat() - start.flat()
+    turn = second.flat() - first.flat() - step
+    far = max(1.0, float(np.sqrt(step @ step / max(turn @ turn, 1e-300))))
+    flat = start.flat() + 2 * far * step + far * far * turn
+    count, size = start.guesses.shape
+    competence = np.clip(flat[:count], edge, 1 - edge)
+    guesses = np.clip(flat[count : count + count * size].reshape(count, size), edge, None)
+    prior = np.clip(flat[count + count * size :], edge, None)
+    return Mixture(start.annotators, competence, guesses / guesses.sum(axis=1, keepdims=True), prior / prior.sum())
+
+
 def _decide(model: Mixture, labels: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

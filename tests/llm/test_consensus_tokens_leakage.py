@@ -159,3 +159,21 @@ def test_markup_of_any_length(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(inside)] + [(9, " ".join(words[:12]))], "k long, t string")
     got = {r.doc: (r.runs, r.overlap) for r in leakage.leaked_items(docs, "k", "t", items, "item", "t").collect()}
     assert got == {k: (19, 1.0) for k in range(5)} | {9: (1, 1 / 19)}
+
+
+def test_leaps_end_where_single_steps_end(spark):
+    rng = random.Random(8)
+    skill = [0.9, 0.85, 0.3, 0.2, 0.7]
+    rows = []
+    for k in range(300):
+        truth = rng.choice(LABELS)
+        rows += [(f"q{k}", p, truth if rng.random() < skill[p] else rng.choice(LABELS), 0) for p in rng.sample(range(5), 4)]
+    df = consensus.distinct_votes(votes(spark, rows), "q", "p", "l", "r", LABELS)
+    _, patterns = consensus._patterns(df, LABELS)
+    model = consensus.fit(patterns, LABELS)
+    again = consensus._round(patterns, model, 0.1)
+    assert abs(again.flat() - model.flat()).max() < 1e-5
+    plain = consensus.Mixture(model.annotators, model.competence * 0 + 0.7, model.guesses * 0 + 0.25, model.prior * 0 + 0.25)
+    for _ in range(60):
+        plain = consensus._round(patterns, plain, 0.1)
+    assert abs(plain.flat() - model.flat()).max() < 1e-3

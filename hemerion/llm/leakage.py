@@ -85,7 +85,7 @@ def _repaired(text: str) -> str:
 
 
 class ItemIndex:
-    """BM25 postings of items with block maxima, and the items' runs of words."""
+    """BM25 postings of items with block maxima, and the items' words."""
 
     def __init__(self, ids: list, texts: list[str], run: int = RUN):
         kept = [(i, w) for i, w in ((i, bare_words(t)) for i, t in zip(ids, texts)) if len(w) >= run]
@@ -95,7 +95,7 @@ class ItemIndex:
         mean = sum(map(len, lists)) / max(1, len(lists))
         self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         self.least: list[float] = []
-        self.runs: list[set[tuple[str, ...]]] = []
+        self.lists = lists
         for at, w in enumerate(lists):
             impact = {}
             for t, tf in Counter(w).items():
@@ -104,7 +104,6 @@ class ItemIndex:
                 self.postings[t].append((at, impact[t]))
             spans = [w[k : k + run] for k in range(len(w) - run + 1)]
             self.least.append(min(sum(impact[t] for t in set(s)) for s in spans) - 1e-9)
-            self.runs.append({tuple(s) for s in spans})
         self.tops = {t: max(v for _, v in p) for t, p in self.postings.items()}
         self.blocks = {
             t: [(p[min(k + BLOCK_SIZE, len(p)) - 1][0], max(v for _, v in p[k : k + BLOCK_SIZE])) for k in range(0, len(p), BLOCK_SIZE)]
@@ -116,6 +115,11 @@ class ItemIndex:
         #: Least threshold among the items of each term.
         self.easiest = {t: min(self.least[at] for at, _ in p) for t, p in self.postings.items()}
 
+    def runs(self, at: int) -> set[tuple[str, ...]]:
+        """The different runs of an item; made when it is hit, since few are."""
+        words = self.lists[at]
+        return {tuple(words[k : k + self.run]) for k in range(len(words) - self.run + 1)}
+
     def retrieve(self, terms: set[str], floor: float | None = None) -> list[int]:
         """All items whose score by ``terms`` reaches their threshold, of those with a threshold of ``floor`` or more."""
         floor = self.floor if floor is None else floor
@@ -194,10 +198,10 @@ class ItemIndex:
             if hits:
                 spans = {tuple(passage[k : k + run]) for k in range(len(passage) - run + 1)}
                 for at in hits:
-                    held = spans & self.runs[at]
+                    held = spans & self.runs(at)
                     if held:
                         found[at] |= held
-        return {self.ids[at]: (len(held), len(held) / len(self.runs[at])) for at, held in found.items()}
+        return {self.ids[at]: (len(held), len(held) / len(self.runs(at))) for at, held in found.items()}
 
 
 def _finder(shipped, run: int):

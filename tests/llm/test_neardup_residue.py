@@ -201,3 +201,62 @@ def test_pairs_at_two_thirds_are_found(spark):
     sets = spark.createDataFrame(rows, "id long, meant array<string>")
     got = {(r.a, r.b) for r in neardup.candidates(sets).collect()}
     assert len(got & {(2 * k, 2 * k + 1) for k in range(600)}) >= 0.99 * 600 and len(got) < 4 * 600
+
+
+def subjects_by_brute_force(texts, share=2 / 3):
+    sets = [{w for w in residue.fold(t).split() if len(w) > 2} for t in texts]
+    found = set()
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        x, y = sets[a], sets[b]
+        if sets[a] == sets[b] or min(len(x), len(y)) < share * max(len(x), len(y)) - 1e-9:
+            continue
+        common = len(x & y) + neardup.matched(sorted(x - y), sorted(y - x))
+        if common >= share * (len(x) + len(y) - common) - 1e-9:
+            found.add(tuple(sorted((texts[a], texts[b]))))
+    return found
+
+
+def invented_subjects(rng, count):
+    word = lambda n: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(n))
+    usual, names = [word(3) for _ in range(12)], [word(4) for _ in range(30)]
+    texts = set()
+    while len(texts) < count:
+        subject = rng.sample(usual, rng.randint(1, 8)) + rng.sample(names, rng.randint(0, 3))
+        for _ in range(rng.randint(1, 4)):
+            said = [w for w in subject if rng.random() > 0.1] or subject
+            for _ in range(rng.randint(0, 2)):
+                k = rng.randrange(len(said))
+                at = rng.randrange(len(said[k]))
+                said[k] = said[k][:at] + rng.choice(["", "x", "y", said[k][at] * 2]) + said[k][at + 1 :]
+            texts.add(" ".join(said))
+    return sorted(texts)
+
+
+@pytest.mark.parametrize("few, together", [(16, 20_000), (2, 1)])
+def test_subjects_equal_brute_force(spark, monkeypatch, few, together):
+    """Also where every group is large and every key deep."""
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "TOGETHER", together)
+    texts = invented_subjects(random.Random(4), 500)
+    members, links = neardup.near_duplicates(spark.createDataFrame([(t,) for t in texts], "text string"))
+    of = {r.id: r.text for r in members.collect()}
+    got = [tuple(sorted((of[r.a], of[r.b]))) for r in links.collect()]
+    want = subjects_by_brute_force(texts)
+    assert len(want) > 500 and {p for p in want if p[0] in of.values() and p[1] in of.values()} == set(got) and len(got) == len(set(got))
+
+
+def test_long_subjects_meet_short_ones(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(5)) for _ in range(60)]
+    texts = [" ".join(words[:n]) for n in (26, 32, 36, 48, 60)]
+    pairs = neardup.text_pairs(*neardup.near_duplicates(spark.createDataFrame([(t,) for t in texts], "text string"))).collect()
+    assert {tuple(p) for p in pairs} == subjects_by_brute_force(texts) and len(pairs) == 6
+
+
+def test_a_subject_lists_few_keys():
+    """What a set writes stays far below the disk that its row may take."""
+    import pandas as pd
+
+    names = [f"palabra{k}" for k in range(10)]
+    rows = pd.concat(neardup._first_common(2 / 3, {}, {w: 10 ** min(k + 3, 6) for k, w in enumerate(names)})([pd.DataFrame({"id": [7], "words": [names], "changed": [None]})]))
+    assert len(rows) <= 20 and rows["rest"].str.len().sum() + 20 * len(rows) < 1000

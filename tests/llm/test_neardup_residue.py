@@ -260,3 +260,28 @@ def test_a_subject_lists_few_keys():
     names = [f"palabra{k}" for k in range(10)]
     rows = pd.concat(neardup._first_common(2 / 3, {}, {w: 10 ** min(k + 3, 6) for k, w in enumerate(names)})([pd.DataFrame({"id": [7], "words": [names], "changed": [None]})]))
     assert len(rows) <= 20 and rows["rest"].str.len().sum() + 20 * len(rows) < 1000
+
+
+def test_texts_are_screened_as_their_sentences_are():
+    """Folding whole batches letter by letter gives the runs of each sentence's form, odd letters included."""
+    rng = random.Random(12)
+    cores = sorted({residue.folded(n) for n in residue.NOTICES} | set(residue.MACHINE.values()))
+    odd = ["́", "Σ", "각", "😀", "𝒳", " ", "…", "\r\n", "\n", "٣4", "\ud800", "İ", "ﬁ", "_", "¿", "?", ". ", ".", " ", "½", "֑", "ñ", "É", "K"]
+    said = [w for n in residue.NOTICES for w in n.split()]
+    texts = ["", " ", "...", "́", "404", "Erroŕ 4 0 4", "ERROR ４０４", "Ĺorem ípsum", "x", "Texto de\nrelleno", "Texto de relleno.́ Texto"]
+    texts += ["".join(rng.choice(said) + rng.choice([" ", " ", " ", *odd]) for _ in range(rng.randint(1, 30))) for _ in range(1500)]
+    texts += [" ".join(rng.choice(residue.NOTICES).split()[: rng.randint(1, 6)]) for _ in range(300)]
+    screen, letters = residue.Screen(cores), residue.Letters()
+    forms = [(k, residue._bare(s)) for k, t in enumerate(texts) for s in residue.segments(residue._FIGURES.sub("0", residue.fold(t)))]
+    want = {k for k, f in forms if any(len(residue.grams(c) & residue.grams(f)) >= residue.KEPT * len(residue.grams(c)) for c in cores)}
+    held, hinted = screen.texts(letters, texts, residue._MACHINE_HINTS)
+    assert held == want and 0 < len(want) < len(texts)
+    assert hinted == {k for k, t in enumerate(texts) if any(h in residue.fold(t) for h in residue._MACHINE_HINTS)}
+
+
+def test_pieces_without_a_core_are_no_nodes():
+    import pandas as pd
+
+    text = "Texto de relleno Para Ana, el asunto es otro Desde marzo cambió todo"
+    found = pd.concat(residue._splitter(["texto de relleno"])([pd.DataFrame({"doc": [1], "text": [text]})]))
+    assert "texto de relleno" in set(found["form"]) and not any(len(residue.grams("texto de relleno") & residue.grams(f)) < 6 for f in found["form"])

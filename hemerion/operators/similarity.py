@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hemerion.functions.text import bag_of_words
+from hemerion.operators.setpairs import KEYS, LISTED, LONG, PAIRS, first_common, least, meet
 from hemerion.session import materialize
 
 #: Words without weight in a subject.
@@ -19,13 +20,36 @@ def subject_bag(c: Column) -> Column:
 def jaccard_pairs(sets: DataFrame, key: str, words: str, threshold: float) -> DataFrame:
     """(a, b, jaccard): pairs a < b of rows whose word sets reach the threshold.
 
-    Two such sets share one of their rarest words: of ``n`` words it is enough to join
-    on the first ``n - ceil(t n) + 1`` by ascending frequency, so frequent words join
-    nothing.
+    Sets meet under keys of their rarest words and are told apart where they meet, so only pairs that
+    reach the threshold leave a task (``setpairs``). Sets of more than ``LONG`` words and all that are long enough to be
+    their partners are joined on the words they may share. Keys travel as numbers.
+    """
+    rows = sets.select(F.xxhash64(key).alias("id"), F.col(key).alias("key"), F.col(words).alias("words")).where(F.size(words) > 0)
+    rows = materialize(rows, "sets")
+    frequency = materialize(rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")), "frequency")
+    rare_below = (frequency.agg(F.sum("df")).first()[0] or 0) / LISTED
+    counts = {r.word: r.df for r in frequency.where(F.col("df") >= rare_below).collect()}
+    short = rows.where(F.size("words") <= LONG).select("id", "words", F.lit(None).cast("int").alias("changed"))
+    keyed = short.mapInPandas(first_common(threshold, lambda words, own: words, counts), KEYS)
+    near = keyed.repartition("key").sortWithinPartitions("key").mapInPandas(meet(threshold), PAIRS)
+    if not rows.where(F.size("words") > LONG).isEmpty():
+        near = near.unionByName(_long_pairs(rows.where(F.size("words") >= least(LONG + 1, threshold)), frequency, threshold))
+    near = near.distinct()
+    both = near.join(rows.select(F.col("id").alias("a"), F.col("key").alias("k"), F.col("words").alias("x")), "a").join(
+        rows.select(F.col("id").alias("b"), F.col("key").alias("m"), F.col("words").alias("y")), "b"
+    )
+    common = F.size(F.array_intersect("x", "y"))
+    value = common / (F.size("x") + F.size("y") - common)
+    found = both.withColumn("jaccard", value).where(F.col("jaccard") >= threshold - 1e-12)
+    return found.select(F.least("k", "m").alias("a"), F.greatest("k", "m").alias("b"), "jaccard")
+
+
+def _long_pairs(rows: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): ids of rows that share one of their rarest words.
+
+    Of ``n`` words it is enough to join on the first ``n - ceil(t n) + 1`` by ascending frequency.
     """
-    rows = sets.select(F.col(key).alias("id"), F.col(words).alias("words")).where(F.size(words) > 0)
     exploded = rows.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    frequency = exploded.groupBy("word").agg(F.count("*").alias("df"))
     w = Window.partitionBy("id").orderBy("df", "word")
     prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
     kept = exploded.join(frequency, "word").withColumn("at", F.row_number().over(w)).where(F.col("at") <= prefix).select("id", "n", "word")
@@ -33,13 +57,7 @@ def jaccard_pairs(sets: DataFrame, key: str, words: str, threshold: float) -> Da
     a = kept.select("word", F.col("id").alias("a"), F.col("n").alias("n_a"))
     b = kept.select("word", F.col("id").alias("b"), F.col("n").alias("n_b"))
     fits = (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
-    near = a.join(b, "word").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    both = near.join(rows.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(
-        rows.select(F.col("id").alias("b"), F.col("words").alias("y")), "b"
-    )
-    common = F.size(F.array_intersect("x", "y"))
-    value = common / (F.size("x") + F.size("y") - common)
-    return both.withColumn("jaccard", value).where(F.col("jaccard") >= threshold - 1e-12).select("a", "b", "jaccard")
+    return a.join(b, "word").where((F.col("a") < F.col("b")) & fits).select("a", "b")
 
 
 def consolidate(counts: DataFrame, subject: str, n: str, threshold: float = 0.6, rounds: int = 200) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from hemerion.llm import neardup
-from hemerion.operators import setpairs
+from hemerion.operators import setpairs, similarity
 
 
 def keyed(sets, share, counts, together=setpairs.TOGETHER):
@@ -57,3 +57,35 @@ def test_workers_hold_little_of_a_large_group():
     assert peak(neardup._word_keys([typed])) < 30
     long = pd.DataFrame({"id": range(1_000), "meant": [[f"x{rng.randrange(10**6)}" for _ in range(40)] for _ in range(1_000)]})
     assert peak(neardup._signer(320, 0)([long])) < 100
+
+
+@pytest.mark.parametrize("longest", [12, 45])
+def test_jaccard_pairs_equal_brute_force(spark, longest):
+    """Also where some sets have too many words for keys."""
+    rng = random.Random(longest)
+    pool = [f"palabra{k}" for k in range(60)]
+    sets = [rng.sample(pool, rng.randint(0, longest)) for _ in range(25)]
+    sets += [[w for w in s if rng.random() > 0.15] + rng.sample(pool, 2) for s in sets for _ in range(3)]
+    rows = [(f"asunto {k}", sorted(set(s))) for k, s in enumerate(sets)]
+    got = [tuple(r) for r in similarity.jaccard_pairs(spark.createDataFrame(rows, "s string, w array<string>"), "s", "w", 0.6).collect()]
+    want = set()
+    for (a, x), (b, y) in itertools.combinations(rows, 2):
+        value = len(set(x) & set(y)) / max(1, len(set(x) | set(y)))
+        if value >= 0.6 - 1e-12:
+            want.add((min(a, b), max(a, b), value))
+    assert set(got) == want and len(got) == len(want) > 20
+
+
+def test_unlike_subjects_with_frequent_words_move_little(spark):
+    """Subjects that have six of ten words in common with all others are not written as pairs."""
+    written = lambda: sum(e.totalShuffleWrite() for e in (seen.apply(k) for k in range(seen.size())))
+    frequent = [f"frecuente{k}" for k in range(6)]
+    rows = [(f"asunto {k}", [f"propia{k}x{j}" for j in range(4)] + frequent) for k in range(1_500)]
+    sets = spark.createDataFrame(rows, "s string, w array<string>")
+    status = spark.sparkContext._jsc.sc().statusStore()
+    seen = status.executorList(True)
+    before = written()
+    assert similarity.jaccard_pairs(sets, "s", "w", 0.6).count() == 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    seen = status.executorList(True)
+    assert written() - before < 2e6

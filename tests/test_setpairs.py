@@ -89,3 +89,25 @@ def test_unlike_subjects_with_frequent_words_move_little(spark):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     seen = status.executorList(True)
     assert written() - before < 2e6
+
+
+def shuffled(spark, run):
+    """(result, bytes written to shuffles meanwhile)."""
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        seen = context.statusStore().executorList(True)
+        return sum(seen.apply(k).totalShuffleWrite() for k in range(seen.size()))
+
+    before = written()
+    return run(), written() - before
+
+
+UNLIKE = [" ".join([f"propia{k}x{j}" for j in range(4)] + [f"frecuente{j}" for j in range(6)]) for k in range(1_500)]
+
+
+def test_consolidation_of_unlike_subjects_moves_little(spark):
+    counts = spark.createDataFrame([(s, 1) for s in UNLIKE], "s string, n int")
+    got, moved = shuffled(spark, lambda: similarity.consolidate(counts, "s", "n", 0.6).where("asunto = canonico").count())
+    assert got == len(UNLIKE) and moved < 3e6

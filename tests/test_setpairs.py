@@ -1,12 +1,14 @@
 import itertools
 import random
 import tracemalloc
+from datetime import datetime
 
 import pandas as pd
 import pytest
 
 from hemerion.llm import neardup
 from hemerion.operators import setpairs, similarity
+from hemerion.plans import core_queries
 
 
 def keyed(sets, share, counts, together=setpairs.TOGETHER):
@@ -111,3 +113,10 @@ def test_consolidation_of_unlike_subjects_moves_little(spark):
     counts = spark.createDataFrame([(s, 1) for s in UNLIKE], "s string, n int")
     got, moved = shuffled(spark, lambda: similarity.consolidate(counts, "s", "n", 0.6).where("asunto = canonico").count())
     assert got == len(UNLIKE) and moved < 3e6
+
+
+def test_consolidation_check_moves_little(spark, tmp_path):
+    labels = [(f"p{k}", s, datetime(2025, 1, 1)) for k, s in enumerate(UNLIKE)]
+    spark.createDataFrame(labels, "id_pregunta string, asunto string, recibido_en timestamp").write.parquet(str(tmp_path / "clasificaciones.parquet"))
+    got, moved = shuffled(spark, lambda: core_queries.subject_consolidation_check(spark, str(tmp_path)).first())
+    assert tuple(got) == (len(UNLIKE), len(UNLIKE), 0) and moved < 3e6
